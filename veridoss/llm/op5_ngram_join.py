@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoss.llm.components import connected_components
@@ -32,6 +32,7 @@ from veridoss.llm.words import U, hashed, mix, shingles
 
 COUNTER_BITS = 20
 BLOCKS = 64
+STAR_ROUNDS = 1
 BINS = 32  # hash ranges of the suffix filter
 
 
@@ -101,6 +102,18 @@ def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
     return docs.mapInArrow(make, schema)
 
 
+def _may_link(x: str, y: str, pct: int) -> Column:
+    """Length and positional filters for two postings of one shingle.
+
+    A link needs an overlap of at least ceil(pct * (nx + ny) / (100 + pct)). Whatever stands in a
+    set's order before the first common shingle is missing from the other set, so that shingle's
+    position is at most n less the overlap needed, in both sets.
+    """
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    need = F.ceil(F.lit(pct) * (nx + ny) / F.lit(100.0 + pct))
+    return (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny)) & (F.col(f"{x}pos") <= nx - need) & (F.col(f"{y}pos") <= ny - need)
+
+
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
     """Drop pairs whose shingle counts per hash range differ by more than the threshold allows.
 
@@ -177,26 +190,31 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, thresho
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct))).cast("int")
     postings = keep(spark, flat.join(often, "token").withColumn("band", band), "postings")
 
-    centres = postings.groupBy("token", "band").agg(F.min("id").alias("c"), F.min_by("n", "id").alias("nc"))
-    stars = (
-        postings.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-        .join(centres, ["token", "band"])
-        .where((F.col("id") != F.col("c")) & (100 * F.least("n", "nc") >= pct * F.greatest("n", "nc")))
-        .select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-        .distinct()
-    )
-    tried = keep(spark, stars, "stars")
-    links = keep(spark, _verify(keep(spark, _suffix_filter(tried, reps, pct), "survivors"), docs, k, pct, broadcast_ids), "links")
-    parts = connected_components(spark, links)
-
-    labelled = keep(spark, postings.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).select("token", "id", "n", "pos", "component"), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_ = labelled.join(mixed, "token", "left_semi")
+    # stars: each posting meets one centre per shingle and length band, another one each round
+    links, tried, parts, open_ = None, None, None, postings.withColumn("component", F.col("id"))
+    for r in range(STAR_ROUNDS):
+        by = F.col("id") if r == 0 else F.xxhash64(F.lit(r), "id")
+        centres = open_.groupBy("token", "band").agg(F.min_by(F.struct("id", "n", "pos", "component"), by).alias("c"))
+        stars = (
+            open_.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+            .join(centres, ["token", "band"])
+            .where((F.col("component") != F.col("c.component")) & _may_link("", "c.", pct))
+            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+            .distinct()
+        )
+        stars = keep(spark, stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = keep(spark, _verify(keep(spark, _suffix_filter(stars, reps, pct), "survivors"), docs, k, pct, broadcast_ids), "links")
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(spark, links)
+        labelled = postings.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).select("token", "id", "n", "pos", "band", "component")
+        mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        open_ = keep(spark, labelled.join(mixed, "token", "left_semi"), "open")
+        if not open_.limit(1).count():
+            break
     x, y = open_.alias("x"), open_.alias("y")
-    need = F.ceil(F.lit(pct) * (F.col("x.n") + F.col("y.n")) / F.lit(100.0 + pct))
-    bound = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
     cross = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= pct * F.greatest("x.n", "y.n")) & (bound >= need))
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", pct))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
