@@ -42,7 +42,7 @@ ORDER = 3
 MIN_COUNT = {2: 2, 3: 2}
 DISCOUNT = 0.75
 ADD = 0.1
-BLOCK = 1 << 21  # tokens handled at once
+BLOCK = 1 << 20  # tokens handled at once
 LOG_STEP = 16.0 / 65535  # log10 values from -16 to 0
 END = mix(np.array([0x656E64], U))[0]
 NONE = np.int64(-1)
@@ -106,6 +106,15 @@ class EliasFano:
         word = np.minimum(np.searchsorted(self.zeros, k, "right") - 1, len(self.high) - 1)
         return word * 64 + _select_in(~self.high[word], k - self.zeros[word])
 
+    def _ones_from(self, place: np.ndarray, zero: np.ndarray) -> np.ndarray:
+        """How many ones stand from place up to the next zero, which is the zero-th one."""
+        word, bit = np.minimum(place >> 6, len(self.high) - 1), place & 63
+        rest = ~(self.high[word] >> bit.astype(U))
+        run = np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        over = np.flatnonzero(run + bit >= 64)  # the run goes on in the next word
+        run[over] = self._select0(zero[over]) - place[over]
+        return run
+
     def find(self, value: np.ndarray) -> np.ndarray:
         """Index of each value in a strictly increasing sequence, or -1: successor search."""
         if not self.n:
@@ -113,8 +122,9 @@ class EliasFano:
         bucket = value >> self.shift
         inside = bucket < len(self.high) * 64 - self.n - 1
         bucket = np.where(inside, bucket, 0)
-        lo = np.where(bucket > 0, self._select0(np.maximum(bucket - 1, 0)) - np.maximum(bucket - 1, 0), 0)
-        hi = self._select0(bucket) - bucket
+        before = np.where(bucket > 0, self._select0(np.maximum(bucket - 1, 0)), -1)
+        lo = before + 1 - bucket
+        hi = lo + self._ones_from(before + 1, bucket)
         if not self.shift:
             return np.where(inside & (lo < hi), lo, NONE)
         want, last = (value & ((1 << self.shift) - 1)).astype(self.low.dtype), hi
@@ -181,6 +191,18 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     return out
 
 
+def _order_of_parts(which: np.ndarray, parts: int) -> np.ndarray:
+    """A stable order by part; numbers of 16 bits are sorted by radix."""
+    return np.argsort(which.astype(np.uint16) if parts <= 1 << 16 else which, kind="stable")
+
+
+def _order_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An order by a, then b, both at least 0."""
+    if len(a) and max(int(a.max()), int(b.max())) >= 1 << 31:
+        return np.lexsort((b, a))
+    return np.argsort(a << 32 | b)
+
+
 class Level:
     """Files of one level in order of context (level 1: of word hash), with their offsets."""
 
@@ -209,7 +231,7 @@ class Level:
         """Parts and the positions of known contexts that fall into them."""
         known = np.flatnonzero(context >= 0)
         which = context[known] // self.width
-        order = np.argsort(which, kind="stable")
+        order = _order_of_parts(which, len(self.files))
         cuts = np.flatnonzero(np.diff(which[order])) + 1
         for group in np.split(order, cuts):
             if len(group) and which[group[0]] < len(self.files) and self.files[which[group[0]]]:
@@ -240,7 +262,7 @@ class Level:
         out = np.zeros(len(index))
         known = np.flatnonzero(index >= 0)
         which = np.searchsorted(starts, index[known], "right") - 1
-        order = np.argsort(which, kind="stable")
+        order = _order_of_parts(which, len(self.files))
         for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
             if len(group):
                 p = int(which[group[0]])
@@ -264,18 +286,25 @@ class Vocabulary(Level):
         super().__init__(files, 1)
         self.tokens = tokens
 
-    def ids(self, words: np.ndarray) -> np.ndarray:
+    def look_up(self, words: np.ndarray, with_log: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Ids (-1: unknown) and log10 probabilities of word hashes, each distinct one sought once."""
         distinct, back = np.unique(words, return_inverse=True)
-        out = np.full(len(distinct), NONE)
+        out, seen = np.full(len(distinct), NONE), np.zeros(len(distinct))
         parts = _vocabulary_part(distinct, len(self.files))
         cuts = np.searchsorted(parts, np.arange(len(self.files) + 1))
         for p in np.unique(parts):
             if self.files[p]:
-                keys = self.part(int(p))["hash"]
+                a = self.part(int(p))
                 mine = distinct[cuts[p] : cuts[p + 1]]
-                i = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                out[cuts[p] : cuts[p + 1]] = np.where(keys[i] == mine, i + self.starts[p], NONE)
-        return out[back]
+                i = np.minimum(np.searchsorted(a["hash"], mine), len(a["hash"]) - 1)
+                good = a["hash"][i] == mine
+                out[cuts[p] : cuts[p + 1]] = np.where(good, i + self.starts[p], NONE)
+                if with_log:
+                    seen[cuts[p] : cuts[p + 1]] = np.where(good, a["count"][i], 0)
+        return out[back], self._log(seen)[back] if with_log else None
+
+    def _log(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + ADD) / (self.tokens + ADD * (self.entries + 1)))
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -289,7 +318,7 @@ class Vocabulary(Level):
         return out
 
     def log_unigram(self, ids: np.ndarray) -> np.ndarray:
-        return np.log10((self.counts(ids) + ADD) / (self.tokens + ADD * (self.entries + 1)))
+        return self._log(self.counts(ids))
 
 
 def _vocabulary_part(words: np.ndarray, parts: int) -> np.ndarray:
@@ -426,8 +455,8 @@ class Trie:
             context[start] = NONE
         return out
 
-    def log_probs(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        out = self.vocabulary.log_unigram(ids)
+    def log_probs(self, ids: np.ndarray, unigram: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        out = unigram
         for (context, _, entry), level in zip(self.walk(ids, begins, len(self.levels) + 1), self.levels, strict=True):
             out = np.where(entry >= 0, level.log_prob(entry), out + level.backoff(context))
         return out
@@ -444,7 +473,7 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = held.value
         for _, words, at in _blocks(batches, True):
-            ids = trie.vocabulary.ids(words)
+            ids, _ = trie.vocabulary.look_up(words, with_log=False)
             steps = trie.walk(ids, at[:-1], k)
             if len(steps) < k - 1:
                 continue
@@ -452,7 +481,7 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
             last = np.concatenate(([NONE], ids[:-1])) if k > 2 else context
             good = (context >= 0) & (value >= 0 if k == 2 else True)
             context, value, word, last = context[good], value[good], ids[good], last[good]
-            order = np.lexsort((word, context))
+            order = _order_of_pairs(context, word)
             context, value, word, last = context[order], value[order], word[order], last[order]
             if not len(context):
                 continue
@@ -466,7 +495,7 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
         got = [_unpack(b, n, [np.int64, np.int64, np.int64, np.int64, np.uint32]) for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist(), strict=True)]
         context, value, word, last, n = (np.concatenate([g[i] for g in got]) for i in range(5))
         part = table.column("part")[0].as_py()
-        order = np.lexsort((word, context))
+        order = _order_of_pairs(context, word)
         context, word = context[order], word[order]
         first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
         n = np.add.reduceat(n[order].astype(np.int64), first)
@@ -481,7 +510,7 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
             lower = _after_one(trie, last, word, lower)
         weight = np.where(total > 0, 1 - seen / np.maximum(total, 1), 1.0)
         prob = (n - DISCOUNT) / total[local] + weight[local] * 10**lower
-        order = np.lexsort((value, local))
+        order = _order_of_pairs(local, value)
         local, value, prob = local[order], value[order], prob[order]
         pointers = np.concatenate(([0], np.cumsum(np.bincount(local, minlength=width))))
         most = np.zeros(width, np.int64)
@@ -523,8 +552,8 @@ def score(spark: SparkSession, docs: DataFrame, trie: Trie) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = held.value
         for ids, words, at in _blocks(batches, False):
-            known = trie.vocabulary.ids(words)
-            base, model = trie.vocabulary.log_unigram(known), trie.log_probs(known, at[:-1])
+            known, base = trie.vocabulary.look_up(words)
+            model = trie.log_probs(known, base, at[:-1])
             each = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  no text is without its end token
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(np.diff(at)), pa.array(each((known >= 0).astype(np.int64))), pa.array([trie.vocabulary.tokens] * len(ids), pa.int64()), pa.array(each(base)), pa.array(each(model))], names=[x.split(" ")[0] for x in schema.split(", ")])
 
