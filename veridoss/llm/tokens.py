@@ -15,13 +15,16 @@ from functools import lru_cache
 import numpy as np
 
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+_SIGNS = frozenset(b".,!?;:")
+_ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
 _STRETCH = re.compile(rb"\s*[^\s]+|\s+")
 
 
 class Encoder(dict):
     """A dict from stretch to packed ids, filled by the library as stretches are met."""
 
-    MOST = 600_000  # entries; then it starts anew
+    MOST = 1_000_000  # entries of some 200 bytes; then it starts anew
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,21 +33,27 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         parts = pre.get("pretokenizers", [])
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-            self.cut = _STRETCH.findall
+            self.cut, self.folds = _STRETCH.findall, False
         elif pre.get("type") == "Sequence" and parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"\p{L}" in str(parts[0].get("pattern")):
-            self.cut = bytes.split
+            self.cut, self.folds = bytes.split, any(x.get("type") == "Lowercase" for x in norm.get("normalizers", []))
         else:
-            self.cut = None
+            self.cut, self.folds = None, False
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
-        ids = self._ids(part.decode())
+        low = part.lower() if self.folds else part
+        if low != part:
+            ids = self[low]
+        elif len(part) > 1 and part[-1] in _SIGNS and (part[-2] in _ALNUM or _LATIN.search(part, len(part) - 3, len(part) - 1)):
+            ids = self[part[:-1]] + self[part[-1:]]  # a sign after a letter or digit begins a pre-token
+        else:
+            ids = self._ids(part.decode())
         if len(part) <= 64:
             if len(self) >= self.MOST:
                 self.clear()
