@@ -51,7 +51,6 @@ def claims_of(text: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(CLAIMS)
 def _claims(texts: pd.Series) -> pd.Series:
     names = ("sentence_index", "claim_index", "start", "stop", "text", "linking_term", "link_type")
     return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in claims_of(t or "")])
@@ -59,6 +58,7 @@ def _claims(texts: pd.Series) -> pd.Series:
 
 def segment(reviews: DataFrame, text: str = "review_text", position: str = "input_row_position", date: str = "review_date", prefix: str = "REVIEWS") -> DataFrame:
     """One row per claim, with its key, offsets, hash and date precision beside the review's columns."""
-    got = reviews.select("*", F.posexplode(_claims(F.coalesce(F.col(text), F.lit("")))).alias("__n", "__c"))
+    split = F.pandas_udf(_claims, CLAIMS)
+    got = reviews.select("*", F.posexplode(split(F.coalesce(F.col(text), F.lit("")))).alias("__n", "__c"))
     key: Column = F.format_string(f"{prefix}:r%06d:c%03d", F.col(position).cast("long"), F.col("__n"))
     return got.select(*[F.col(f"`{c}`") for c in reviews.columns], key.alias("claim_id"), F.col("__c.sentence_index"), F.col("__c.claim_index"), F.col("__c.text").alias("claim_text"), F.sha2("__c.text", 256).alias("claim_text_sha256"), F.col("__c.start").alias("source_text_start"), F.col("__c.stop").alias("source_text_end"), F.col("__c.linking_term"), F.col("__c.link_type"), date_precision(F.col(date).cast("string")).alias("date_precision"))

@@ -109,7 +109,9 @@ def temporal_document(df: DataFrame, entity: str, date: str, rating: str, sentim
     gaps = date_gaps(df, entity, date).groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("d", "gap_days"))).alias("g")).select(entity, F.transform("g", lambda g: g["gap_days"]).alias("date_gap_days"))
     cover = coverage(df, entity, date).join(gaps, entity, "left").select(entity, F.struct("minimum_date", "maximum_date", F.col("active_years").alias("active_year_count"), F.col("active_quarters").alias("active_quarter_count"), "review_count", F.coalesce("date_gap_days", F.array().cast("array<bigint>")).alias("date_gap_days")).alias("coverage"))
     roll = aspect_rollup(df, entity, aspects, date).groupBy(entity).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("aspect", F.struct("mentions", "first_date", "latest_date", "active_years", "active_period_count"))))).alias("aspects"))
-    dense = aspect_years(df, entity, aspects, date).groupBy(entity, "year").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("aspect", "mentions")))).alias("m")).groupBy(entity).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string"), "m")))).alias("aspect_counts_by_year"))
+    dense = aspect_years(df, entity, aspects, date).groupBy(entity, "year").agg(F.sort_array(F.collect_list(F.struct("aspect", "mentions"))).alias("m"))
+    dense = dense.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("y"), "m"))).alias("x"))
+    dense = dense.select(entity, F.map_from_entries(F.transform("x", lambda x: F.struct(x["y"], F.map_from_entries(x["m"])))).alias("aspect_counts_by_year"))
     out = periods("year").join(periods("quarter"), entity).join(cover, entity)
     for more in (window, roll, dense):
         out = out.join(more, entity, "left")
