@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoss.llm.shared import bounded_batches
 from veridoss.llm.tokens import encoder
 
 WINDOW = 4096
@@ -103,6 +104,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WIN
 
     sequence_id is the group's number times 2**32 plus a number within the group.
     """
+    bounded_batches(spark)
     groups = max(1, -(-docs.count() // group))
     rows = pieces(docs, tokenizer, window, end_id, id_col, text_col)
     dealt = rows.repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoss.llm.shared import id_buckets
+
 DENSE = 4
 SPARSE = 2
 STEP = 21
@@ -110,19 +112,11 @@ def next_in_order(spark: SparkSession, df: DataFrame, id_col: str, tie: str, car
     """
     key = F.coalesce(F.col(id_col).cast("long"), _long(-(1 << 63)))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0]
-    bounds = sorted(set(bounds or []))
-    if bounds:  # binary search: the number of bounds at or below the id
-        held = F.array(*[_long(b) for b in bounds])
-        steps = [1 << j for j in reversed(range(len(bounds).bit_length()))]
-        bucket = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(held, lo + s - 1) <= key), lo + s).otherwise(lo))
-    else:
-        bucket = F.lit(0)
+    bucket, size = id_buckets(df, key, n)
     placed = df.withColumn("__b", bucket)
     tops = {r["__b"]: r["m"] for r in df.select(key.alias("__k"), bucket.alias("__b")).groupBy("__b").agg(F.max("__k").alias("m")).collect()}
     used = sorted(tops)
     before = {b: used[(i + 1) % len(used)] for i, b in enumerate(used)}
-    size = len(bounds) + 1
     top, to = (F.array(*[_long(d.get(b, 0)) for b in range(size)]) for d in (tops, before))
     first = key == F.get(top, F.col("__b"))
     wraps = F.col("__b") == F.lit(used[-1] if used else 0)

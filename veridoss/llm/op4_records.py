@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import keep, new_path
+from veridoss.llm.shared import bounded_batches, id_buckets, keep, new_path
 from veridoss.llm.tokens import encoder
 
 MAGIC = b"VDRC"
 END_ID = 2
+MEMO = 1_700_000  # stretches remembered by a worker
 _MASK = 0xA282EAD8
 _INDEX = np.dtype([("offset", "<u8"), ("before", "<u8"), ("tokens", "<u4")])
 
@@ -92,15 +93,17 @@ def read_at(path: str, number: int) -> tuple[int | None, np.ndarray]:
 
 def write_records(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards and indexes below path; a table of shards: shard, file, records, tokens."""
+    bounded_batches(spark)
     path = path or new_path(spark, "records")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    bucket, n = id_buckets(rows, F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), n)
+    dealt = rows.repartitionById(n, bucket.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         shard = TaskContext.get().partitionId()
         file = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.rec"

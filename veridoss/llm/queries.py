@@ -17,6 +17,7 @@ from veridoss.llm import op7_mpeg_ts as media
 from veridoss.llm import op8_licenses as licenses
 from veridoss.llm import op9_trie_lm as lm
 from veridoss.llm import op10_packing as packing
+from veridoss.llm.shared import bounded_batches
 
 TARGETS = {"web": 0.5, "books": 0.3, "forums": 0.2}
 
@@ -28,6 +29,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -39,7 +41,7 @@ def domain_of(source: Column) -> Column:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.train(docs, "text", "lang")
-    out = language.identify(spark, docs.select("doc_id", "text", "lang", "source"), model, F.col("text"), F.col("lang"), F.col("source"))
+    out = language.identify(spark, docs.select("doc_id", "text", "lang", "source"), model, "text", F.col("lang"), F.col("source"))
     return out.select("doc_id", F.col("lang").alias("declared_lang"), "text_lang", "identified_lang", F.round("confidence", 6).alias("confidence"), (F.col("identified_lang") == "und").alias("rejected"))
 
 

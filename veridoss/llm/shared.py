@@ -25,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the setting is absent and the master is local (tests) does a temporary
     folder serve; on a cluster without the setting this raises.
     """
+    bounded_batches(spark)
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +63,28 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows, so that whole texts in them stay within memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
+
+
+def id_buckets(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
+    """A column that puts ids in at most n buckets of consecutive ids and about equal rows.
+
+    The bounds come from one pass over the ids alone; a binary search finds an id's bucket.
+    """
+    bounds = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    bounds = sorted(set(bounds or []))
+    if not bounds:
+        return F.lit(0), 1
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = [1 << j for j in reversed(range(len(bounds).bit_length()))]
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(held, lo + s - 1) <= key), lo + s).otherwise(lo))
+    return found, len(bounds) + 1
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most most_rows rows; reads no more than that."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -10,23 +10,83 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+_ODD_SPACES = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+_SEPARATORS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_WIDE_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 _SIGNS = frozenset(b".,!?;:")
 _ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LOW_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_NO_LETTERS = re.compile(rb"(?!)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 _STRETCH = re.compile(rb"\s*[^\s]+|\s+")
 
 
-class Encoder(dict):
-    """A dict from stretch to packed ids, filled by the library as stretches are met."""
+def _wide_space(raw: bytes) -> bool:
+    """White space beyond ASCII's six, or a separator that is white space to some libraries."""
+    if any(x in raw for x in _SEPARATORS):
+        return True
+    if raw.isascii():
+        return False
+    return any(x in raw for x in _WIDE_SPACES) or b"\xe2\x80" in raw and _WIDE_SPACE.search(raw) is not None
+
 
-    MOST = 1_000_000  # entries of some 200 bytes; then it starts anew
+class _Memo(dict):
+    """Packed ids by stretch, filled as stretches are met; ``lead`` goes before each.
+
+    Two generations of most / 2 entries: when the young one is full it becomes the old one, from
+    which stretches come back when they are met again.
+    """
+
+    def __init__(self, owner: Encoder, lead: bytes, most: int) -> None:
+        self.owner, self.lead, self.most, self.old = owner, lead, max(1, most // 2), {}
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self._make(part)
+            if (b"\n" in part and self.lead) or len(part) > 64:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
 
-    def __init__(self, path: str) -> None:
+    def _make(self, part: bytes) -> bytes:
+        low = part.lower() if self.owner.folds else part
+        if b"\n" in part and self.lead:
+            return b"".join(map(self.owner.stretch, _STRETCH.findall(self.lead + part)))
+        if low != part:
+            return self[low]
+        if len(part) > 1 and part[-1] in _SIGNS and (part[-2] in _ALNUM or _LATIN.search(part, len(part) - 3, len(part) - 1)):
+            return self[part[:-1]] + self.owner.bare[part[-1:]]  # a sign after a letter or digit begins a pre-token
+        if self.owner.letters.fullmatch(part):
+            return self.owner.word(self.lead + part)
+        return self.owner.whole((self.lead + part).decode())
+
+
+class Encoder:
+    """Ids of texts, with memos of bounded size (some 200 bytes an entry)."""
+
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -36,41 +96,51 @@ class Encoder(dict):
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         parts = pre.get("pretokenizers", [])
+        self.kind, self.folds = "other", False
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-            self.cut, self.folds = _STRETCH.findall, False
+            self.kind = "spaced"  # a space belongs to the word after it
         elif pre.get("type") == "Sequence" and parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"\p{L}" in str(parts[0].get("pattern")):
-            self.cut, self.folds = bytes.split, any(x.get("type") == "Lowercase" for x in norm.get("normalizers", []))
-        else:
-            self.cut, self.folds = None, False
+            self.kind = "dropped"  # white space is dropped
+            self.folds = any(x.get("type") == "Lowercase" for x in norm.get("normalizers", []))
+        self.model = self.tokenizer.model
+        self.letters = _NO_LETTERS if self.kind == "other" else _LOW_LETTERS if self.folds else _LETTERS
+        self.after_space = _Memo(self, b" ", most)
+        self.bare = _Memo(self, b"", most if self.kind == "dropped" else most // 6)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def word(self, raw: bytes) -> bytes:
+        """The ids of one pre-token of plain letters, straight from the library's model."""
+        text = raw.decode() if self.folds and raw.isascii() else raw.decode("latin-1").translate(_BYTE_LETTERS)
+        return self.pack([t.id for t in self.model.tokenize(text)])
 
-    def __missing__(self, part: bytes) -> bytes:
-        low = part.lower() if self.folds else part
-        if low != part:
-            ids = self[low]
-        elif len(part) > 1 and part[-1] in _SIGNS and (part[-2] in _ALNUM or _LATIN.search(part, len(part) - 3, len(part) - 1)):
-            ids = self[part[:-1]] + self[part[-1:]]  # a sign after a letter or digit begins a pre-token
-        else:
-            ids = self._ids(part.decode())
-        if len(part) <= 64:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[part] = ids
-        return ids
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pack(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def stretch(self, s: bytes) -> bytes:
+        """Ids of a run of white space with what follows it up to the next."""
+        return self.after_space[s[1:]] if s[:1] == b" " and not s[1:2].isspace() else self.bare[s]
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text, little-endian, of ``dtype``."""
         if not text:
             return b""
         raw = text.encode()
-        if self.cut is None or (not raw.isascii() and _WIDE_SPACE.search(raw)) or (raw.isascii() and re.search(rb"[\x1c-\x1f]", raw)):
-            return self._ids(text)
-        return b"".join(map(self.__getitem__, self.cut(raw)))
+        if self.kind == "other" or _wide_space(raw):
+            return self.whole(text)
+        if self.kind == "dropped":
+            return b"".join(map(self.bare.__getitem__, raw.split()))
+        if any(x in raw for x in _ODD_SPACES):
+            return b"".join(map(self.stretch, _STRETCH.findall(raw)))
+        first, *rest = raw.split(b" ")
+        return b"".join(map(self.stretch, _STRETCH.findall(first))) + b"".join(map(self.after_space.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, most: int = 1_000_000) -> Encoder:
     """One per worker process and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, most)
