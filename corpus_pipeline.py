@@ -11,15 +11,16 @@ from veridoss.llm.op5_ngram_join import keep_one_per_component
 from veridoss.llm.op6_secrets import redact
 from veridoss.llm.op10_packing import pack
 from veridoss.llm.queries import domain_of, tokenizer_path
-from veridoss.llm.shared import keep
+from veridoss.llm.shared import bounded_batches, keep
 
 MIX_SHARE = 0.9  # of the tokens that reach the mixing stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lang becomes the identified language."""
+    bounded_batches(spark)
     model = language.train(docs, "text", "lang")
-    out = language.identify(spark, docs, model, F.col("text"), F.col("lang"), F.col("source"))
+    out = language.identify(spark, docs, model, "text", F.col("lang"), F.col("source"))
     return out.where("identified_lang <> 'und'").withColumn("lang", F.col("identified_lang")).select(*docs.columns)
 
 
@@ -30,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret's span gives way to a mark; all documents stay."""
+    bounded_batches(spark)
     return redact(spark, docs)
 
 
