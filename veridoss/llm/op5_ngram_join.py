@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from veridoss.llm.components import connected_components
 from veridoss.llm.shared import keep, maybe_broadcast, sum_counters, utf8
+from veridoss.llm.tokens import release
 from veridoss.llm.words import U, hashed, mix, shingles
 
 COUNTER_BITS = 20
@@ -37,6 +38,7 @@ BINS = 32  # hash ranges of the suffix filter
 
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    release()
     for batch in batches:
         for lo, hi, words, at in hashed(*utf8(batch.column(1))):
             for i in range(lo, hi):

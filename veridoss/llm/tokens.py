@@ -144,3 +144,8 @@ class Encoder:
 def encoder(path: str, most: int = 800_000) -> Encoder:
     """One per worker process and vocabulary file."""
     return Encoder(path, most)
+
+
+def release() -> None:
+    """Drop this worker's memo; operators that need the memory for other work call it first."""
+    encoder.cache_clear()
