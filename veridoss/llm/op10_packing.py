@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import bounded_batches
+from veridoss.llm.shared import bounded_batches, trimmed
 from veridoss.llm.tokens import encoder
 
 WINDOW = 4096
 END_ID = 2
 GROUP = 50_000
+MEMO = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -80,11 +81,11 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return sequences, offsets, used
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """Full windows and remainders of every document, with checksums of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             out: list[tuple] = []
@@ -96,17 +97,18 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(cut), PIECES)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, memo: int = MEMO) -> DataFrame:
     """One row per piece: its document, place, checksum, and sequence_id with offset.
 
-    sequence_id is the group's number times 2**32 plus a number within the group.
+    sequence_id is the group's number times 2**32 plus a number within the group. memo is how
+    many stretches of text a worker remembers.
     """
     bounded_batches(spark)
     groups = max(1, -(-docs.count() // group))
-    rows = pieces(docs, tokenizer, window, end_id, id_col, text_col)
+    rows = pieces(docs, tokenizer, window, end_id, id_col, text_col, memo)
     dealt = rows.repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,4 +123,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WIN
         table = table.append_column("sequence_id", pa.array(np.array(sequence, np.int64) + base)).append_column("offset", pa.array(offset, pa.int64()))
         yield from table.to_batches(max_chunksize=10_000)
 
-    return dealt.mapInArrow(fill, PIECES + ", sequence_id long, offset long")
+    return dealt.mapInArrow(trimmed(fill), PIECES + ", sequence_id long, offset long")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoss.llm.components import connected_components
-from veridoss.llm.shared import keep, maybe_broadcast, sum_counters, utf8
+from veridoss.llm.shared import keep, maybe_broadcast, sum_counters, trimmed, utf8
 from veridoss.llm.tokens import release
 from veridoss.llm.words import U, hashed, mix, shingles
 
@@ -65,7 +65,7 @@ def shingle_counters(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.nd
         some = [i for i in range(BLOCKS) if blocks[i].any()]
         yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "salt": pa.array([TaskContext.get().partitionId() % 32] * len(some), pa.int32()), "counts": pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in some], pa.binary())})
 
-    return sum_counters(docs.mapInArrow(count, "block int, salt int, counts binary"), "block", "counts", "uint32", 1 << bits)
+    return sum_counters(docs.mapInArrow(trimmed(count), "block int, salt int, counts binary"), "block", "counts", "uint32", 1 << bits)
 
 
 def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
@@ -101,7 +101,7 @@ def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
         if out["id"]:
             yield flush()
 
-    return docs.mapInArrow(make, schema)
+    return docs.mapInArrow(trimmed(make), schema)
 
 
 def _may_link(x: str, y: str, pct: int) -> Column:
@@ -135,7 +135,7 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
             good = np.abs(left - right).sum(1) <= na + nb - 2 * need
             yield x.select(["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(trimmed(test), "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, pct: int, broadcast_ids: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, pct: int, broadcast_ids:
                 good.append(len(p) > 0 and len(q) > 0 and 100 * common >= pct * (len(p) + len(q) - common))
             yield x.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(test), "a long, b long").distinct()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", counter_bits: int = COUNTER_BITS, broadcast_ids: int = 500_000) -> DataFrame:

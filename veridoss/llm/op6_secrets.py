@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import keep
+from veridoss.llm.shared import keep, trimmed
 
 FDR = 0.01
 RANDOM_LEVEL = 0.001
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = list(zip(*found, strict=True)) if found else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, SCAN)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(trimmed(run), SCAN)
 
 
 def thresholds(scanned: DataFrame, rate: float = FDR) -> dict[int, int]:
@@ -252,4 +252,4 @@ def redact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

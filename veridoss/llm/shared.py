@@ -8,8 +8,10 @@ recomputation of the lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +65,31 @@ def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Let Arrow batches hold at most ``rows`` rows, so that whole texts in them stay within memory."""
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> None:
+    """Let Arrow batches hold at most ``rows`` rows and about ``size``, so that whole texts in them stay within memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """work, after which a worker gives its freed memory back to the system rather than hold it while idle."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def id_buckets(df: DataFrame, key: Column, n: int) -> tuple[Column, int]:
     """A column that puts ids in at most n buckets of consecutive ids and about equal rows.
 

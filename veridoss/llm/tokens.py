@@ -141,7 +141,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, most: int = 800_000) -> Encoder:
+def encoder(path: str, most: int) -> Encoder:
     """One per worker process and vocabulary file."""
     return Encoder(path, most)
 
