@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import bounded_batches, id_buckets, keep, new_path
+from veridoss.llm.shared import bounded_batches, id_buckets, keep, new_path, trimmed
 from veridoss.llm.tokens import encoder
 
 MAGIC = b"VDRC"
 END_ID = 2
-MEMO = 1_700_000  # stretches remembered by a worker
+MEMO = 1_400_000  # stretches remembered by a worker
 _MASK = 0xA282EAD8
 _INDEX = np.dtype([("offset", "<u8"), ("before", "<u8"), ("tokens", "<u4")])
 
@@ -128,7 +128,7 @@ def write_records(spark: SparkSession, docs: DataFrame, tokenizer: str, path: st
             f.write(np.array(index, _INDEX).tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [file], "records": pa.array([len(index)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    return keep(spark, dealt.mapInArrow(write, "shard int, file string, records long, tokens long"), "shards")
+    return keep(spark, dealt.mapInArrow(trimmed(write), "shard int, file string, records long, tokens long"), "shards")
 
 
 def read_records(spark: SparkSession, shards: DataFrame) -> DataFrame:
@@ -163,4 +163,4 @@ def read_records(spark: SparkSession, shards: DataFrame) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                             out = []
 
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(trimmed(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

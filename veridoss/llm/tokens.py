@@ -65,6 +65,7 @@ class _Memo(dict):
             if (b"\n" in part and self.lead) or len(part) > 64:
                 return ids
         if len(self) >= self.most:
+            self.old = {}  # frees the old generation before the young one is copied
             self.old = dict(self)
             self.clear()
         self[part] = ids
