@@ -13,7 +13,7 @@ from veridoss.llm.op10_packing import pack
 from veridoss.llm.queries import domain_of, tokenizer_path
 from veridoss.llm.shared import bounded_batches, keep
 
-MEMO = 300_000  # stretches remembered beside what earlier stages left in an executor
+SLOT_BITS = 20  # of the token table, beside what earlier stages left in an executor
 MIX_SHARE = 0.9  # of the tokens that reach the mixing stage
 
 
@@ -43,7 +43,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    return pack(spark, docs, tokenizer_path("word_bpe_49k.json"), memo=MEMO)
+    return pack(spark, docs, tokenizer_path("word_bpe_49k.json"), slot_bits=SLOT_BITS)
 
 
 STAGES = [

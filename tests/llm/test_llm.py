@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,16 +129,27 @@ def test_op2_is_homomorphic(spark):
     assert r.fx == r.fy == r.s and r.d == r.fq and r.fx != r.fq
 
 
-def test_tokens_match_the_library():
+def test_tokens_match_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
+    import veridoss.llm.tokens as tokens
+
     rng = random.Random(2)
     parts = ["a", "B", "é", "«", ".", ",", "!", "'s", "\n", "  ", " ", "\t", "\x1c", " ", "1", "²", "日本", "<|endoftext|>", "İ", "́", "...", "\r\n", "\x85"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        enc, tok = Encoder(tokenizer_path(name), most=50), Tokenizer.from_file(tokenizer_path(name))
-        for _ in range(1500):
-            t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
-            assert np.frombuffer(enc.packed(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+        enc, tok = Encoder(tokenizer_path(name), slot_bits=6), Tokenizer.from_file(tokenizer_path(name))
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        for t, ids in zip(texts, want):  # one by one
+            assert [x.tolist() for x in enc.encode(pa.array([t]))] == [ids]
+        for size in (1 << 21, 200, 1):  # together, in blocks, and long texts in pieces
+            monkeypatch.setattr(tokens, "BLOCK", size)
+            assert [x.tolist() for x in enc.encode(pa.array(texts))] == want
+        words = ["Straße", "ÄPFEL", "naïve,", "don't", "x" * 40, "÷,", "word.", "Word!", "a\0", "a", "3,", "**", "<|endoftext|>", "<|ENDOFTEXT|>", "été;", "\n", "\n\n", "日本語"]
+        long = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(3)] + [None, "", " ", "\n"]
+        for size in (1 << 21, 500):
+            monkeypatch.setattr(tokens, "BLOCK", size)
+            assert [x.tolist() for x in enc.encode(pa.array(long, pa.string()))] == [tok.encode(t or "", add_special_tokens=False).ids for t in long]
 
 
 def ids_of(name, text):

@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoss.llm.shared import bounded_batches, trimmed
-from veridoss.llm.tokens import encoder
+from veridoss.llm.tokens import SLOT_BITS, encoder
 
 WINDOW = 4096
 END_ID = 2
 GROUP = 50_000
-MEMO = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -81,16 +80,15 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return sequences, offsets, used
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
     """Full windows and remainders of every document, with checksums of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, memo)
-        end = np.array([end_id], enc.dtype).tobytes()
+        enc = encoder(tokenizer, slot_bits)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.packed(text) + end, enc.dtype).astype("<u4")
+            for doc, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
+                ids = np.append(body, end_id).astype("<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
                     out.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
@@ -100,15 +98,15 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(cut), PIECES)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, memo: int = MEMO) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, slot_bits: int = SLOT_BITS) -> DataFrame:
     """One row per piece: its document, place, checksum, and sequence_id with offset.
 
-    sequence_id is the group's number times 2**32 plus a number within the group. memo is how
-    many stretches of text a worker remembers.
+    sequence_id is the group's number times 2**32 plus a number within the group. A worker
+    keeps the ids of 2**slot_bits units of text at most.
     """
     bounded_batches(spark)
     groups = max(1, -(-docs.count() // group))
-    rows = pieces(docs, tokenizer, window, end_id, id_col, text_col, memo)
+    rows = pieces(docs, tokenizer, window, end_id, id_col, text_col, slot_bits)
     dealt = rows.repartition(groups, F.xxhash64("doc_id", "start", "ids_crc32"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

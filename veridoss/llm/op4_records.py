@@ -35,7 +35,6 @@ from veridoss.llm.tokens import encoder
 
 MAGIC = b"VDRC"
 END_ID = 2
-MEMO = 1_400_000  # stretches remembered by a worker
 _MASK = 0xA282EAD8
 _INDEX = np.dtype([("offset", "<u8"), ("before", "<u8"), ("tokens", "<u4")])
 
@@ -103,19 +102,19 @@ def write_records(spark: SparkSession, docs: DataFrame, tokenizer: str, path: st
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer, MEMO)
+        enc = encoder(tokenizer)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         shard = TaskContext.get().partitionId()
         file = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}.rec"
         fs, name = _fs(file)
         out, index, at, tokens = None, [], 8, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, body in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 if out is None:
                     fs.create_dir(name.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(name, buffer_size=1 << 20)
                     out.write(MAGIC + bytes([width, 0, 0, 0]))
-                ids = enc.packed(text) + end
+                ids = body.tobytes() + end
                 record = frame(payload_of(doc, ids))
                 out.write(record)
                 index.append((at, tokens, len(ids) // width))
