@@ -41,7 +41,7 @@ def domain_of(source: Column) -> Column:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.train(docs, "text", "lang")
-    out = language.identify(spark, docs.select("doc_id", "text", "lang", "source"), model, "text", F.col("lang"), F.col("source"))
+    out = language.identify(spark, docs.select("doc_id", "text", "lang", "source"), model, "text", F.col("lang"), F.col("source"), returned=["doc_id", "lang"])
     return out.select("doc_id", F.col("lang").alias("declared_lang"), "text_lang", "identified_lang", F.round("confidence", 6).alias("confidence"), (F.col("identified_lang") == "und").alias("rejected"))
 
 
@@ -49,7 +49,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator where markup, address suffix and host are all present."""
     model = language.train(documents(spark, sf_dir), "text", "lang")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    out = language.identify(spark, pages, model, language.html_text(F.col("html")), language.declared_in_markup(F.col("html")), language.host_of(F.col("url")))
+    out = language.identify(spark, pages, model, language.html_text(F.col("html")), language.declared_in_markup(F.col("html")), language.host_of(F.col("url")), returned=["page_id"])
     return out.select("page_id", "text_lang", "identified_lang", F.round("confidence", 6).alias("confidence"))
 
 

@@ -115,6 +115,23 @@ def maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, most_rows) else df
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for private columns that none of the taken ones equals, letters' case aside."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
