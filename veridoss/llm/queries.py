@@ -81,7 +81,7 @@ def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = licenses.train(licenses.negative_paragraphs(docs))
+    model = licenses.train(licenses.negative_lines(docs))
     return licenses.license_report(docs, model)
 
 
