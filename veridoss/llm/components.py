@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import keep
+from veridoss.llm.shared import drop, keep_at
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     Each round is two map-side-combined minima and two joins; the table of edges is written
     to the shared folder so lineage never grows. Nothing but two numbers reaches the driver.
     """
-    now = keep(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, held = keep_at(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(floor, "u")
         nxt = hop.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
-        now = keep(spark, nxt.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        now, path = keep_at(spark, nxt.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        drop(spark, held)  # what this round replaced
+        held = path
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -1,19 +1,23 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Plan: (1) one pass counts shingles into a fixed array of hashed counters - any global
-order is right for prefix filtering, this one puts rare shingles first; (2) one pass makes
-each text's set, its signature and its prefix of rarest shingles; (3) texts with equal sets
-fold into a class; (4) classes that share a prefix shingle are linked, first to one centre
-per shingle and length band (a linear number of pairs), then - only across groups that are
-not yet connected - pairwise with the positional filter; (5) the suffix filter compares
-counts of shingles per hash range; (6) each surviving pair is verified once, on whole sets
-rebuilt from the texts; (7) components by large-star/small-star.
+Plan: (1) one pass counts shingles into an array of hashed counters, whose size follows the number
+of rows - any global order is right for prefix filtering, this one puts rare shingles first; (2) one
+pass makes each text's set, its signature, its prefix of rarest shingles and its counts of shingles
+in ranges of the global order; (3) texts with equal sets fold into a class; (4) classes that share a
+prefix shingle are linked, first to one centre per shingle and length band (a linear number of
+pairs), then - only across groups that are not yet connected - pairwise with the positional filter;
+where a shingle is in very many open prefixes, its classes must share a second (and a third) shingle
+of a prefix longer by one (two) before they are paired; (5) the suffix filter bounds the Hamming
+distance of what follows the common shingle in the global order, range by range; (6) each surviving
+pair is verified once, on whole sets rebuilt from the texts; (7) components by large-star/small-star.
 
 A pair is never verified twice and never skipped unless its two ends are already connected.
 
 Defined results. Null or empty text, or only white space: an empty set, linked with nothing,
 component_id is its own id. A null id: row kept, component null. Rows that repeat an id count
-as one document. An empty table gives an empty result. Extra columns are ignored.
+as one document, which links with whatever one of its texts links with. Equal sets: one class, whose id
+is the smallest. Very long texts are read whole, in slices. An empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from veridoss.llm.shared import keep, maybe_broadcast, sum_counters, trimmed, ut
 from veridoss.llm.tokens import release
 from veridoss.llm.words import U, hashed, mix, shingles
 
-COUNTER_BITS = 20
+COUNTER_BITS = (20, 24)  # least and most; between, four counters a row
 BLOCKS = 64
 STAR_ROUNDS = 1
-BINS = 32  # hash ranges of the suffix filter
+BINS = 32  # ranges of the global order in the suffix filter
+DEPTH = 3  # shingles that classes share at most before they are paired
+HOT = 2_000  # open postings of a shingle from which a further one is asked for
 
 
 def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -45,7 +51,7 @@ def _rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Record
                 yield batch, i, shingles(words[at[i - lo] : at[i - lo + 1]], k)
 
 
-def shingle_counters(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.ndarray:
+def shingle_counters(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """How many texts hold a shingle of each of 2**bits hash values, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +74,20 @@ def shingle_counters(docs: DataFrame, k: int, bits: int = COUNTER_BITS) -> np.nd
     return sum_counters(docs.mapInArrow(trimmed(count), "block int, salt int, counts binary"), "block", "counts", "uint32", 1 << bits)
 
 
+def _ranks(freq: np.ndarray) -> np.ndarray:
+    """Each counter's place in the global order: rare ones first, equal ones by number."""
+    out = np.empty(len(freq), np.uint32)
+    out[np.argsort(freq, kind="stable")] = np.arange(len(freq), dtype=np.uint32)
+    return out
+
+
 def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(counters)  # 2**bits numbers, whatever the input
+    held = docs.sparkSession.sparkContext.broadcast(_ranks(counters))  # at most 2**24 numbers, whatever the input
+    bits = len(counters).bit_length() - 1
     schema = "id long, n int, sig0 long, sig1 long, prefix array<long>, bins binary"
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq, mask = held.value, U(len(held.value) - 1)
+        ranks, mask = held.value, U(len(held.value) - 1)
         out: dict[str, list] = {c: [] for c in ("id", "n", "sig0", "sig1", "prefix", "bins")}
         current = None
 
@@ -88,14 +102,15 @@ def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
             if batch is not current:
                 current, ids = batch, batch.column(0).to_pylist()
             n = len(s)
-            size = n - -(-pct * n // 100) + 1 if n else 0
-            order = np.lexsort((s, freq[s & mask]))[:size]
+            size = n - -(-pct * n // 100) + DEPTH if n else 0
+            rank = ranks[s & mask]
+            order = np.lexsort((s, rank))[:size]
             out["id"].append(ids[i])
             out["n"].append(n)
             out["sig0"].append(int(np.add.reduce(mix(s)).astype(np.int64)) if n else 0)
             out["sig1"].append(int(np.add.reduce(mix(s ^ U(0xA5A5A5A5A5A5A5A5))).astype(np.int64)) if n else 0)
             out["prefix"].append(s[order].view(np.int64))
-            out["bins"].append(np.minimum(np.bincount((s >> U(59)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes())
+            out["bins"].append(np.bincount(rank >> np.uint32(bits - 5), minlength=BINS).astype("<u4").tobytes())
             if len(out["id"]) >= 2000:
                 yield flush()
         if out["id"]:
@@ -104,38 +119,77 @@ def _sets(docs: DataFrame, k: int, pct: int, counters: np.ndarray) -> DataFrame:
     return docs.mapInArrow(trimmed(make), schema)
 
 
-def _may_link(x: str, y: str, pct: int) -> Column:
-    """Length and positional filters for two postings of one shingle.
+def _may_link(x: str, y: str, pct: int, depth: int = 1) -> Column:
+    """Length and positional filters for two postings of one chain of depth shingles.
 
     A link needs an overlap of at least ceil(pct * (nx + ny) / (100 + pct)). Whatever stands in a
     set's order before the first common shingle is missing from the other set, so that shingle's
-    position is at most n less the overlap needed, in both sets.
+    position is at most n less the overlap needed, in both sets; the d-th common one may stand d - 1
+    later.
     """
     nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
     need = F.ceil(F.lit(pct) * (nx + ny) / F.lit(100.0 + pct))
-    return (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny)) & (F.col(f"{x}pos") <= nx - need) & (F.col(f"{y}pos") <= ny - need)
+    last = F.lit(depth - 1)
+    return (100 * F.least(nx, ny) >= pct * F.greatest(nx, ny)) & (F.col(f"{x}pos") <= nx - need + last) & (F.col(f"{y}pos") <= ny - need + last)
 
 
 def _suffix_filter(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
-    """Drop pairs whose shingle counts per hash range differ by more than the threshold allows.
+    """Drop pairs whose suffixes differ by more than the threshold allows; pairs: (a, b, pa, pb).
 
-    Sum over ranges of |difference| is a lower bound of the sets' Hamming distance, which
-    for a link is at most nx + ny - 2 * least overlap.
+    pa and pb are the positions of one common shingle in the two sets. Ranges of the global order
+    split what follows it in both sets alike, so the Hamming distance is at least the difference of
+    the positions and the sum over ranges of the differences of counts; for a link it is at most
+    nx + ny - 2 * least overlap. Counts after a position are had from counts of the whole set, as the
+    shingles up to it fill the lowest ranges.
     """
     light = reps.select("id", "n", "bins")
     both = pairs.join(light.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(light.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
 
+    def after(blobs: list[bytes], at: np.ndarray) -> np.ndarray:
+        counts = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, BINS).astype(np.int64)
+        return np.clip(np.cumsum(counts, 1) - (at + 1)[:, None], 0, counts)
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u2").reshape(-1, BINS).astype(np.int64) for c in ("ba", "bb"))
-            na, nb = (x.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            na, nb, at_a, at_b = (x.column(c).to_numpy().astype(np.int64) for c in ("na", "nb", "pa", "pb"))
+            left, right = after(x.column("ba").to_pylist(), at_a), after(x.column("bb").to_pylist(), at_b)
             need = -(-pct * (na + nb) // (100 + pct))
-            good = np.abs(left - right).sum(1) <= na + nb - 2 * need
+            good = np.abs(at_a - at_b) + np.abs(left - right).sum(1) <= na + nb - 2 * need
             yield x.select(["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(trimmed(test), "a long, b long")
+    return both.select("a", "b", "pa", "pb", "na", "nb", "ba", "bb").mapInArrow(trimmed(test), "a long, b long")
+
+
+def _across(spark: SparkSession, open_: DataFrame, prefixes: DataFrame, pct: int, hot: int = HOT) -> DataFrame:
+    """(a, b, pa, pb) of classes in different components that share a prefix shingle and may link.
+
+    A shingle of more than ``hot`` open postings is extended: links have a second common shingle, later in
+    the order, within a prefix longer by one, so only classes that share both are paired; likewise a
+    third. pa and pb are the positions of the last shared one.
+    """
+    columns = ["key", "id", "n", "pos", "component"]
+    level, out = open_.select(F.xxhash64("token").alias("key"), "id", "n", "pos", "component"), None
+    for depth in range(1, DEPTH + 1):
+        level = keep(spark, level, "open")
+        if depth < DEPTH:
+            many = keep(spark, level.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
+            some = level.join(maybe_broadcast(many, 100_000), "key", "left_anti")
+        else:
+            many, some = None, level
+        x, y = some.alias("x"), some.alias("y")
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", pct, depth))
+        found = found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+        out = found if out is None else out.unionByName(found)
+        if many is None or not many.limit(1).count():
+            break
+        size = F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100.0)).cast("int") + 1 + depth  # of a prefix longer by depth
+        wider = level.join(maybe_broadcast(many, 100_000), "key", "left_semi").join(prefixes, "id")
+        level = wider.select("key", "id", "n", "component", F.col("pos").alias("before"), F.posexplode(F.slice("prefix", 1, size)).alias("pos", "token")).where("pos > before").withColumn("key", F.xxhash64("key", "token")).select(*columns)
+        both = level.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        level = level.join(both, "key", "left_semi")
+    return out.groupBy("a", "b").agg(F.min(F.struct("pa", "pb")).alias("p")).select("a", "b", "p.pa", "p.pb")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, pct: int, broadcast_ids: int) -> DataFrame:
@@ -171,23 +225,26 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, pct: int, broadcast_ids:
     return both.select("a", "b", "ta", "tb").mapInArrow(trimmed(test), "a long, b long").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", counter_bits: int = COUNTER_BITS, broadcast_ids: int = 500_000) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text", counter_bits: int | None = None, broadcast_ids: int = 500_000, hot: int = HOT) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (smallest id with an equal set), component_id.
 
     Two texts link when 100 * |A n B| >= threshold_pct * |A u B| for their sets of k-word
     shingles; component_id is the smallest id reachable over links. See the module's notes
-    for nulls, ties and empty input. broadcast_ids bounds a broadcast of candidate ids
+    for nulls, ties and empty input. hot: see ``_across``. broadcast_ids bounds a broadcast of candidate ids
     (8 bytes each); above it the same join is shuffled.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pct = threshold_pct
-    counters = shingle_counters(docs, k, counter_bits)
+    least, most = COUNTER_BITS
+    counters = shingle_counters(docs, k, counter_bits or min(most, max(least, docs.count().bit_length() + 2)))
     sets = keep(spark, _sets(docs, k, pct, counters), "sets")
     usable = sets.where("n > 0 AND id IS NOT NULL")
     classes = keep(spark, usable.groupBy("sig0", "sig1", "n").agg(F.min("id").alias("rep")), "classes")
     reps = keep(spark, usable.join(classes.select("sig0", "sig1", "n", F.col("rep").alias("id")), ["sig0", "sig1", "n", "id"], "left_semi").select("id", "n", "prefix", "bins"), "reps")
 
-    flat = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # the first DEPTH - 1 shingles fewer: those serve hot shingles only
+    short = F.slice("prefix", 1, F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100.0)).cast("int") + 1)
+    flat = reps.select("id", "n", F.posexplode(short).alias("pos", "token"))
     often = flat.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / pct))).cast("int")
     postings = keep(spark, flat.join(often, "token").withColumn("band", band), "postings")
@@ -201,12 +258,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, thresho
             open_.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
             .join(centres, ["token", "band"])
             .where((F.col("component") != F.col("c.component")) & _may_link("", "c.", pct))
-            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-            .distinct()
+            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"), F.when(F.col("id") < F.col("c.id"), F.struct(F.col("pos").alias("pa"), F.col("c.pos").alias("pb"))).otherwise(F.struct(F.col("c.pos").alias("pa"), F.col("pos").alias("pb"))).alias("p"))
+            .groupBy("a", "b")
+            .agg(F.min("p").alias("p"))
+            .select("a", "b", "p.pa", "p.pb")
         )
         stars = keep(spark, stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         found = keep(spark, _verify(keep(spark, _suffix_filter(stars, reps, pct), "survivors"), docs, k, pct, broadcast_ids), "links")
-        tried = stars if tried is None else tried.unionByName(stars)
+        tried = stars.select("a", "b") if tried is None else tried.unionByName(stars.select("a", "b"))
         links = found if links is None else links.unionByName(found)
         parts = connected_components(spark, links)
         labelled = postings.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).select("token", "id", "n", "pos", "band", "component")
@@ -214,13 +273,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, thresho
         open_ = keep(spark, labelled.join(mixed, "token", "left_semi"), "open")
         if not open_.limit(1).count():
             break
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", pct))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    cross = _across(spark, open_, reps.select("id", "prefix"), pct, hot).join(tried, ["a", "b"], "left_anti")
     left = keep(spark, _suffix_filter(keep(spark, cross, "cross"), reps, pct), "survivors")
     more = _verify(left, docs, k, pct, broadcast_ids)
     final = connected_components(spark, links.unionByName(more))

@@ -58,11 +58,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return a DataFrame that reads it."""
+def keep_at(spark: SparkSession, df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder; a DataFrame that reads it, and its path."""
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, **options)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def keep(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and return a DataFrame that reads it."""
+    return keep_at(spark, df, name, **options)[0]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> None:
