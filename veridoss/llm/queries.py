@@ -76,7 +76,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(documents(spark, sf_dir))
+    return media.media_digests(spark, documents(spark, sf_dir))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
