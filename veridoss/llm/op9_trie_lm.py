@@ -9,23 +9,27 @@ relative to its context: as its rank among the successors of the shorter context
 number than its id. A search is a successor search: select the bucket of the high bits, then
 look among the low bits. Probabilities and back-off weights are logarithms in 16-bit steps.
 
-Smoothing is interpolated absolute discounting. n-grams seen fewer than MIN_COUNT[k] times are
-not stored; their mass goes to the back-off weight, so each distribution sums to one up to
-quantisation. Level 1 adds 0.1 to each count and to an unknown word's.
+Smoothing is interpolated discounting; an n-gram seen once loses most of its count, one seen more
+often DISCOUNT of it. All n-grams are stored. least, off by default, leaves out those seen less
+often; their mass goes to the back-off weight, so each distribution sums to one up to quantisation
+either way. Level 1 adds 0.1 to each count and to an unknown word's.
 
 Each level is built by two steps: tasks count distinct (context, word) pairs and send packed
-blocks by context range; a task per range merges them and writes one file in the shared
-folder under a name of its own attempt. Workers map those files; what a worker holds is bounded
-by its block of tokens, whatever the model's size.
+blocks by context range; a task per range adds them up as they arrive, so that it holds distinct
+pairs only, and writes one file in the shared folder under a name of its own attempt. The number of
+ranges follows the number of tokens (PART_TOKENS), and ranges are dealt to tasks by number. Workers
+map those files, their select directories included; what a worker holds is bounded by its block of
+tokens, whatever the model's size. Files of a store that cannot be mapped are read into memory, a
+part at a time, and the least recently used go beyond REMOTE_BYTES.
 
 Defined results. Null or empty text: the end token alone. Null ids are held out (their text
-is ""). Repeated rows count as often as they occur. With no training text all tokens are unknown.
+is ""). Repeated rows count as often as they occur; ties do not arise, as nothing is ranked. Very long
+texts are scored whole: a text is never cut, its tokens are one block if there are more than BLOCK.
+With no training text all tokens are unknown. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import keep, new_path, utf8
+from veridoss.llm.shared import keep, new_path, trimmed, utf8
 from veridoss.llm.words import U, hashed, mix
 
 ORDER = 3
-MIN_COUNT = {2: 2, 3: 2}
-DISCOUNT = 0.75
+ONCE = 0.9  # what an n-gram seen once loses of its count
+DISCOUNT = 1.2  # what one seen more often loses
+PART_TOKENS = 6_000_000  # training tokens to a part of a level
+PENDING = 2_000_000  # entries that a merging task holds before it adds them up
+REMOTE_BYTES = 256 << 20
 ADD = 0.1
 BLOCK = 1 << 20  # tokens handled at once
 LOG_STEP = 16.0 / 65535  # log10 values from -16 to 0
@@ -71,11 +78,10 @@ def _select_in(words: np.ndarray, k: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A non-decreasing sequence below a bound: packed high bits and byte-aligned low bits."""
 
-    PARTS = ("low", "high", "ones")
+    PARTS = ("low", "high", "ones", "zeros")
 
-    def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.shift, self.low, self.high, self.ones = n, shift, low, high, ones
-        self.zeros = np.arange(len(ones), dtype=np.int64) * 64 - ones.astype(np.int64)
+    def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> None:
+        self.n, self.shift, self.low, self.high, self.ones, self.zeros = n, shift, low, high, ones, zeros
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -93,18 +99,18 @@ class EliasFano:
         high = np.packbits(bits, bitorder="little").view(U)
         ones = np.zeros(size + 1, np.uint32)
         np.cumsum(np.bitwise_count(high), out=ones[1:])
-        return cls(n, shift, low, high, ones)
+        return cls(n, shift, low, high, ones, (np.arange(size + 1, dtype=np.int64) * 64 - ones).astype(np.uint32))
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values: select among ones, then join the low bits."""
-        word = np.searchsorted(self.ones, i, "right") - 1
+        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
         place = word * 64 + _select_in(self.high[word], i - self.ones[word].astype(np.int64))
         value = (place - i) << self.shift
         return value | self.low[i].astype(np.int64) if self.shift else value
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
-        word = np.minimum(np.searchsorted(self.zeros, k, "right") - 1, len(self.high) - 1)
-        return word * 64 + _select_in(~self.high[word], k - self.zeros[word])
+        word = np.minimum(np.searchsorted(self.zeros, k.astype(np.uint32), "right") - 1, len(self.high) - 1)
+        return word * 64 + _select_in(~self.high[word], k - self.zeros[word].astype(np.int64))
 
     def _ones_from(self, place: np.ndarray, zero: np.ndarray) -> np.ndarray:
         """How many ones stand from place up to the next zero, which is the zero-th one."""
@@ -169,31 +175,22 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
             f.write(a.tobytes().ljust(-(-a.nbytes // 64) * 64, b"\0"))
 
 
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    """Memory-map a file of ``write_arrays``; a remote one is first fetched to a file that is unlinked once mapped."""
+def map_arrays(path: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a file of ``write_arrays``, mapped where it is local and read where it is not, and the bytes read."""
     fs, name = _file_system(path)
-    local, fetched = name, None
-    if fs.type_name != "local":
-        fd, fetched = tempfile.mkstemp()
-        with fs.open_input_stream(name) as src, os.fdopen(fd, "wb") as dst:
-            while chunk := src.read(1 << 22):
-                dst.write(chunk)
-        local = fetched
-    data = np.memmap(local, np.uint8, "r")
-    if fetched:
-        os.unlink(fetched)
+    remote = fs.type_name != "local"
+    if remote:
+        with fs.open_input_stream(name) as src:
+            data = np.frombuffer(src.read(), np.uint8)
+    else:
+        data = np.memmap(name, np.uint8, "r")
     size = int.from_bytes(data[:8].tobytes(), "little")
     out = {}
     for item in data[8:size].tobytes().decode().strip().split(";"):
         key, kind, n, at = item.split(" ")
         kind = np.dtype(kind)
         out[key] = data[size + int(at) : size + int(at) + int(n) * kind.itemsize].view(kind)
-    return out
-
-
-def _order_of_parts(which: np.ndarray, parts: int) -> np.ndarray:
-    """A stable order by part; numbers of 16 bits are sorted by radix."""
-    return np.argsort(which.astype(np.uint16) if parts <= 1 << 16 else which, kind="stable")
+    return out, len(data) if remote else 0
 
 
 def _order_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,73 +207,82 @@ class Level:
         self.files = [f for f, _ in files]
         self.starts = np.concatenate(([0], np.cumsum([n for _, n in files]))).astype(np.int64)
         self.width = width
-        self.held: dict[int, dict] = {}
+        self.held: dict[int, tuple[dict, int]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"held": {}}
 
     def part(self, i: int) -> dict:
-        if i not in self.held:
-            a = map_arrays(self.files[i]) if self.files[i] else {}
-            if "values.meta" in a:
-                a |= {k: EliasFano.from_arrays(a, k) for k in ("values", "pointers", "bases")}
-            self.held[i] = a
-        return self.held[i]
+        if i in self.held:
+            self.held[i] = self.held.pop(i)  # the latest one stands last
+            return self.held[i][0]
+        a, size = map_arrays(self.files[i])
+        if "values.meta" in a:
+            a |= {k: EliasFano.from_arrays(a, k) for k in ("values", "pointers", "bases")}
+        self.held[i] = a, size
+        while size and sum(n for _, n in self.held.values()) > REMOTE_BYTES and len(self.held) > 1:
+            self.held.pop(next(iter(self.held)))
+        return a
 
     @property
     def entries(self) -> int:
         return int(self.starts[-1])
 
-    def by_part(self, context: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Parts and the positions of known contexts that fall into them."""
-        known = np.flatnonzero(context >= 0)
-        which = context[known] // self.width
-        order = _order_of_parts(which, len(self.files))
-        cuts = np.flatnonzero(np.diff(which[order])) + 1
-        for group in np.split(order, cuts):
-            if len(group) and which[group[0]] < len(self.files) and self.files[which[group[0]]]:
-                yield int(which[group[0]]), known[group]
-
-    def find(self, context: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Global entry numbers of (context, value), or -1."""
-        out = np.full(len(context), NONE)
-        for p, at in self.by_part(np.where(value >= 0, context, NONE)):
-            a = self.part(p)
-            local = context[at] - p * self.width
-            distinct, back = np.unique(local, return_inverse=True)
+    def look(self, pairs: Pairs, scores: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct pair: global entry number or -1, number of its context's first entry, log10
+        probability (0 if there is no entry) and log10 back-off weight of the context."""
+        context, value = pairs.context, pairs.value
+        entry, before = np.full(len(context), NONE), np.zeros(len(context), np.int64)
+        prob, weight = np.zeros(len(context)), np.zeros(len(context))
+        cuts = np.searchsorted(context, np.arange(len(self.files) + 1, dtype=np.int64) * self.width)
+        for p in np.flatnonzero(np.diff(cuts)):
+            if not self.files[p]:
+                continue
+            x, y = cuts[p], cuts[p + 1]
+            a, local, v = self.part(int(p)), context[x:y] - p * self.width, value[x:y]
+            change = np.concatenate(([True], local[1:] != local[:-1]))
+            distinct, back = local[change], np.cumsum(change) - 1
             low, high = a["bases"].access(distinct)[back], a["bases"].access(distinct + 1)[back]
-            want = low + value[at]
-            got = a["values"].find(np.where(want < high, want, 0))
-            out[at] = np.where((want < high) & (got >= 0), got + self.starts[p], NONE)
-        return out
+            want = low + v
+            inside = (v >= 0) & (want < high)
+            got = a["values"].find(np.where(inside, want, 0))
+            found = inside & (got >= 0)
+            entry[x:y] = np.where(found, got + self.starts[p], NONE)
+            if scores:
+                prob[x:y] = np.where(found, unquantise(a["prob"][np.where(found, got, 0)]) if len(a["prob"]) else 0.0, 0.0)
+                weight[x:y] = unquantise(a["backoff"][distinct])[back]
+            before[x:y] = a["pointers"].access(distinct)[back] + self.starts[p]
+        return entry, before, prob, weight
 
-    def first(self, context: np.ndarray) -> np.ndarray:
-        """Global number of the first entry below each known context."""
-        out = np.full(len(context), NONE)
-        for p, at in self.by_part(context):
-            distinct, back = np.unique(context[at] - p * self.width, return_inverse=True)
-            out[at] = self.part(p)["pointers"].access(distinct)[back] + self.starts[p]
+    def log_prob(self, entry: np.ndarray) -> np.ndarray:
+        """log10 probabilities of entries, in ascending order of their numbers or not."""
+        out, order = np.zeros(len(entry)), np.argsort(entry)
+        ranked = entry[order]
+        cuts = np.searchsorted(ranked, self.starts)
+        for p in np.flatnonzero(np.diff(cuts)):
+            mine = slice(cuts[p], cuts[p + 1])
+            out[order[mine]] = unquantise(self.part(int(p))["prob"][ranked[mine] - self.starts[p]])
         return out
 
-    def _gather(self, index: np.ndarray, name: str, starts: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(index))
-        known = np.flatnonzero(index >= 0)
-        which = np.searchsorted(starts, index[known], "right") - 1
-        order = _order_of_parts(which, len(self.files))
-        for group in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
-            if len(group):
-                p = int(which[group[0]])
-                a = self.part(p)
-                if name in a:
-                    local = index[known[group]] - starts[p]
-                    out[known[group]] = unquantise(a[name][local])
-        return out
 
-    def log_prob(self, entry: np.ndarray) -> np.ndarray:
-        return self._gather(entry, "prob", self.starts)
+class Pairs:
+    """The distinct (context, value) pairs of a block in ascending order, and where each token's is."""
 
-    def backoff(self, context: np.ndarray) -> np.ndarray:
-        return self._gather(context, "backoff", np.arange(len(self.files) + 1) * self.width)
+    def __init__(self, context: np.ndarray, value: np.ndarray) -> None:
+        self.known = np.flatnonzero(context >= 0)
+        c, v = context[self.known], value[self.known] + 1  # no value: 0
+        order = _order_of_pairs(c, v)
+        c, v = c[order], v[order]
+        self.first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])))) if len(c) else np.zeros(0, np.int64)
+        self.context, self.value = c[self.first], v[self.first] - 1
+        self.count = np.diff(np.concatenate((self.first, [len(c)])))
+        self.at = self.known[order]
+
+    def spread(self, x: np.ndarray, size: int, missing: float) -> np.ndarray:
+        """x by distinct pair as an array by token."""
+        out = np.full(size, missing, x.dtype)
+        out[self.at] = np.repeat(x, self.count)
+        return out
 
 
 class Vocabulary(Level):
@@ -384,8 +390,31 @@ def _built(part: int, file: str, n: int, total: int) -> pa.Table:
     return pa.table({"part": pa.array([part], pa.int32()), "file": [file], "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.int64())})
 
 
-def _files(spark: SparkSession, sent: DataFrame, merge, parts: int, name: str) -> tuple[list[tuple[str, int]], int]:
-    rows = {r.part: r for r in keep(spark, sent.groupBy("part").applyInArrow(merge, _BUILT), name).collect()}  # one row a file
+def _files(spark: SparkSession, sent: DataFrame, kinds: list, fold, write, parts: int, name: str) -> tuple[list[tuple[str, int]], int]:
+    """Send blocks to the task of their part, add them up by fold as they come, and write a file by write.
+
+    Parts are dealt by number: hashed numbers would share tasks and leave others idle.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, pending, n = None, None, [], 0
+
+        def add_up() -> list[np.ndarray]:
+            got = [*([held] if held else []), *pending]
+            return fold([np.concatenate([g[i] for g in got]) for i in range(len(kinds))])
+
+        for batch in batches:
+            for p, size, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
+                part = p
+                pending.append(_unpack(blob, size, kinds))
+                n += size
+                if n > max(PENDING, len(held[0]) if held else 0):
+                    held, pending, n = add_up(), [], 0
+        if part is not None:
+            yield from _built(*write(part, add_up())).to_batches()
+
+    dealt = sent.repartitionById(parts, F.col("part")).mapInArrow(trimmed(merge), _BUILT)
+    rows = {r.part: r for r in keep(spark, dealt, name).collect()}  # one row a file
     return [(rows[p].file, rows[p].n) if p in rows else ("", 0) for p in range(parts)], sum(r.total for r in rows.values())
 
 
@@ -402,7 +431,7 @@ def build_vocabulary(spark: SparkSession, docs: DataFrame, path: str, parts: int
 
         def flush() -> pa.RecordBatch:
             keys, n = _sum_by(np.concatenate([k for k, _ in seen]), np.concatenate([c for _, c in seen]))
-            return _send(_vocabulary_part(keys, parts), [keys, n.astype(np.uint32)])
+            return _send(_vocabulary_part(keys, parts), [keys, n])
 
         for _, words, _ in _blocks(batches, True):
             seen.append(np.unique(words, return_counts=True))
@@ -413,15 +442,14 @@ def build_vocabulary(spark: SparkSession, docs: DataFrame, path: str, parts: int
         if seen:
             yield flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        got = [_unpack(b, n, [U, np.uint32]) for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-        keys, n = _sum_by(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-        part = table.column("part")[0].as_py()
+    def write(part: int, arrays: list[np.ndarray]) -> tuple:
+        keys, n = arrays
         file = f"{path}/level1-{part:06d}-{uuid.uuid4().hex[:8]}"
         write_arrays(file, {"hash": keys, "count": n})
-        return _built(part, file, len(keys), int(n.sum()))
+        return part, file, len(keys), int(n.sum())
 
-    files, tokens = _files(spark, docs.mapInArrow(count, _SENT), merge, parts, "vocabulary")
+    fold = lambda arrays: list(_sum_by(*arrays))
+    files, tokens = _files(spark, docs.mapInArrow(trimmed(count), _SENT), [U, np.int64], fold, write, parts, "vocabulary")
     return Vocabulary(files, tokens)
 
 
@@ -431,8 +459,8 @@ class Trie:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.levels = vocabulary, []
 
-    def walk(self, ids: np.ndarray, begins: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For levels 2..depth: (context, value, entry) at each token.
+    def walk(self, ids: np.ndarray, begins: np.ndarray, depth: int, scores: bool) -> Iterator[tuple]:
+        """For levels 2..depth: (pairs, entry by token, what look gave; None for a level not built yet, lower entry by token).
 
         The context of level 2 is the word before, or the start symbol, whose id follows the last
         word's; that of level k is the entry which level k-1 found at the token before.
@@ -441,106 +469,92 @@ class Trie:
         start[begins[begins < len(ids)]] = True
         context = np.concatenate(([NONE], ids[:-1]))
         context[start] = self.vocabulary.entries
-        out, value, shorter = [], ids, None
+        value, lower = ids, ids
         for k in range(2, depth + 1):
-            level = self.levels[k - 2] if k - 2 < len(self.levels) else None
-            if shorter is not None:  # relative to the shorter context: rank among its successors
-                value = np.where(shorter[1] >= 0, shorter[1] - shorter[2].first(np.where(shorter[1] >= 0, shorter[0], NONE)), NONE)
-            entry = level.find(context, value) if level else None
-            out.append((context, value, entry))
-            if entry is None:
-                break
-            shorter = context, entry, level
+            pairs = Pairs(context, value)
+            if k - 2 >= len(self.levels):
+                yield pairs, lower, None
+                return
+            got = self.levels[k - 2].look(pairs, scores)
+            yield pairs, lower, got
+            entry = pairs.spread(got[0], len(ids), NONE)
+            # relative to the shorter context: rank among its successors
+            value = np.where(entry >= 0, entry - pairs.spread(got[1], len(ids), 0), NONE)
+            lower = entry
             context = np.concatenate(([NONE], entry[:-1]))
             context[start] = NONE
-        return out
 
     def log_probs(self, ids: np.ndarray, unigram: np.ndarray, begins: np.ndarray) -> np.ndarray:
         out = unigram
-        for (context, _, entry), level in zip(self.walk(ids, begins, len(self.levels) + 1), self.levels, strict=True):
-            out = np.where(entry >= 0, level.log_prob(entry), out + level.backoff(context))
+        for pairs, _, (entry, _, prob, weight) in self.walk(ids, begins, len(self.levels) + 1, True):
+            found = pairs.spread(entry >= 0, len(ids), False)
+            out = np.where(found, pairs.spread(prob, len(ids), 0.0), out + pairs.spread(weight, len(ids), 0.0))
         return out
 
 
-def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts: int) -> None:
+def _fold_pairs(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """(context, value, lower, n) with equal (context, value) added up; of equal pairs lower is the same."""
+    context, value, lower, n = arrays
+    order = _order_of_pairs(context, value + 1)
+    context, value = context[order], value[order]
+    first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (value[1:] != value[:-1]))))
+    return [context[first], value[first], lower[order][first], np.add.reduceat(n[order], first)]
+
+
+def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts: int, least: int = 1) -> None:
     """Count, smooth and store the next level of the trie."""
     k = len(trie.levels) + 2
     contexts = trie.vocabulary.entries + 1 if k == 2 else trie.levels[-1].entries
     width = max(1, -(-contexts // parts))
-    least = MIN_COUNT.get(k, 2)
     held = spark.sparkContext.broadcast(trie)  # names and offsets of files only
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = held.value
         for _, words, at in _blocks(batches, True):
             ids, _ = trie.vocabulary.look_up(words, with_log=False)
-            steps = trie.walk(ids, at[:-1], k)
-            if len(steps) < k - 1:
-                continue
-            context, value, _ = steps[-1]
-            last = np.concatenate(([NONE], ids[:-1])) if k > 2 else context
-            good = (context >= 0) & (value >= 0 if k == 2 else True)
-            context, value, word, last = context[good], value[good], ids[good], last[good]
-            order = _order_of_pairs(context, word)
-            context, value, word, last = context[order], value[order], word[order], last[order]
-            if not len(context):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
-            n = np.diff(np.concatenate((first, [len(context)])))
-            context, value, word, last = (x[first] for x in (context, value, word, last))
-            yield _send(context // width, [context, value, word.astype(np.int64), last, n.astype(np.uint32)])
+            for pairs, lower, got in trie.walk(ids, at[:-1], k, False):
+                if got is None and len(pairs.context):
+                    yield _send(pairs.context // width, [pairs.context, pairs.value, lower[pairs.at[pairs.first]], pairs.count])
 
-    def merge(table: pa.Table) -> pa.Table:
+    def write(part: int, arrays: list[np.ndarray]) -> tuple:
         trie = held.value
-        got = [_unpack(b, n, [np.int64, np.int64, np.int64, np.int64, np.uint32]) for n, b in zip(table.column("n").to_pylist(), table.column("blob").to_pylist(), strict=True)]
-        context, value, word, last, n = (np.concatenate([g[i] for g in got]) for i in range(5))
-        part = table.column("part")[0].as_py()
-        order = _order_of_pairs(context, word)
-        context, word = context[order], word[order]
-        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]))))
-        n = np.add.reduceat(n[order].astype(np.int64), first)
-        context, word, value, last = context[first], word[first], value[order][first], last[order][first]
+        context, value, lower, n = arrays
         local = context - part * width
         total = np.bincount(local, n, width)
         stay = (n >= least) & (value >= 0)
-        local, value, word, last, n = local[stay], value[stay], word[stay], last[stay], n[stay]
-        seen = np.bincount(local, n - DISCOUNT, width)
-        lower = trie.vocabulary.log_unigram(word)
-        if k > 2:  # the probability after the shorter context
-            lower = _after_one(trie, last, word, lower)
-        weight = np.where(total > 0, 1 - seen / np.maximum(total, 1), 1.0)
-        prob = (n - DISCOUNT) / total[local] + weight[local] * 10**lower
-        order = _order_of_pairs(local, value)
-        local, value, prob = local[order], value[order], prob[order]
+        local, value, lower, n = local[stay], value[stay], lower[stay], n[stay]
+        left = n - np.where(n == 1, ONCE, DISCOUNT)
+        weight = np.where(total > 0, 1 - np.bincount(local, left, width) / np.maximum(total, 1), 1.0)
+        # the probability after the shorter context
+        shorter = trie.vocabulary.log_unigram(lower) if k == 2 else trie.levels[-1].log_prob(lower)
+        prob = left / total[local] + weight[local] * 10**shorter
         pointers = np.concatenate(([0], np.cumsum(np.bincount(local, minlength=width))))
         most = np.zeros(width, np.int64)
-        np.maximum.at(most, local, value + 1)
+        most[local] = value + 1  # values ascend within a context: the last one stays
         bases = np.concatenate(([0], np.cumsum(most)))
         arrays = EliasFano.encode(bases[local] + value).arrays("values") | EliasFano.encode(pointers).arrays("pointers") | EliasFano.encode(bases).arrays("bases")
         file = f"{path}/level{k}-{part:06d}-{uuid.uuid4().hex[:8]}"
         write_arrays(file, arrays | {"prob": quantise(np.log10(np.maximum(prob, 1e-16))), "backoff": quantise(np.log10(np.maximum(weight, 1e-16)))})
-        return _built(part, file, len(local), int(total.sum()))
+        return part, file, len(local), int(total.sum())
 
-    files, _ = _files(spark, docs.mapInArrow(count, _SENT), merge, parts, f"level{k}")
+    files, _ = _files(spark, docs.mapInArrow(trimmed(count), _SENT), [np.int64] * 4, _fold_pairs, write, parts, f"level{k}")
     trie.levels.append(Level(files, width))
 
 
-def _after_one(trie: Trie, last: np.ndarray, word: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log10 P(word | last) from level 2."""
-    level = trie.levels[0]
-    entry = level.find(last, word)
-    return np.where(entry >= 0, level.log_prob(entry), unigram + level.backoff(last))
-
+def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, parts: int | None = None, least: int = 1) -> Trie:
+    """A trie of the given order over all rows that are not held out; docs: (id, text).
 
-def train(spark: SparkSession, docs: DataFrame, order: int = ORDER, parts: int | None = None) -> Trie:
-    """A trie of the given order (1 to 3) over all rows that are not held out; docs: (id, text)."""
-    if not 1 <= order <= 3:
-        raise ValueError("order must be 1, 2 or 3")
+    parts: of each level; by default as many as the tokens need, the shuffle partitions at least.
+    least: n-grams seen less often are not stored.
+    """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     path = new_path(spark, "trie")
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    trie = Trie(build_vocabulary(spark, docs, path, parts))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    trie = Trie(build_vocabulary(spark, docs, path, parts or tasks))
+    parts = parts or max(tasks, -(-trie.vocabulary.tokens // PART_TOKENS))
     for _ in range(order - 1):
-        add_level(spark, docs, trie, path, parts)
+        add_level(spark, docs, trie, path, parts, least)
     return trie
 
 
@@ -557,7 +571,7 @@ def score(spark: SparkSession, docs: DataFrame, trie: Trie) -> DataFrame:
             each = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  no text is without its end token
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(np.diff(at)), pa.array(each((known >= 0).astype(np.int64))), pa.array([trie.vocabulary.tokens] * len(ids), pa.int64()), pa.array(each(base)), pa.array(each(model))], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def score_corpus(spark: SparkSession, docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
