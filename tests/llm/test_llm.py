@@ -235,14 +235,6 @@ def test_op1(spark, docs, odd, empty):
     assert r.d == "fr" and r.t.split() == ["Bonjour", "toi"] and r.o == "a.b.example.fr"
 
 
-def test_op1_host_prior_decides(spark):
-    """Text that says nothing follows its host, and an unseen host its domain."""
-    counts = spark.createDataFrame([("a.x.fr", "fr", "fr", 90), ("a.x.fr", "fr", "en", 10), ("b.x.fr", None, "fr", 1), ("c.y.uk", "en", "en", 50)], "host string, declared string, lang string, n long")
-    got = {r.host: r.prior for r in op1_language_id.host_priors(counts, ["en", "fr"]).collect()}
-    assert got["a.x.fr"][1] > 0.8 and got["b.x.fr"][1] > 0.7 and got["c.y.uk"][0] > 0.8
-    assert all(abs(sum(p) - 1) < 1e-9 for p in got.values())
-
-
 @pytest.mark.parametrize("share,epochs", [(0.5, 1), (0.9, 1), (1.7, 3), (9.0, 2)])
 def test_op3_budgets(spark, docs, share, epochs):
     domain = F.when(F.col("source").isNull(), "a").otherwise("b")
@@ -299,7 +291,7 @@ def test_op6_randomness(spark, odd, empty):
 
 
 def test_op7_round_trip(spark, docs, texts, odd, empty):
-    for r in op7_mpeg_ts.media_digests(docs).collect():
+    for r in op7_mpeg_ts.media_digests(spark, docs).collect():
         raw = (texts[r.doc_id] or "").encode()
         p = op7_mpeg_ts.padded(raw)
         assert len(p) % 576 == 0 and len(p) >= 576 and p[: len(raw)] == raw
@@ -307,24 +299,26 @@ def test_op7_round_trip(spark, docs, texts, odd, empty):
         assert "continuity_errors=0" in r.feature and r.media_bytes % 188 == 0
     rows = op7_mpeg_ts.parse_media(op7_mpeg_ts.media_column(docs)).where("n_bytes > 40000").collect()
     assert rows and all(len(r.access_points) > 1 and r.pts == sorted(r.pts) for r in rows)
-    assert op7_mpeg_ts.media_digests(odd).count() == 5 and op7_mpeg_ts.media_digests(empty).count() == 0
+    assert op7_mpeg_ts.media_digests(spark, odd).count() == 5 and op7_mpeg_ts.media_digests(spark, empty).count() == 0
 
 
 def test_op7_sees_damage():
     data = bytearray(op7_mpeg_ts.mux(bytes(range(256)) * 90))
-    lost = bytes(data[: 188 * 5] + data[188 * 6 :])
-    assert op7_mpeg_ts.demux(bytes(data)).continuity_errors == 0
-    with pytest.raises(ValueError):
-        op7_mpeg_ts.demux(lost)
+    assert op7_mpeg_ts.demux(bytes(data)).continuity_errors == 0 and op7_mpeg_ts.demux(bytes(data)).damaged == 0
+    lost = op7_mpeg_ts.demux(bytes(data[: 188 * 5] + data[188 * 6 :]))
+    assert lost.continuity_errors == 1 and lost.damaged == 1
     data[188 * 4 + 3] ^= 1
     assert op7_mpeg_ts.demux(bytes(data)).continuity_errors > 0
     data[20] ^= 1
+    assert op7_mpeg_ts.demux(bytes(data)).damaged > 0
+    with pytest.raises(ValueError):
+        op7_mpeg_ts.demux(bytes(data[: 188 * 1]))  # no program
     with pytest.raises(ValueError):
-        op7_mpeg_ts.demux(bytes(data))
+        op7_mpeg_ts.demux(bytes(data[1:189]))  # no synchronisation
 
 
 def test_op8(spark, docs, odd, empty):
-    model = op8_licenses.train(["Just some words about the weather today.", "Another line of plain prose."] * 50)
+    model = op8_licenses.train((["Just some words about the weather today.", "Another line of plain prose."] * 50, []))
     notes = {"mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "apache": "Licensed under the Apache License, Version 2.0."}
     rows = [(i, f"Intro text.\n{t}\nMore text.") for i, t in enumerate(notes.values())] + [(90, "The fishing license was renewed."), (91, "Nothing here.")]
     got = {r.doc_id: r for r in op8_licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
@@ -346,39 +340,41 @@ def test_elias_fano():
             assert all(at.get(int(x), -1) == g for x, g in zip(q, e.find(q), strict=True))
 
 
-def test_op9_equals_brute_force(spark, docs, texts, odd, empty):
+@pytest.mark.parametrize("order,least", [(3, 1), (3, 2), (4, 1), (1, 1)])
+def test_op9_equals_brute_force(spark, docs, texts, odd, empty, order, least):
     toks = {i: words(t) + ["\0end"] for i, t in texts.items()}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for i in train for w in toks[i])
     n, v = sum(c.values()), len(c)
-    grams = {2: Counter(), 3: Counter()}
+    grams = {k: Counter() for k in range(2, order + 1)}
     for i in train:
         s = ["\0s", *toks[i]]
         for k in grams:
             grams[k].update(tuple(s[j : j + k]) for j in range(len(s) - k + 1))
+    left = lambda m: (m - (0.9 if m == 1 else 1.2)) * (m >= least)
     total, seen = Counter(), Counter()
     for k in grams:
         for g, m in grams[k].items():
-            if k == 3 and grams[2][g[:2]] < 2:
+            if k > 2 and grams[k - 1][g[:-1]] < least:
                 continue
             total[g[:-1]] += m
-            seen[g[:-1]] += (m - 0.75) * (m >= 2)
+            seen[g[:-1]] += left(m)
 
     def p(g):
         if len(g) == 1:
             return (c[g[0]] + 0.1) / (n + 0.1 * (v + 1))
         if not total[g[:-1]]:
             return p(g[1:])
-        rest = (1 - seen[g[:-1]] / total[g[:-1]]) * p(g[1:])
-        m = grams[len(g)][g]
-        return (m - 0.75) / total[g[:-1]] + rest if m >= 2 else rest
+        return left(grams[len(g)][g]) * (grams[len(g)][g] > 0) / total[g[:-1]] + (1 - seen[g[:-1]] / total[g[:-1]]) * p(g[1:])
 
-    for r in op9_trie_lm.score_corpus(spark, docs).collect():
+    light = docs.select(F.col("doc_id").alias("id"), "text")
+    model = op9_trie_lm.train(spark, light, order, parts=5, least=least)
+    for r in op9_trie_lm.score(spark, light, model).collect():
         w = toks[r.doc_id]
         s = ["\0s", *w]
         assert r.train_tokens == n and r.n_tokens == len(w) and r.n_known == sum(x in c for x in w) and r.held_out == (r.doc_id not in train)
         assert abs(r.base_score - sum(math.log10(p((x,))) for x in w)) < 1e-6
-        want = sum(math.log10(p(tuple(s[max(0, j - 1) : j + 2]))) for j in range(len(w)))
+        want = sum(math.log10(p(tuple(s[max(0, j + 2 - order) : j + 2]))) for j in range(len(w)))
         assert abs(r.score - want) < 1e-3 * len(w)
     assert op9_trie_lm.score_corpus(spark, odd).count() == 5 and op9_trie_lm.score_corpus(spark, empty).count() == 0
 
