@@ -5,16 +5,16 @@ an L1 penalty, so that few n-grams keep a weight. Its licensed rows are the noti
 texts, and the usual names of each family set in the usual phrases) with noisy copies; the rows of
 the class "unknown" are GENERAL and at most 2 * NEGATIVES whole lines of the corpus of at most
 LINE characters (the documented bound of the sample), half of them lines that talk of licences
-without matching a notice. N-grams found in more than COMMON of the other half are no features. A
+without matching a notice. N-grams found in more than COMMON of the other half, or made of such words and numbers alone, are no features. A
 fifth of the notices, each with all its copies, and of the negatives is held out; it fixes the softmax
 temperature and the probability from which a family is named (the least that keeps the unknown
 class's error at or below UNKNOWN_ERROR).
 
 Scanning uses DataFrame functions alone, is narrow and reads whole texts. A paragraph ends at a blank
 line; it is judged as a whole with wrapped lines joined, and each of its lines and sentences is judged as
-well, as notices often stand among other text. Units without any word that can speak for a family
-are "unknown" whatever else they hold (the bias never favours a family), so they are left out
-before n-grams are made: an exact shortcut, derived from the model's own weights. A prediction stands
+well, as notices often stand among other text. Units without any of the words that the model's own weights need to lift a family above the
+unknown class are "unknown" whatever else they hold, so they are left out before n-grams are made: an exact
+shortcut. A prediction stands
 only if a template of the predicted family shares enough of its n-grams with the unit: CONFIRM of
 them, all of them for a template of fewer than SHORT; otherwise the unit is "unknown".
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 NEGATIVES = 1_000
 LINE = 2_000
-COMMON = 0.01
+COMMON = 0.002
 UNKNOWN_ERROR = 0.005
 CONFIRM = 0.6
 SHORT = 8
@@ -158,7 +158,8 @@ def train(negatives: tuple[list[str], list[str]], copies: int = 2, rounds: int =
         if not held:
             for g in plainly.intersection(ngrams(t)):
                 seen[g] = seen.get(g, 0) + 1
-    place = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and g not in often))}
+    telling = lambda g: g not in often and any(not w.isdigit() and w not in often for w in g.split(" "))
+    place = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and telling(g)))}
     x = np.zeros((len(rows), len(place)), np.float32)
     for i, (_, t, _) in enumerate(rows):
         for g in ngrams(t):
@@ -195,8 +196,27 @@ def train(negatives: tuple[list[str], list[str]], copies: int = 2, rounds: int =
     allowed = int(UNKNOWN_ERROR * none.sum())
     least = min(0.95, max(0.5, float(wrong[allowed]) if len(wrong) > allowed else 0.5))
     weights = {g: [round(float(q), 4) for q in w[i]] for g, i in place.items() if np.abs(w[i]).max() > 1e-3}
-    triggers = sorted({min(g.split(" "), key=lambda q: (df.get(q, 0), q)) for g, q in weights.items() if max(q[:-1]) > q[-1]})
-    return LicenseModel(families, [round(float(q), 4) for q in b], weights, triggers, temperature, least)
+    bias = [round(float(q), 4) for q in b]
+    return LicenseModel(families, bias, weights, _triggers(bias, weights, df), temperature, least)
+
+
+def _triggers(bias: list[float], weights: dict[str, list[float]], often: dict[str, int]) -> list[str]:
+    """Words without any of which no family can win.
+
+    Each n-gram is watched through the rarer of its words. The words met most in the corpus need no watch as long
+    as all their n-grams together cannot lift any family above the unknown class's bias.
+    """
+    gain: dict[str, np.ndarray] = {}
+    for g, q in weights.items():
+        word = min((x for x in g.split(" ") if not x.isdigit()), key=lambda x: (often.get(x, 0), -len(x), x))
+        gain[word] = gain.get(word, 0) + np.maximum(np.array(q[:-1]) - q[-1], 0)
+    left, out = bias[-1] - np.array(bias[:-1]) - 1e-6, []
+    for word in sorted(gain, key=lambda x: (-often.get(x, 0), gain[x].max(), x)):
+        if (gain[word] <= left).all():
+            left = left - gain[word]
+        elif gain[word].max() > 0:
+            out.append(word)
+    return sorted(out)
 
 
 def negative_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most: int = NEGATIVES) -> tuple[list[str], list[str]]:
