@@ -204,3 +204,86 @@ def test_stream(spark, tmp_path):
     q = inc.write_available(inc.summaries(inc.read_stream(spark, str(tmp_path / "in"), "u long, v double, ts timestamp"), "u", "ts", "v"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def plain_diverse(rows, most):
+    """The choice one row after another, in plain Python."""
+    rows = sorted(rows, key=lambda r: (r["review_date"], r["claim_id"]))
+    reviews, picked, used = len({r["review_id"] for r in rows}), {}, set()
+
+    def offer(r, why):
+        if len(picked) < most and r["claim_id"] not in picked and not (r["review_id"] in used and reviews > len(picked)):
+            picked[r["claim_id"]] = why
+            used.add(r["review_id"])
+
+    near = lambda r: (-r["centroid_similarity"], -len(r["claim_text"]), r["claim_id"])
+    if len(rows) > 1:
+        offer(rows[0], "earliest_temporal_coverage")
+        offer(next(r for r in rows if r["review_date"] == rows[-1]["review_date"]), "latest_temporal_coverage")
+        offer(rows[len(rows) // 2], "middle_temporal_coverage")
+        for value in sorted({r["rating"] for r in rows}):
+            offer(min((r for r in rows if r["rating"] == value), key=near), f"rating_diversity_{value}")
+        for value in ("positive", "negative", "mixed"):
+            if some := [r for r in rows if r["sentiment_class"] == value]:
+                offer(min(some, key=near), f"sentiment_variation_{value}")
+    for r in sorted(rows, key=lambda r: (-r["centroid_similarity"], -len(r["claim_text"]), r["absa_method"], r["claim_id"])):
+        offer(r, "centroid_proximity_with_deterministic_tiebreaks")
+    return list(picked.items())
+
+
+@pytest.mark.parametrize("most", [1, 4, 9, 14])
+def test_diverse_representatives_equal_a_plain_choice(spark, most):
+    import random
+
+    from veridoss.operators.vectors import diverse_representatives
+
+    rng, rows = random.Random(most), []
+    for c in range(25):
+        for i in range(rng.randint(1, 14)):
+            rows.append({"e": "h", "c": f"k{c}", "claim_id": f"c{c:02d}{i:02d}", "review_id": f"r{rng.randint(0, rng.choice([1, 4, 12]))}", "review_date": f"2020-01-{rng.randint(1, 9):02d}", "rating": float(rng.randint(1, 4)), "sentiment_class": rng.choice(["positive", "negative", "mixed", "neutral"]), "centroid_similarity": rng.randint(1, 5) / 8, "claim_text": "x" * rng.randint(0, 3), "absa_method": rng.choice("ab")})
+    got = {}
+    for r in diverse_representatives(spark.createDataFrame(rows), "e", "c", most).collect():
+        got.setdefault(r.c, []).append((r.selection_rank, r.claim_id, r.selection_reason))
+    for c in {r["c"] for r in rows}:
+        assert [x[1:] for x in sorted(got[c])] == plain_diverse([r for r in rows if r["c"] == c], most)
+
+
+def test_rows_are_clustered_in_order_of_date(spark):
+    """Ties go to the earlier row: b joins a or c, whichever comes first by date."""
+    from veridoss.operators.vectors import cluster
+
+    rows = [("h", "a", "2020-03-01", [1.0, 0.0]), ("h", "b", "2020-02-01", [0.8, 0.6]), ("h", "c", "2020-01-01", [0.28, 0.96])]
+    df = spark.createDataFrame(rows, "e string, i string, d string, v array<double>")
+    by_id = {r.i: r.cluster_id for r in cluster(df, "e", "i", "v", 0.75).collect()}
+    by_date = {r.i: r.cluster_id for r in cluster(df, "e", "i", "v", 0.75, date="d").collect()}
+    assert by_id["a"] == by_id["b"] != by_id["c"] and by_date["b"] == by_date["c"] != by_date["a"]
+
+
+def test_settings_read_the_format_keys(tmp_path):
+    from veridoss.config import load_settings, resolved
+
+    path = tmp_path / "s.yaml"
+    path.write_text("semantic_grouping_method: single_linkage\nrequire_minilm_verified: false\nallowed_absa_methods: [none]\nrandom_seed: 7\n")
+    s = load_settings(str(path))
+    assert (s.grouping_method, s.require_verified, s.allowed_methods, s.random_seed) == ("single_linkage", False, ("none",), 7)
+    path.write_text("colour: red\n")
+    with pytest.raises(ValueError):
+        load_settings(str(path))
+    assert resolved(str(path), "x/y") == tmp_path / "x" / "y"
+
+
+def test_shared_parts_of_model_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from veridoss.operators import absa
+
+    assert absa.checked_labels(["Positive", "NEGATIVE", "Neutral"]) == ["positive", "negative", "neutral"]
+    with pytest.raises(ValueError):
+        absa.checked_labels(["LABEL_0", "LABEL_1", "LABEL_2"])
+    assert {"python", "pyspark", "model_x"} <= set(absa.environment({"x": "1"}))
+    df = spark.createDataFrame([("a",), ("b",)], "review_id string")
+    fails = df.select("review_id", F.when(F.col("review_id") == "a", "success").otherwise("failed").alias("inference_status"))
+    first = absa.resumed(spark, df, str(tmp_path / "p"), "review_id", lambda rows: rows.join(fails, "review_id"), 2)
+    assert {r.review_id: r.inference_status for r in first.collect()} == {"a": "success", "b": "failed"}
+    again = absa.resumed(spark, df, str(tmp_path / "p"), "review_id", lambda rows: rows.withColumn("inference_status", F.lit("success")), 2)
+    assert {r.review_id: r.inference_status for r in again.collect()} == {"a": "success", "b": "success"}

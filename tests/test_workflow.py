@@ -12,20 +12,23 @@ def test_calls_answers_and_failures(spark):
     def model(payload):
         if payload == "bad":
             raise RuntimeError("refused")
+        if payload == "busy":
+            raise W.Refused(503, "busy")
         return "no json" if payload == "odd" else answer("junk" if payload == "junk" else 'so: {"v": 3} end')
 
-    df = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("c", "odd"), ("d", None), ("e", "junk")], "k string, p string")
+    df = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("c", "odd"), ("d", None), ("e", "junk"), ("f", "busy")], "k string, p string")
     called = W.call(df, ["k"], "p", model, retries=2, wait=0.0).cache()
     rows = {r.k: r for r in called.collect()}
     assert rows["a"].attempts == 1 and rows["a"].error is None
-    assert rows["b"].attempts == 3 and "refused" in rows["b"].error
+    assert rows["b"].attempts == 1 and "refused" in rows["b"].error  # another try would not help
+    assert rows["f"].attempts == 3 and "503" in rows["f"].error
     assert rows["c"].error.startswith("JSONDecodeError") and rows["d"].error == "no payload"
     got = W.answers(called, ["k"], "v int").cache()
     assert [(r.k, r.v, r.usage.cached_input_tokens, r.usage.requests) for r in got.collect()] == [("a", 3, 4, 1)]
     price = got.select(W.usage_price(F.col("usage"), 1e6, 1e5, 10.0).alias("x")).first().x
     assert abs(price - (6 + 0.4 + 2e-5)) < 1e-9
-    assert {r.k: r.stage for r in W.failures(called, got, ["k"], "ledger").collect()} == dict.fromkeys("bcde", "ledger")
-    assert W.completion(df, got, "k").first().asDict() == {"attempted": 5, "completed": 1, "failed": 4, "percentage": 20.0}
+    assert {r.k: r.stage for r in W.failures(called, got, ["k"], "ledger").collect()} == dict.fromkeys("bcdef", "ledger")
+    assert W.completion(df, got, "k").first().asDict() == {"attempted": 6, "completed": 1, "failed": 5, "percentage": 16.67}
     assert W.completion(df.limit(0), got, "k").first().percentage == 0.0
 
 
@@ -44,3 +47,14 @@ def test_context_and_completeness(spark):
     assert [x["n"] for x in payload["h"]["evidence_ledgers"]] == [1, 2] and payload["g"]["schema_version"] == "v1"
     chunks = spark.createDataFrame([(h, f"00{i}_of_002") for h in "hg" for i in (1, 2)], "hotel_id string, chunk_id string")
     assert {r.hotel_id for r in W.complete(ledgers, chunks, "hotel_id").collect()} == {"h"}
+
+
+def test_commands_and_required_fields(spark):
+    import sys
+
+    echo = W.by_command([sys.executable, "-c", "import sys; print(sys.stdin.read().upper())"])
+    df = spark.createDataFrame([("a", '{"v": 1}'), ("b", '{"w": 1}')], "k string, p string")
+    rows = {r.k: r for r in W.call(df, ["k"], "p", echo, retries=1, wait=0.0, required=["V"]).collect()}
+    assert rows["a"].response.strip() == '{"V": 1}' and rows["b"].attempts == 2 and "required" in rows["b"].error
+    broken = W.by_command([sys.executable, "-c", "raise SystemExit(3)"])
+    assert W.call(df, ["k"], "p", broken, retries=1, wait=0.0).first().error.startswith("RuntimeError")

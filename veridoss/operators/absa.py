@@ -121,6 +121,88 @@ def refine_low_scores(aspects: Column, score: float = 0.8) -> Column:
     return F.filter(aspects, lambda x: x["aspect_extraction_score"] < score)
 
 
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits; the largest is taken off first."""
+    e = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
+def labelled(logits: Column, labels: Sequence[str]) -> Column:
+    """The best label of an array of logits, the first of several, with its score and all scores by label."""
+    p = softmax(logits)
+    names = F.array(*[F.lit(x) for x in labels])
+    best = F.array_position(p, F.array_max(p)).cast("int")
+    return F.struct(F.element_at(names, best).alias("label"), F.array_max(p).alias("score"), F.map_from_arrays(names, p).alias("scores"))
+
+
+def refined(aspects: DataFrame, id_: str, scores: DataFrame, score: float = 0.8) -> DataFrame:
+    """Exploded aspects (id, aspect_index, ...) below the score take sentiment and score from a second classifier's rows.
+
+    scores has id, aspect_index, label and score; an aspect without one keeps its own. Both stay traceable: the
+    source of each aspect's sentiment is named.
+    """
+    second = scores.select(id_, "aspect_index", F.col("label").alias("__l"), F.col("score").alias("__s"))
+    both = aspects.join(second, [id_, "aspect_index"], "left")
+    use = (F.col("aspect_extraction_score") < score) & F.col("__l").isNotNull()
+    return both.withColumns({"sentiment": F.when(use, F.col("__l")).otherwise(F.col("sentiment")), "sentiment_source": F.when(use, "second_classifier").otherwise(F.col("sentiment_source")), "sentiment_score": F.when(use, F.col("__s")).otherwise(F.col("sentiment_score"))}).drop("__l", "__s")
+
+
+def resumed(spark, df: DataFrame, path: str, id_: str, work: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """Results of work on every row of df, kept in numbered checkpoint parts below path; what is done is not done again.
+
+    Rows are dealt to parts by hash of their id. A part is one write, so a run that stops keeps the parts
+    before. The last result of an id wins; an id without any is an error.
+    """
+    from veridoss.sources.writers import checkpoint_part
+
+    def done() -> DataFrame | None:
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return spark.read.parquet(path) if fs.exists(root) else None
+
+    for k in range(parts):
+        rows, before = df.where(F.pmod(F.xxhash64(id_), F.lit(parts)) == k), done()
+        todo = rows if before is None else pending(rows, before, id_)
+        checkpoint_part(work(todo), path, k)
+    last = latest(done(), id_, "batch_no", "inference_status").drop("batch_no")
+    joined = join_one_to_one(df.select(id_), last, [id_], required=True)
+    return joined
+
+
+def embedded(df: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], name: str = "embedding", batch: int = 256) -> DataFrame:
+    """df with a vector of each text by a provider of vectors for a batch of texts, one call a batch; a null text counts as empty."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.fillna("").tolist()
+            yield pd.Series([[float(x) for x in v] for at in range(0, len(texts), batch) for v in provider(texts[at : at + batch])])
+
+    return df.withColumn(name, F.pandas_udf(run, "array<float>")(F.col(text)))
+
+
+def checked_labels(found: Sequence[str], needed: Sequence[str] = ("positive", "negative", "neutral")) -> list[str]:
+    """A model's labels in lower case, each of the needed ones in exactly one of them; else an error."""
+    low = [str(x).lower() for x in found]
+    if bad := [n for n in needed if sum(n in x for x in low) != 1]:
+        raise ValueError(f"the model's labels {list(found)} do not tell {bad}")
+    return low
+
+
+def environment(models: dict[str, str]) -> dict[str, str]:
+    """Versions of Python, of the libraries at hand and the named models, for a provenance record."""
+    import platform
+    from importlib import metadata
+
+    out = {"python": platform.python_version(), **{f"model_{k}": v for k, v in models.items()}}
+    for name in ("pyspark", "numpy", "pandas", "pyarrow"):
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            out[name] = "absent"
+    return out
+
+
 def inference_report(predictions: DataFrame) -> DataFrame:
     """One row: counts by status, terms, coverage in percent and a verdict."""
     failed = F.count_if(F.col("inference_status").startswith("failed"))

@@ -26,16 +26,18 @@ def assign_chunks(df: DataFrame, entity: str, date: str, id_: str, tokens: str,
     """
     item = F.struct(F.coalesce(F.col(date).cast("string"), F.lit("")).alias("d"), F.coalesce(F.col(id_).cast("string"), F.lit("")).alias("i"), (F.col(tokens) + 4).cast("long").alias("n"))
     lists = df.groupBy(entity).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("no"), F.array().cast("array<bigint>").alias("at"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("seen"), F.array().cast("array<bigint>").alias("cuts"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["no"] == 0) | (acc["used"] + x["n"] > budget)
-        no = acc["no"] + new.cast("long")
-        return F.struct(F.when(new, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), no.alias("no"), F.concat(acc["at"], F.array(no)).alias("at"))
-
-    packed = lists.withColumn("p", F.aggregate("items", start, step))
-    rows = packed.select(entity, F.col("p.no").alias("chunks"), F.explode(F.arrays_zip("items", F.col("p.at").alias("at"))).alias("z"))
-    return rows.select(entity, F.col("z.items.i").alias(id_), F.col("z.items.d").alias(date), F.col("z.items.n").alias("cost"), F.col("z.at").alias("chunk_no"), "chunks")
+        new = (acc["seen"] == 0) | (acc["used"] + x["n"] > budget)
+        # one entry a chunk, not an item: the array is copied only where a chunk begins
+        return F.struct(F.when(new, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), (acc["seen"] + 1).alias("seen"), F.when(new, F.concat(acc["cuts"], F.array(acc["seen"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+    rows = lists.withColumn("cuts", F.aggregate("items", start, step, lambda acc: acc["cuts"]))
+    ends = F.transform("cuts", lambda c, k: F.struct(c.alias("from"), F.coalesce(F.get("cuts", k + 1), F.size("items").cast("long")).alias("to"), (k + 1).cast("long").alias("no")))
+    parts = rows.select(entity, "items", F.size("cuts").cast("long").alias("chunks"), F.explode(ends).alias("c"))
+    each = parts.select(entity, "chunks", F.col("c.no").alias("chunk_no"), F.explode(F.slice("items", (F.col("c.from") + 1).cast("int"), (F.col("c.to") - F.col("c.from")).cast("int"))).alias("z"))
+    return each.select(entity, F.col("z.i").alias(id_), F.col("z.d").alias(date), F.col("z.n").alias("cost"), "chunk_no", "chunks")
 
 
 def chunk_plan(assigned: DataFrame, entity: str, date: str) -> DataFrame:

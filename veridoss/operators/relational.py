@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +50,55 @@ def membership_differences(a: DataFrame, b: DataFrame, key: str, value: str) ->
 
 
 def field_differences(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """One row: for each field the number of shared ids where the two sides differ."""
-    both = a.select(key, *[F.col(f).alias(f"a_{f}") for f in fields]).join(b.select(key, *[F.col(f).alias(f"b_{f}") for f in fields]), key)
-    return both.agg(F.count("*").alias("compared"), *[F.count_if(~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f) for f in fields])
+    """One row: ids on both sides and on one, and for each field the number of shared ids where the sides differ."""
+    both = a.select(key, F.lit(True).alias("ia"), *[F.col(f).alias(f"a_{f}") for f in fields]).join(b.select(key, F.lit(True).alias("ib"), *[F.col(f).alias(f"b_{f}") for f in fields]), key, "full_outer")
+    here = F.col("ia").isNotNull() & F.col("ib").isNotNull()
+    return both.agg(F.count_if(here).alias("compared"), F.count_if(F.col("ib").isNull()).alias("left_only"), F.count_if(F.col("ia").isNull()).alias("right_only"), *[F.count_if(here & ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))).alias(f) for f in fields])
+
+
+def in_given_order(wanted: DataFrame, rows: DataFrame, key: str, position: str) -> DataFrame:
+    """The rows of wanted's keys with their positions there; fails if a key has no row or several."""
+    return join_one_to_one(wanted.select(key, position), rows, [key], required=True)
+
+
+def lookup(df: DataFrame, lists: DataFrame, key: str, value: str) -> DataFrame:
+    """df with the array that lists holds for its key, empty where it holds none."""
+    found = lists.select(key, F.col(value).alias("__v"))
+    kind = dict(lists.dtypes)[value]
+    return df.join(found, key, "left").withColumn(value, F.coalesce("__v", F.array().cast(kind))).drop("__v")
+
+
+def count_mismatches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys whose numbers of rows in two tables differ, with both numbers."""
+    left, right = (x.groupBy(key).agg(F.count("*").alias(n)) for x, n in ((a, "left_rows"), (b, "right_rows")))
+    both = left.join(right, key, "full_outer").na.fill(0, ["left_rows", "right_rows"])
+    return both.where("left_rows <> right_rows")
+
+
+def first_keys(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of the first keys in order, all of each."""
+    return semi(df, df.select(key).distinct().orderBy(key).limit(most), key)
+
+
+def varied(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Keys in which one of the columns has more than one value."""
+    several = [F.count_distinct(v) > 1 for v in values]
+    test = several[0]
+    for more in several[1:]:
+        test = test | more
+    return df.groupBy(key).agg(test.alias("__t")).where("__t").select(key)
+
+
+def ordered_lists(df: DataFrame, key: str, order: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Per key: the values of columns as JSON arrays, in order; values: result name to column."""
+    item = F.struct(*order, *[F.col(c).alias(f"__{n}") for n, c in values.items()])
+    lists = df.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("__x"))
+    return lists.select(key, F.size("__x").cast("long").alias("n"), *[F.to_json(F.col(f"__x.__{n}")).alias(n) for n in values])
+
+
+def absent_ids(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """One row: how many distinct ids of part whole lacks, and whether part is a subset."""
+    return anti(part.select(key).distinct(), whole, key).agg(F.count("*").alias("n_absent"), (F.count("*") == 0).alias("is_subset"))
 
 
 def position_mismatches(a: DataFrame, b: DataFrame, position: str, id_: str) -> DataFrame:
@@ -133,9 +179,14 @@ def with_default(df: DataFrame, name: str, value) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(value))
 
 
-def reference_codes(df: DataFrame, id_: str, prefix: str) -> DataFrame:
-    """Ids with codes such as r0001 by their order; for small sets of ids."""
-    return df.select(id_).distinct().withColumn("code", F.format_string(f"{prefix}%04d", F.row_number().over(Window.orderBy(id_))))
+def reference_codes(df: DataFrame, id_: str, prefix: str, within: str | None = None) -> DataFrame:
+    """Ids with codes such as r0001 by their order, within each group where one is named.
+
+    Without a group, numbers come from ``renumber``: ids must be numbers then, and no task sees all.
+    """
+    if within is None:
+        return renumber(df.select(id_).distinct(), id_, "__n").select(id_, F.format_string(f"{prefix}%04d", F.col("__n") + 1).alias("code"))
+    return df.select(within, id_).distinct().withColumn("code", F.format_string(f"{prefix}%04d", F.row_number().over(Window.partitionBy(within).orderBy(id_))))
 
 
 def precedence(ids: DataFrame, first: DataFrame, second: DataFrame, key: str, names: tuple[str, str, str]) -> DataFrame:

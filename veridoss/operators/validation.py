@@ -84,8 +84,56 @@ def require(checks: DataFrame) -> None:
 
 def cluster_output_checks(records: DataFrame, chosen: DataFrame, id_: str, cluster: str) -> list[DataFrame]:
     """Each id once; each representative stands in the cluster that names it."""
-    pairs = chosen.select(id_, F.col(cluster).alias("c")).join(records.select(id_, F.col(cluster).alias("r")), id_, "left")
-    return [*key_checks(records, id_, "records"), check(records, "no_cluster", F.col(cluster).isNull(), id_), check(pairs, "representative_unresolved", F.col("r").isNull(), id_), check(pairs, "representative_misassigned", F.col("r").isNotNull() & (F.col("r") != F.col("c")), id_)]
+    pairs = chosen.select(id_, F.col(cluster).alias("c")).join(records.select(id_, F.col(cluster).alias("r"), F.lit(True).alias("found")), id_, "left")
+    return [*key_checks(records, id_, "records"), check(records, "no_cluster", F.col(cluster).isNull(), id_), check(pairs, "representative_unresolved", F.col("found").isNull(), id_), check(pairs, "representative_misassigned", F.col("r").isNotNull() & (F.col("r") != F.col("c")), id_)]
+
+
+def count_checks(counts: dict[str, DataFrame], declared: int | None = None) -> DataFrame:
+    """One check: whether all tables have the same number of rows, and the declared one; examples say which have what."""
+    rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).withColumn("t", F.lit(name)) for name, df in counts.items()])
+    want = F.lit(declared) if declared is not None else F.max("n")
+    wrong = (F.min("n") != F.max("n")) | (F.max("n") != want)
+    return rows.agg(wrong.cast("long").alias("n_bad"), F.sort_array(F.collect_list(F.concat_ws("=", "t", F.col("n").cast("string")))).alias("examples")).select(F.lit("row_counts_differ").alias("check"), "n_bad", "examples")
+
+
+def shape_checks(df: DataFrame, name: str, required: Sequence[str], forbidden: Sequence[str] = ()) -> list[DataFrame]:
+    """Whether a table has the required columns, and none of its keys, nested ones included, is a forbidden word."""
+    found = sorted(set(nested_keys(df.schema)) & set(forbidden))
+    return [column_check(df, required, f"{name}_keys_missing"), df.sparkSession.createDataFrame([(f"{name}_keys_forbidden", len(found), found)], "check string, n_bad long, examples array<string>")]
+
+
+def nested_keys(kind) -> list[str]:
+    """Field names of a schema at any depth."""
+    from pyspark.sql.types import ArrayType, MapType, StructType
+
+    if isinstance(kind, StructType):
+        return [x for f in kind.fields for x in [f.name, *nested_keys(f.dataType)]]
+    if isinstance(kind, ArrayType):
+        return nested_keys(kind.elementType)
+    return nested_keys(kind.valueType) if isinstance(kind, MapType) else []
+
+
+def file_checks(spark, folder: str, names: Sequence[str]) -> DataFrame:
+    """One check: which of a folder's files are missing, asked of whatever store the folder is in."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lacking = [n for n in names if not fs.exists(jvm.org.apache.hadoop.fs.Path(root, n))]
+    return spark.createDataFrame([("files_missing", len(lacking), lacking)], "check string, n_bad long, examples array<string>")
+
+
+def map_checks(clusters: DataFrame, sample: DataFrame, id_: str) -> list[DataFrame]:
+    """A frozen cluster map has each of the sample's ids once and no other."""
+    both = clusters.select(id_, F.lit(1).alias("a")).distinct().join(sample.select(id_, F.lit(1).alias("b")).distinct(), id_, "full_outer")
+    return [*key_checks(clusters, id_, "map"), check(both, "map_ids_differ", F.col("a").isNull() | F.col("b").isNull(), id_)]
+
+
+def sample_report(df: DataFrame, text: str, aspects: str, confidence: str, date: str, rating: str, group: str) -> DataFrame:
+    """One row on a sample: filled columns, dates, mean rating, rows with repeated texts and rows in a duplicate group."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    again = df.groupBy(F.sha2(text, 256).alias("h")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("exact_duplicate_text_rows"))
+    whole = df.agg(F.count("*").alias("rows"), F.count_if(filled(aspects)).alias("with_aspects"), F.count(confidence).alias("with_confidence"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.round(F.avg(rating), 4).alias("mean_rating"), F.count_if(filled(group)).alias("duplicate_group_rows"))
+    return whole.crossJoin(again)  # one row each
 
 
 def verdict(failed: Column, warned: Column) -> Column:

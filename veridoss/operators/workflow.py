@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import json
 import random
+import subprocess
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,10 +51,44 @@ def usage_price(u: Column, uncached: float, cached: float, output: float) -> Col
     return (fresh * uncached + u["cached_input_tokens"] * cached + u["output_tokens"] * output) / 1e6
 
 
-def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str], retries: int = 4, wait: float = 1.0) -> DataFrame:
+class Refused(Exception):
+    """What a model raises for an answer with a status code."""
+
+    def __init__(self, status: int, text: str = "") -> None:
+        super().__init__(f"status {status}: {text}")
+        self.status = status
+
+
+def worth_retrying(error: Exception) -> bool:
+    """Whether another try may help: lost connections, and codes that mean busy, slow or broken for now."""
+    status = getattr(error, "status", None)
+    return isinstance(error, (ConnectionError, TimeoutError)) if status is None else status in (408, 409, 429) or 500 <= status < 600
+
+
+def has_fields(answer: str, required: Sequence[str]) -> bool:
+    """Whether a model's JSON answer is an object with the required fields."""
+    found = json.loads(answer)
+    return isinstance(found, dict) and all(k in found for k in required)
+
+
+def by_command(command: list[str], seconds: float = 600.0) -> Callable[[str], str]:
+    """A model that is a program: the payload goes to its standard input, the answer comes from its output."""
+
+    def model(payload: str) -> str:
+        done = subprocess.run(command, input=payload, capture_output=True, text=True, timeout=seconds, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-500:]}")
+        return done.stdout
+
+    return model
+
+
+def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str], retries: int = 4, wait: float = 1.0, required: Sequence[str] = ()) -> DataFrame:
     """key columns with response, error and attempts; a row that fails keeps its error and stops no other.
 
-    Waits wait * 2**attempt plus a random part, at most MOST_DELAY seconds. A null payload is not sent.
+    Waits wait * 2**attempt plus a random part, at most MOST_DELAY seconds, after errors that another try may
+    mend; others end the row at once. An answer must be JSON with the required fields; one that is not is asked
+    for again. A null payload is not sent.
     """
 
     def one(text: str | None) -> tuple[str | None, str | None, int]:
@@ -62,10 +97,14 @@ def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str
         for attempt in range(retries + 1):
             try:
                 got = model(text)
+                if required and not has_fields(got, required):
+                    raise json.JSONDecodeError("a required field is missing", got[:100], 0)
                 json.loads(got)
                 return got, None, attempt + 1
             except Exception as error:
                 said = f"{type(error).__name__}: {error}"[:1000]
+                if not (worth_retrying(error) or isinstance(error, json.JSONDecodeError)):
+                    return None, said, attempt + 1
             if attempt < retries:
                 time.sleep(min(MOST_DELAY, wait * (2**attempt + random.random())))
         return None, said, retries + 1
@@ -120,6 +159,30 @@ def finished(answered: DataFrame, records: DataFrame, entity: str, labels: Mappi
     return display_values(accepted(check_assessments(answered, records, entity, labels)), anchors)
 
 
+def still_open(entities: DataFrame, done: DataFrame | None, entity: str) -> DataFrame:
+    """Entities without an accepted assessment yet: what a resumed run has to do."""
+    return entities if done is None else entities.join(done.select(entity).distinct(), entity, "left_anti")
+
+
+def run_entities(chunks: DataFrame, documents: DataFrame, records: DataFrame, entity: str, first: Callable[[str], str], second: Callable[[str], str], schemas: tuple[str, str], labels: Mapping[str, str], anchors: Mapping[tuple[str, str], float], done: DataFrame | None = None) -> DataFrame:
+    """The two-stage flow for every entity still open: ledgers of its chunks, then its assessment.
+
+    first answers a chunk's payload with a ledger, second an entity's context with an assessment; schemas are
+    the types of their answers. What is rejected at either stage is left to the next run.
+    """
+    todo = still_open(chunks.select(entity).distinct(), done, entity)
+    mine = chunks.join(todo, entity, "left_semi")
+    asked = mine.select(entity, "chunk_id", F.to_json(F.struct(*mine.columns), {"ignoreNullFields": "false"}).alias("payload"))
+    ledgers = checked_ledgers(answers(call(asked, [entity, "chunk_id"], "payload", first), [entity, "chunk_id"], schemas[0]).drop("usage"), mine, entity)
+    context = entity_context(documents.join(ledgers.select(entity).distinct(), entity, "left_semi"), ledgers, entity)
+    return finished(answers(call(context, [entity], "payload", second), [entity], schemas[1]).drop("usage"), records, entity, labels, anchors)
+
+
+def tally(outcomes: DataFrame, status: str) -> DataFrame:
+    """How many outcomes there are of each status."""
+    return outcomes.groupBy(F.coalesce(F.col(status), F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def completion(attempted: DataFrame, done: DataFrame, entity: str) -> DataFrame:
     """One row: attempted, completed, failed and the percentage completed."""
     both = attempted.select(entity).distinct().join(done.select(entity, F.lit(True).alias("__ok")).distinct(), entity, "left")

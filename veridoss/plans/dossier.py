@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoss.config import Settings
@@ -11,14 +11,13 @@ from veridoss.operators.aggregates import duplicate_summary, method_summary
 from veridoss.operators.relational import join_one_to_one
 from veridoss.operators.temporal import distribution_map, temporal_document
 from veridoss.operators.vectors import centroid_stats, cluster, representatives
-
-RECORD = ("review_id", "review_date", "rating", "review_text", "text_sha256", "duplicate_group_id", "semantic_cluster_id", "absa_aspect", "absa_sentiment", "absa_confidence", "absa_method", "absa_reusable_status")
+from veridoss.schemas import DOCUMENT, RECORD, SCHEMA_VERSION
 
 
 def clustered(features: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
     """Features with vectors and new cluster ids; entities whose clustering failed are left to ``failures``."""
     rows = features.drop("semantic_cluster_id").join(vectors.select("review_id", "embedding"), "review_id")
-    ids = cluster(rows, "hotel_id", "review_id", "embedding", settings.similarity_threshold, settings.grouping_method.removesuffix("_linkage"))
+    ids = cluster(rows, "hotel_id", "review_id", "embedding", settings.similarity_threshold, settings.grouping_method.removesuffix("_linkage"), date="review_date")
     good = ids.where("error IS NULL").select("review_id", F.col("cluster_id").alias("semantic_cluster_id"))
     return rows.join(good, "review_id")
 
@@ -26,7 +25,7 @@ def clustered(features: DataFrame, vectors: DataFrame, settings: Settings) -> Da
 def failures(features: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
     """Entities that could not be clustered, with the reason."""
     rows = features.join(vectors.select("review_id", "embedding"), "review_id")
-    return cluster(rows, "hotel_id", "review_id", "embedding", settings.similarity_threshold, settings.grouping_method.removesuffix("_linkage")).where("error IS NOT NULL").select("hotel_id", "error").distinct()
+    return cluster(rows, "hotel_id", "review_id", "embedding", settings.similarity_threshold, settings.grouping_method.removesuffix("_linkage"), date="review_date").where("error IS NOT NULL").select("hotel_id", "error").distinct()
 
 
 def with_frozen_clusters(features: DataFrame, vectors: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -35,8 +34,16 @@ def with_frozen_clusters(features: DataFrame, vectors: DataFrame, clusters: Data
     return join_one_to_one(rows, clusters.select("review_id", "semantic_cluster_id"), ["review_id"], required=True)
 
 
-def full(rows: DataFrame, settings: Settings) -> DataFrame:
-    """One nested row per entity: metadata, temporal summaries, clusters and records."""
+def record(columns: list[str]) -> Column:
+    """A record's fields in the format's order; a column that the table lacks is null."""
+    return F.struct(*[F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in RECORD])
+
+
+def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None = None) -> DataFrame:
+    """One nested row per entity with the format's fields: metadata, temporal summaries, clusters, records and notes.
+
+    An entity with a single row, or whose rows have no dated one, says so in warnings.
+    """
     e, c = "hotel_id", "semantic_cluster_id"
     stats = centroid_stats(rows, e, c, "review_id", "embedding")
     rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").withColumn("__d", to_date(F.col("review_date")))
@@ -54,15 +61,19 @@ def full(rows: DataFrame, settings: Settings) -> DataFrame:
     )
     each = each.join(rep_ids, [e, c]).join(methods, [e, c]).join(distribution_map(rows, [e, c], "rating", "rating_distribution", False), [e, c], "left")
     nested = each.groupBy(e).agg(F.sort_array(F.collect_list(F.struct(c, "unique_review_count", "possible_duplicate_count", "internal_similarity_summary", "earliest_date", "latest_date", "aspect_distribution", "representative_review_ids", F.to_json("absa_method_distribution").alias("absa_method_distribution"), F.to_json("rating_distribution").alias("rating_distribution"), F.lit("not_established").alias("independence_claim")))).alias("semantic_clusters"))
-    records = rows.groupBy(e).agg(F.transform(F.sort_array(F.collect_list(F.struct("review_date", "review_id", F.struct(*RECORD).alias("r")))), lambda x: x["r"]).alias("review_evidence_records"))
+    records = rows.groupBy(e).agg(F.transform(F.sort_array(F.collect_list(F.struct("review_date", "review_id", record(rows.columns).alias("r")))), lambda x: x["r"]).alias("review_evidence_records"))
     meta = rows.groupBy(e).agg(F.count("*").alias("review_count"), F.min("review_date").alias("minimum_review_date"), F.max("review_date").alias("maximum_review_date"), F.avg("rating").alias("raw_mean_rating"))
     absa = method_summary(rows, e, "absa_method").groupBy(e).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", F.struct("n", "share"))))).alias("absa_evidence"))
     meta = meta.join(duplicate_summary(rows, e, "duplicate_group_id"), e).join(distribution_map(rows, [e], "rating", "rating_distribution", False), e, "left")
     meta = meta.select(e, F.struct("review_count", "minimum_review_date", "maximum_review_date", "raw_mean_rating", "rating_distribution", F.struct("duplicate_rows", "duplicate_groups", "exact_reuse_rows").alias("duplicate_summary")).alias("hotel_metadata"))
-    time = temporal_document(rows, e, "__d", "rating", "absa_sentiment", "absa_aspect", settings.windows, settings.polarity_mode)
+    time = temporal_document(rows, e, "__d", "rating", "absa_sentiment", "absa_aspect", dict(settings.windows), settings.polarity_mode)
     time = time.select(e, F.struct(*[x for x in time.columns if x != e]).alias("temporal_summaries"))
     notes = F.struct(F.lit(settings.grouping_method).alias("cluster_method"), F.lit(settings.similarity_threshold).alias("cluster_threshold"), F.lit(settings.representatives_per_cluster).alias("representatives_per_cluster"), F.lit(True).alias("clustering_is_deterministic"))
-    return meta.join(time, e).join(nested, e).join(records, e).join(absa, e).withColumns({"dataset_namespace": F.lit(settings.dataset_namespace), "methodology_notes": notes})
+    origin = F.create_map(*[F.lit(x) for kv in (provenance or {}).items() for x in kv]) if provenance else F.create_map().cast("map<string,string>")
+    lacking = rows.groupBy(e).agg(F.array_compact(F.array(F.when(F.count("*") == 1, "single_record"), F.when(F.count("__d") == 0, "no_dated_record"))).alias("warnings"))
+    both = meta.join(time, e).join(nested, e).join(records, e).join(absa, e).join(lacking, e)
+    both = both.withColumns({"schema_version": F.lit(SCHEMA_VERSION), "dataset_namespace": F.lit(settings.dataset_namespace), "methodology_notes": notes, "provenance": origin})
+    return both.select(*DOCUMENT)
 
 
 def compact(documents: DataFrame, most: int = 3) -> DataFrame:
@@ -99,3 +110,9 @@ def traceability(documents: DataFrame) -> DataFrame:
     reps = documents.select("hotel_id", F.explode("semantic_clusters").alias("k")).select("hotel_id", F.col("k.semantic_cluster_id").alias("c"), F.explode("k.representative_review_ids").alias("review_id"))
     recs = documents.select("hotel_id", F.explode("review_evidence_records").alias("r")).select("hotel_id", "r.review_id", F.col("r.semantic_cluster_id").alias("rc"), F.lit(True).alias("found"))
     return reps.join(recs, ["hotel_id", "review_id"], "left").groupBy("hotel_id").agg(F.count("*").alias("representative_count"), F.count_if(F.col("found").isNull()).alias("unresolved"), F.count_if(F.col("rc") != F.col("c")).alias("misassigned"))
+
+
+def all_diagnostics(per_entity: DataFrame) -> DataFrame:
+    """One row over the rows of ``aggregates.cluster_sizes``: sums, shares of the sums, the largest cluster."""
+    one, n, k = F.sum("singleton_cluster_count"), F.sum("review_count"), F.sum("cluster_count")
+    return per_entity.agg(F.count("*").alias("entities"), k.alias("cluster_count"), n.alias("review_count"), one.alias("singleton_cluster_count"), F.round(one / k, 6).alias("singleton_share_of_clusters"), F.round(one / n, 6).alias("singleton_share_of_reviews"), F.max("largest_cluster_size").alias("largest_cluster_size"))

@@ -6,8 +6,6 @@ packed lists are built from lineitem flags; vectors are the embeddings table by
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from veridoss.operators import relational as R
 from veridoss.operators import temporal as T
 from veridoss.operators import validation as V
 from veridoss.operators import vectors as X
+from veridoss.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 WINDOWS = {"last_90_days": 90, "last_180_days": 180, "last_365_days": 365}
 CUTOFF = "1998-01-01"
@@ -27,10 +26,6 @@ SPECS = [("noun", ["the", "and"]), ("prep", ["of", "in", "to"]), ("other", ["is"
 TERMS = {"negative": ["worthless", "pathetic", "scum"], "disruption": ["moron"], "security": ["clown"], "accessibility": ["password"], "hygiene": ["licen"]}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("d"), F.substring("o_orderpriority", 1, 1).cast("double").alias("rating"), F.col("o_orderstatus").alias("method"))
@@ -46,20 +41,6 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REVIEWS = "SELECT o_custkey AS entity, o_orderkey AS id, o_orderdate AS d, CAST(substr(o_orderpriority,1,1) AS DOUBLE) AS rating, o_orderstatus AS method FROM orders"
 _FLAGS = f"SELECT r.*, f.aspects, f.sentiment FROM ({_REVIEWS}) r JOIN (SELECT l_orderkey AS id, string_agg(l_returnflag || l_linestatus, ';' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS aspects, string_agg(l_returnflag || ':' || CASE WHEN l_returnflag='R' THEN '-1.5' WHEN l_returnflag='A' THEN '0.5' WHEN l_linenumber>3 THEN 'oops' ELSE '0' END, ';' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS sentiment FROM lineitem GROUP BY 1) f USING (id)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def round4(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
@@ -274,13 +255,13 @@ def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k")).where("k IS NOT NULL")
 
 
-_CASE = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^\\w])({'|'.join(a)})($|[^\\w])') THEN '{n}'" for n, a in SPECS)
+_WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
+_CASE = " ".join(f"WHEN regexp_matches(lower(text), '(^|[^{_WORD}])({'|'.join(a)})($|[^{_WORD}])') THEN '{n}'" for n, a in SPECS)
 
 
-@query(f"SELECT item_id, CASE {_CASE} END AS category FROM benchmark WHERE text = regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")
+@query(f"SELECT item_id, CASE {_CASE} END AS category FROM benchmark")
 def canonical_category(spark, sf):
-    b = table(spark, sf, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return b.select("item_id", S.canonical_category(F.col("text"), SPECS).alias("category"))
+    return table(spark, sf, "benchmark").select("item_id", S.canonical_category(F.col("text"), SPECS).alias("category"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}') THEN 'day' WHEN regexp_matches(v, '^\\d{4}-\\d{2}') THEN 'month' ELSE 'unknown' END AS precision FROM (SELECT o_orderkey, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, CAST(o_orderkey % 3 * 3 + 4 AS INTEGER)) AS v FROM orders)")
@@ -336,3 +317,7 @@ def low_rating_retention(spark, sf):
 def claim_segments(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("review_text"), F.col("doc_id").alias("input_row_position"), F.lit("2020-01").alias("review_date"))
     return segment(d).drop("review_text", "claim_text", "review_date")
+
+
+# the other registered queries, which use what stands above
+from veridoss.plans import evidence, files  # noqa: E402, F401

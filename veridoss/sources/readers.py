@@ -57,6 +57,51 @@ def embeddings(spark: SparkSession, path: str, method: str | None = None) -> Dat
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, "review_id string, position long, embedding array<float>")
 
 
+def packed_embeddings(spark: SparkSession, path: str, method: str | None = None) -> DataFrame:
+    """(review_id, row, embedding) of archives written by ``writers.npz``, each unpacked where it is read."""
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for frame in frames:
+            for content in frame["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    if method and str(z["method"]) != method:
+                        raise ValueError(f"embedding method is {z['method']}, not {method}")
+                    ids, vectors = z["review_id"], z["emb"]
+                for at in range(0, len(ids), 10_000):
+                    yield pd.DataFrame({"review_id": ids[at : at + 10_000], "row": range(at, min(at + 10_000, len(ids))), "embedding": list(vectors[at : at + 10_000])})
+
+    return spark.read.parquet(path).select("content").mapInPandas(load, "review_id string, row long, embedding array<float>")
+
+
+def in_order(vectors: DataFrame, expected: DataFrame, id_: str, position: str) -> DataFrame:
+    """vectors, failing while they are read if an id stands at another position than expected, or at none."""
+    want = expected.select(F.col(id_), F.col(position).alias("__want"))
+    both = vectors.join(want, id_, "full_outer")
+    fine = F.col(position).eqNullSafe(F.col("__want"))
+    guard = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("out of order: "), F.coalesce(F.col(id_), F.lit("?")))).cast("boolean"))
+    return both.where(guard).drop("__want")
+
+
+def with_row_numbers(df: DataFrame, order: str, name: str = "input_row_position") -> DataFrame:
+    """Rows numbered from 0 in order of a column of distinct numbers, made once when a table is taken in."""
+    from veridoss.operators.relational import renumber
+
+    return renumber(df, order, name)
+
+
+def export_columns(df: DataFrame, candidates: dict[str, Sequence[str]], defaults: dict[str, object]) -> DataFrame:
+    """The first present of each column's candidate names, or its default; a column with neither is an error."""
+    out = []
+    for name, names in candidates.items():
+        found = next((n for n in names if n in df.columns), None)
+        if found is None and name not in defaults:
+            raise ValueError(f"none of {list(names)} is present for {name}")
+        out.append((F.col(found) if found else F.lit(defaults[name])).alias(name))
+    return df.select(*out)
+
+
 def npz_shape(path: str, member: str = "emb.npy") -> tuple[int, ...]:
     """An array's shape from its header alone."""
     from numpy.lib import format as npy
@@ -82,18 +127,23 @@ def cluster_map(docs: DataFrame) -> DataFrame:
 
 
 def zipped_json(spark: SparkSession, path: str, schema: str, names: Sequence[str] | None = None) -> DataFrame:
-    """(name, document) for the JSON members of zip archives, unpacked where the archive is read."""
+    """(name, document) for the JSON members of zip archives below a path."""
+    return unzipped(spark.read.format("binaryFile").load(path), "content", schema, names)
+
+
+def unzipped(archives: DataFrame, content: str, schema: str, names: Sequence[str] | None = None) -> DataFrame:
+    """(name, document) for the JSON members of zip archives in a column, unpacked where they are read."""
     wanted = None if names is None else set(names)
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for body in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(body)) as z:
                     for name in sorted(z.namelist()):
                         if name.endswith(".json") and (wanted is None or name in wanted):
                             yield pd.DataFrame({"name": [name], "body": [z.read(name).decode("utf-8")]})
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "name string, body string")
+    rows = archives.select(F.col(content).alias("content")).mapInPandas(unpack, "name string, body string")
     return rows.select("name", F.from_json("body", schema).alias("document"))
 
 
@@ -107,6 +157,11 @@ def hash_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("path string, sha256 string, size_bytes long").option("header", True).csv(path)
 
 
+def matched_requests(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Each requested id with the table's own id where it is known by that very text, else null."""
+    return requests.select(key).distinct().join(known.select(key, F.col(key).alias("matched")).distinct(), key, "left")
+
+
 def id_list(spark: SparkSession, path: str, column: str = "hotel_id") -> DataFrame:
     """Requested ids from a CSV with a header or a text file of one id a line, each once."""
     df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.text(path).withColumnRenamed("value", column)

@@ -70,3 +70,88 @@ def markdown_table(df: DataFrame, most: int = 1_000) -> str:
         raise ValueError("too many rows for a report")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def npz(df: DataFrame, path: str, id_: str, vector: str, method: str, shard_rows: int = 100_000) -> None:
+    """Vectors as npz archives (emb float32, review_id, method), one a range of ids, each below a folder of its part.
+
+    An archive is made in the task that holds its rows; ranges keep it to about shard_rows.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def pack(frames):
+        held = pd.concat(list(frames), ignore_index=True)
+        if len(held):
+            out = io.BytesIO()
+            np.savez_compressed(out, emb=np.stack(held["v"].map(np.asarray)).astype("float32"), review_id=held["i"].to_numpy(str), method=np.array(method))
+            yield pd.DataFrame({"content": [out.getvalue()], "first": [held["i"].iloc[0]]})
+
+    n = max(1, -(-df.count() // shard_rows))
+    rows = df.select(F.col(id_).cast("string").alias("i"), F.col(vector).alias("v"), F.col(id_).alias("__o")).repartitionByRange(n, "__o").sortWithinPartitions("__o").drop("__o")
+    rows.mapInPandas(pack, "content binary, first string").write.parquet(path)
+
+
+def csv_and_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
+    """The same rows as Parquet and as CSV with a header, the CSV in a folder for each value of ``by``."""
+    df.write.parquet(f"{path}/parquet")
+    out = df.write.option("header", True).option("quote", '"').option("escape", '"')
+    (out.partitionBy(by) if by else out).csv(f"{path}/csv")
+
+
+def packages(df: DataFrame, path: str, group: str, name: str, body: str, most_bytes: int = 64 << 20) -> None:
+    """Zip archives of (name, body) members, one or more for each value of ``group``.
+
+    Members are dealt to archives by running size within the group's hash ranges, so that no task holds a group:
+    an archive takes members until most_bytes are reached.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(frames):
+        parts: dict[str, list] = {}
+
+        def close(key):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for n, b in parts.pop(key)[1]:
+                    z.writestr(n, b)
+            return pd.DataFrame({"package": [key], "content": [out.getvalue()]})
+
+        for frame in frames:
+            for g, n, b in frame.itertuples(index=False):
+                held = parts.setdefault(g, [0, []])
+                held[0] += len(b)
+                held[1].append((n, b))
+                if held[0] > most_bytes:
+                    yield close(g)
+        for key in list(parts):
+            yield close(key)
+
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(name).alias("n"), F.col(body).alias("b"))
+    rows.repartition("g", F.pmod(F.xxhash64("n"), F.lit(8))).mapInPandas(pack, "package string, content binary").write.parquet(path)
+
+
+def manifest_csv(rows: DataFrame, path: str) -> None:
+    """A manifest's rows in order of path, as CSV with a header."""
+    rows.select("path", "sha256", "size_bytes").repartitionByRange(1, "path").sortWithinPartitions("path").write.option("header", True).csv(path)
+
+
+def run_summary(path: str, title: str, facts: dict, tables: dict[str, DataFrame]) -> None:
+    """A run's facts as JSON and, with small tables, as Markdown beside it."""
+    small_json(f"{path}.json", facts)
+    lines = [f"# {title}", "", *(f"- {k}: {v}" for k, v in sorted(facts.items()))]
+    for name, df in tables.items():
+        lines += ["", f"## {name}", "", markdown_table(df)]
+    Path(f"{path}.md").write_text("\n".join(lines), encoding="utf-8")
+
+
+def document_pair(documents: DataFrame, compact: DataFrame, entity: str, path: str) -> None:
+    """Full and compact documents as rows (stem, body), one JSON line each, in two tables under the same stems."""
+    for name, df in (("full", documents), ("compact", compact)):
+        body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+        df.select(slug(F.col(entity)).alias("stem"), body.alias("value")).write.parquet(f"{path}/{name}")
