@@ -12,6 +12,7 @@ from veridoss.operators.relational import join_one_to_one
 from veridoss.operators.temporal import distribution_map, temporal_document
 from veridoss.operators.vectors import centroid_stats, cluster, representatives
 from veridoss.schemas import DOCUMENT, RECORD, SCHEMA_VERSION
+from veridoss.sources.workspace import kept
 
 
 def clustered(features: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
@@ -46,7 +47,8 @@ def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None
     """
     e, c = "hotel_id", "semantic_cluster_id"
     stats = centroid_stats(rows, e, c, "review_id", "embedding")
-    rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").withColumn("__d", to_date(F.col("review_date")))
+    rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").drop("embedding").withColumn("__d", to_date(F.col("review_date")))
+    rows = kept(rows, "rows")  # a dozen aggregates read them
     reps = representatives(rows, e, c, "centroid_similarity", "absa_method", "review_text", "review_id", settings.representatives_per_cluster)
     rep_ids = reps.groupBy(e, c).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "review_id"))), lambda x: x["review_id"]).alias("representative_review_ids"))
     marked = F.coalesce("duplicate_group_id", F.lit("")) != ""

@@ -25,6 +25,7 @@ from veridoss.operators import workflow as W
 from veridoss.plans import dossier as D
 from veridoss.plans.registry import query, table
 from veridoss.schemas import DOCUMENT, FORBIDDEN_KEYS, RECORD
+from veridoss.sources.workspace import kept
 
 SETTINGS = Settings()
 TODAY = "DATE '2015-01-01'"
@@ -71,7 +72,8 @@ def frozen(spark, sf) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return D.full(frozen(spark, sf), SETTINGS, {"table": "documents"})
+    """Full documents on frozen clusters, written once."""
+    return kept(D.full(frozen(spark, sf), SETTINGS, {"table": "documents"}), "documents")
 
 
 def joined(c: str, sep: str = ",") -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,11 @@ def workspace(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veridoss-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in a new shared folder and read from there: made once, however often it is used."""
+    spark = df.sparkSession
+    path = workspace(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
