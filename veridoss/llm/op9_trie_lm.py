@@ -359,20 +359,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers as differences, their bytes by place value, compressed: sorted blocks take little."""
     import zstandard
 
-    body = b"".join(a.tobytes() for a in arrays)
+    body = b"".join(np.diff(a.view(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
     return zstandard.compress(body, 1)
 
 
 def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
     import zstandard
 
-    raw, out, at = zstandard.decompress(blob), [], 0
-    for k in map(np.dtype, kinds):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * k.itemsize
-    return out
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(len(kinds), 8, n)
+    return [np.cumsum(np.ascontiguousarray(x.T).view(np.int64).reshape(-1)).view(k) for x, k in zip(raw, kinds, strict=True)]
 
 
 def _send(part: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -493,12 +491,12 @@ class Trie:
 
 
 def _fold_pairs(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """(context, value, lower, n) with equal (context, value) added up; of equal pairs lower is the same."""
-    context, value, lower, n = arrays
+    """(context, value, base, n) with equal (context, value) added up; of equal pairs base is the same."""
+    context, value, base, n = arrays
     order = _order_of_pairs(context, value + 1)
     context, value = context[order], value[order]
     first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (value[1:] != value[:-1]))))
-    return [context[first], value[first], lower[order][first], np.add.reduceat(n[order], first)]
+    return [context[first], value[first], base[order][first], np.add.reduceat(n[order], first)]
 
 
 def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts: int, least: int = 1) -> None:
@@ -514,11 +512,13 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
             ids, _ = trie.vocabulary.look_up(words, with_log=False)
             for pairs, lower, got in trie.walk(ids, at[:-1], k, False):
                 if got is None and len(pairs.context):
-                    yield _send(pairs.context // width, [pairs.context, pairs.value, lower[pairs.at[pairs.first]], pairs.count])
+                    # within a context lower and value ascend alike: their difference is sent, which packs to nothing
+                    yield _send(pairs.context // width, [pairs.context, pairs.value, lower[pairs.at[pairs.first]] - pairs.value, pairs.count])
 
     def write(part: int, arrays: list[np.ndarray]) -> tuple:
         trie = held.value
-        context, value, lower, n = arrays
+        context, value, base, n = arrays
+        lower = base + value
         local = context - part * width
         total = np.bincount(local, n, width)
         stay = (n >= least) & (value >= 0)
