@@ -93,11 +93,67 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+# Companions: the columns of a query that SQL can express, taken from the operator's own result.
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2: lengths, digests of edited texts, and how many texts share a fingerprint (as many as are equal)."""
+    out = op2_fingerprints(spark, sf_dir)
+    same = out.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    return out.join(same, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "copies", ((F.col("near_edited") == 1) == (F.col("fingerprint") == F.col("edited_fingerprint"))).alias("alike_if_equal"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6: how many base spans of each kind."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7: sizes and digests of what is read back."""
+    return op7_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8: families, which in this corpus follow from five notices that stand as lines of their own."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "families")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9: all but the model's score."""
+    return op9_trie_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+# SQL twins. A-Z alone are lowered; the five white-space bytes and the space separate words.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(string_split_regex({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_JACCARD = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+k AS MATERIALIZED (SELECT min(doc_id) AS doc_id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s), t AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS t FROM k),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)), r AS (SELECT doc_id AS id, doc_id AS low FROM k UNION SELECT e.a, r.low FROM e JOIN r ON r.id = e.b WHERE r.low < e.a),
+m AS (SELECT id, min(low) AS low FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(k.doc_id, s.doc_id) AS class_id, coalesce(m.low, s.doc_id) AS component_id FROM s LEFT JOIN k ON k.s = s.s LEFT JOIN m ON m.id = k.doc_id"""
+_NEXT = "SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_EDITED = f"SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(nxt, length(t) // 2)) AS edited_sha256, count(*) OVER (PARTITION BY t) AS copies, true AS alike_if_equal FROM ({_NEXT})"
+_ANY_CASE = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+_ASSIGN = _ANY_CASE + """["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = f"SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 6)) AS n_assign, len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents"
+_PAYLOAD = "SELECT doc_id, n AS n_bytes, n + k AS payload_bytes, sha256(encode(t) || unhex(repeat('FF', k))) AS payload_sha256 FROM (SELECT doc_id, t, n, CASE WHEN n = 0 THEN 576 ELSE (576 - n % 576) % 576 END AS k FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents))"
+# The notices that stand in this corpus.
+_LINES = {"apache": "Licensed under the Apache License, Version 2.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "mit": "Released under the MIT License.", "proprietary": "All rights reserved."}
+_FAMILIES = "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(text, '{t}') THEN '{f}' END" for f, t in _LINES.items()) + ") AS families FROM documents"
+# crc32 by shifts: one byte after another, eight bits each
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"
+_BASE = f"""WITH d AS MATERIALIZED (SELECT doc_id, ({_CRC}) % 10 = 0 AS held_out, list_append({_WORDS}, chr(0)) AS w FROM documents), t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 3) AS base_score FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN n GROUP BY 1"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, langid_pages)
+    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, langid_pages, edited_texts, secret_counts, media_payloads, license_families, lm_base_scores)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten results can be had from SQL alone; tests hold them against brute force."""
-    return {}
+    """SQL over all columns where SQL can, and over those of the companions; tests hold the rest against plain versions."""
+    return {"op5_ngram_join": _JACCARD, "edited_texts": _EDITED, "secret_counts": _SECRETS, "media_payloads": _PAYLOAD, "license_families": _FAMILIES, "lm_base_scores": _BASE}
