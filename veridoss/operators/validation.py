@@ -18,7 +18,7 @@ class ValidationFailure(ValueError):
 
 
 def check(df: DataFrame, name: str, bad: Column, id_: str, examples: int = 5) -> DataFrame:
-    """How many rows are bad, with some ids in order. The ids are cut to a few before they leave a task."""
+    """How many rows are bad, with the first few ids in order as texts. The ids are cut to a few before they leave a task."""
     few = F.slice(F.sort_array(F.collect_set(F.when(F.col("__r") <= examples, F.col(id_).cast("string")))), 1, examples)
     from pyspark.sql import Window
 

@@ -153,6 +153,25 @@ def traceability(spark, sf):
 _SIZES = f"SELECT hotel_id, semantic_cluster_id, count(*) AS n FROM ({_F}) GROUP BY 1, 2"
 
 
+@query("SELECT CAST(o_custkey % 480 AS VARCHAR) AS hotel_id, count(*) AS review_count, count(*) AS n_records, true AS every_row_clustered, true AS representatives_resolve FROM orders GROUP BY 1")
+def layer_one(spark, sf):
+    """The whole first layer over orders, 480 entities: clustering, full and compact documents.
+
+    At the largest supplied scale these are 150,000 rows.
+    """
+    n = table(spark, sf, "embeddings").count()
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "doc_id")
+    text = F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").cast("string"))
+    rows = o.select(F.lit("REVIEWS").alias("source_dataset"), (F.col("o_custkey") % 480).cast("string").alias("hotel_id"), F.col("doc_id").cast("string").alias("review_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("review_date"), F.substring("o_orderpriority", 1, 1).cast("double").alias("rating"), text.alias("review_text"), F.sha2(text, 256).alias("text_sha256"), F.col("doc_id").alias("input_row_position"), (F.col("doc_id") % n).alias("embedding_row"), F.lit(True).alias("embedding_verified"), F.expr(ASPECT).alias("absa_aspect"), F.expr(SENTIMENT).alias("absa_sentiment"), F.expr(CONFIDENCE).alias("absa_confidence"), F.expr(METHOD).alias("absa_method"), F.expr(STATUS).alias("absa_reusable_status"), F.lit("").alias("duplicate_group_id"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("embedding_row"), "embedding")
+    v = rows.select("review_id", "embedding_row").join(e, "embedding_row").select("review_id", "embedding")
+    full = kept(D.full(kept(D.clustered(rows, v, SETTINGS), "clustered"), SETTINGS, {"table": "orders"}), "documents")
+    compact = kept(D.compact(full), "compact")
+    size = lambda name: F.aggregate(F.transform("semantic_clusters", lambda k: F.size(k[name]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    held = full.select("hotel_id", "hotel_metadata.review_count", F.size("review_evidence_records").cast("long").alias("n_records"), (F.size(F.filter("review_evidence_records", lambda r: r["semantic_cluster_id"].isNull())) == 0).alias("every_row_clustered"))
+    return held.join(compact.select("hotel_id", (size("representative_reviews") == size("representative_review_ids")).alias("representatives_resolve")), "hotel_id")
+
+
 @query(f"SELECT hotel_id, semantic_cluster_id, n AS unique_review_count FROM (SELECT *, row_number() OVER (PARTITION BY hotel_id ORDER BY n DESC, semantic_cluster_id) AS r FROM ({_SIZES}) WHERE n >= 10) WHERE r <= 10")
 def large_clusters(spark, sf):
     """Each entity's largest clusters."""

@@ -297,12 +297,16 @@ def precedence(spark, sf):
     return R.precedence(o.select("id"), o.where("o_orderstatus = 'F'"), o.where("o_orderpriority LIKE '1%'"), "id", ("first", "second", "third"))
 
 
-@query("SELECT 'text_blank' AS \"check\", count(*) FILTER (trim(text) = '') AS n_bad FROM documents UNION ALL SELECT 'id_repeats', (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) UNION ALL SELECT 'outside', count(*) FILTER (n_chars NOT BETWEEN 50 AND 5000) FROM documents")
+def _bad(name: str, rows: str) -> str:
+    return f"SELECT '{name}' AS \"check\", (SELECT count(*) FROM ({rows})) AS n_bad, coalesce((SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS i FROM ({rows}) ORDER BY i LIMIT 5)), '') AS examples"
+
+
+@query(" UNION ALL ".join((_bad("text_blank", "SELECT doc_id FROM documents WHERE trim(text) = ''"), _bad("id_repeats", "SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1"), _bad("outside", "SELECT doc_id FROM documents WHERE n_chars NOT BETWEEN 50 AND 5000"))))
 def validation_report(spark, sf):
     d = table(spark, sf, "documents")
     many = d.groupBy("doc_id").agg(F.count("*").alias("n"))
     checks = [V.check(d, "text_blank", S.blank(F.col("text")), "doc_id"), V.check(many, "id_repeats", F.col("n") > 1, "doc_id"), V.check(d, "outside", ~F.col("n_chars").between(50, 5000), "doc_id")]
-    return V.report(checks).select("check", "n_bad")
+    return V.report(checks).select("check", "n_bad", F.concat_ws(",", "examples").alias("examples"))
 
 
 @query("SELECT source AS entity, low_rated, kept AS low_rated_kept, drops AS clusters_that_drop, lost AS low_rated_dropped FROM (SELECT source, CAST(sum(low) AS BIGINT) AS low_rated, CAST(sum(kept) AS BIGINT) AS kept, count(*) FILTER (n > r) AS drops, CAST(sum(CASE WHEN n > r THEN greatest(0, low - kept) ELSE 0 END) AS BIGINT) AS lost FROM (SELECT source, lang, count(*) AS n, count(*) FILTER (rank <= 3) AS r, count(*) FILTER (doc_id % 5 + 1 <= 2) AS low, count(*) FILTER (doc_id % 5 + 1 <= 2 AND rank <= 3) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars, doc_id) AS rank FROM documents) GROUP BY 1, 2) GROUP BY 1)")
