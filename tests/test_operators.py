@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridoss.config import Settings, load_settings
 from veridoss.functions import scalars as S
-from veridoss.functions.claims import claims_of
+from veridoss.functions.claims import segment
 from veridoss.operators import absa, assess, chunking, relational, temporal, validation, vectors
 from veridoss.plans import dossier
 from veridoss.sources import readers, writers
@@ -124,10 +125,44 @@ def test_validation(spark, sample):
         validation.require(validation.report(validation.review_checks(bad, "review_id", "review_text", "review_date", "rating", "text_sha256")))
 
 
-def test_claims():
-    assert [c[4] for c in claims_of("Nice room, but noisy street. Ok; fine; good!")] == ["Nice room", "noisy street.", "Ok", "fine", "good!"]
-    assert [c[6] for c in claims_of("It was late, but fine because of rain.")] == ["whole_sentence"]
-    assert claims_of("") == [] and claims_of("no end")[0][2:4] == (0, 6)
+def plain_claims(text):
+    """(sentence, claim, start, stop, term, kind), one sentence after another, in plain Python."""
+    out, si, at = [], 0, 0
+    trim = lambda a, b: (a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip()))
+    for end in [*(m.end() for m in re.finditer(r"[.!?]+(?=\s|$)", text)), len(text)]:
+        a, b, at = *trim(at, end), end
+        if a >= b:
+            continue
+        body = text[a:b]
+        turn = re.search(r",\s*(but|although|however)\s+", body, re.I)
+        stops = [*re.finditer(r";\s+", body)]
+        if re.search(r"\b(so|therefore|because|thus|hence)\b", body, re.I) or not (turn or stops):
+            found = [(a, b, "", "whole_sentence")]
+        elif turn:
+            found = [(*trim(a, a + turn.start()), turn[1].lower(), "contrast_left"), (*trim(a + turn.end(), b), turn[1].lower(), "contrast_right")]
+        else:
+            edges = [a, *(a + e for m in stops for e in m.span()), b]
+            found = [(*trim(x, y), ";", "semicolon_part") for x, y in zip(edges[::2], edges[1::2])]
+            found = [x for x in found if x[0] < x[1]]
+        out += [(si, i, *x) for i, x in enumerate(found)]
+        si += 1
+    return out
+
+
+def test_claims_equal_plain_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    bits = ["Nice room", ", but ", ",However ", "; ", ";", ". ", "! ", "?!\n", "... ", " so ", "because", "é\u00e4 ", "\U0001d11e", " ", "\t", "x.y", ", although", " fine", "\u00a0"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(400)] + ["", None, "no end", "Nice room, but noisy street. Ok; fine; good!", "It was late, but fine because of rain."]
+    df = spark.createDataFrame([(i, t, "2020-01") for i, t in enumerate(texts)], "input_row_position long, review_text string, review_date string")
+    got = {}
+    for r in segment(df).collect():
+        assert r.claim_text == texts[r.input_row_position][r.source_text_start : r.source_text_end]
+        got.setdefault(r.input_row_position, []).append((r.claim_id, r.sentence_index, r.claim_index, r.source_text_start, r.source_text_end, r.linking_term, r.link_type))
+    for i, t in enumerate(texts):
+        assert [x[1:] for x in sorted(got.get(i, []))] == plain_claims(t or ""), t
+        assert [x[0] for x in sorted(got.get(i, []))] == [f"REVIEWS:r{i:06d}:c{k:03d}" for k in range(len(got.get(i, [])))]
 
 
 def test_chunks(spark, sample):

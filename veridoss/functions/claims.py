@@ -1,64 +1,67 @@
-"""Texts to claims: sentences, then contrast and semicolon parts, with code-point offsets."""
+"""Texts to claims: sentences, then contrast and semicolon parts, with code-point offsets. Columns only.
 
-from __future__ import annotations
+White space and word ends are those of Unicode. A sentence ends after signs that white space or the text's end
+follows. One with a word of cause stays whole; else it is cut at its first contrast, or else at its semicolons.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridoss.functions.scalars import date_precision
 
-_END = re.compile(r"[.!?]+(?=\s|$)")
-_CAUSAL = re.compile(r"\b(so|therefore|because|thus|hence)\b", re.I)
-_CONTRAST = re.compile(r",\s*(but|although|however)\s+", re.I)
-_SEMICOLON = re.compile(r";\s+")
-CLAIMS = "array<struct<sentence_index:int,claim_index:int,start:int,stop:int,text:string,linking_term:string,link_type:string>>"
+# The words and signs that end sentences and link claims.
+END = r"[.!?]+"
+CAUSAL = "so|therefore|because|thus|hence"
+CONTRAST = "but|although|however"
+
+_SENTENCE = rf"(?sU).*?(?:{END}(?=\s|\z)|\z)"
+_CAUSE = rf"(?iuU)\b(?:{CAUSAL})\b"
+_TURN = rf"(?iuU),\s*({CONTRAST})\s+"
+_PAUSE = r"(?U);\s+"
+
+
+def _piece(start: Column, text: Column) -> Column:
+    """(start, text) with white space off both ends."""
+    left = F.regexp_replace(text, r"(?U)^\s+", "")
+    return F.struct((start + F.length(text) - F.length(left)).alias("start"), F.regexp_replace(left, r"(?U)\s+\z", "").alias("text"))
 
 
-def _trim(text: str, a: int, b: int) -> tuple[int, int]:
-    part = text[a:b]
-    return a + len(part) - len(part.lstrip()), max(a, b - (len(part) - len(part.rstrip()))) if part.strip() else a
+def _starts(lengths: Column) -> Column:
+    """Running sums of lengths, each before its own."""
+    return F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x))
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if text[a:b].strip()] or [(0, len(text))]
+def sentences(text: Column) -> Column:
+    """Array of (index, start, text) of the sentences that are not blank."""
+    parts = F.filter(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda x: x != "")
+    placed = F.zip_with(parts, _starts(F.transform(parts, lambda x: F.length(x))), lambda t, a: _piece(a, t))
+    return F.transform(F.filter(placed, lambda x: x["text"] != ""), lambda x, i: F.struct(i.alias("index"), x["start"].alias("start"), x["text"].alias("text")))
 
 
-def claims_of(text: str) -> list[tuple]:
-    """(sentence, claim in it, start, stop, text, linking term, link type) for one text."""
-    out = []
-    for s, (a, b) in enumerate(sentences(text)):
-        a, b = _trim(text, a, b)
-        body = text[a:b]
-        if not body.strip():
-            continue
-        pieces, term, kind = [(a, b)], "", "whole_sentence"
-        if not _CAUSAL.search(body):
-            if m := _CONTRAST.search(body):
-                term = m.group(1).lower()
-                for i, piece in enumerate(((a, a + m.start()), (a + m.end(), b))):
-                    x, y = _trim(text, *piece)
-                    out.append((s, i, x, y, text[x:y], term, ("contrast_left", "contrast_right")[i]))
-                continue
-            if cuts := list(_SEMICOLON.finditer(body)):
-                edges = [a, *(a + e for m in cuts for e in m.span()), b]
-                pieces, term, kind = list(zip(edges[::2], edges[1::2])), ";", "semicolon_part"
-        kept = [p for p in (_trim(text, *p) for p in pieces) if p[1] > p[0]]
-        out += [(s, i, x, y, text[x:y], term, kind) for i, (x, y) in enumerate(kept)]
-    return out
+def claims_of(s: Column) -> Column:
+    """Array of claims of one sentence: (sentence_index, claim_index, start, text, linking_term, link_type)."""
 
+    def claim(i: Column, piece: Column, term: Column, kind: str) -> Column:
+        return F.struct(s["index"].alias("sentence_index"), i.cast("int").alias("claim_index"), piece["start"].alias("start"), piece["text"].alias("text"), term.alias("linking_term"), F.lit(kind).alias("link_type"))
 
-def _claims(texts: pd.Series) -> pd.Series:
-    names = ("sentence_index", "claim_index", "start", "stop", "text", "linking_term", "link_type")
-    return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in claims_of(t or "")])
+    body, none = s["text"], F.lit("")
+    turn, pauses = F.split(body, _TURN, 2), F.regexp_extract_all(body, F.lit(_PAUSE), F.lit(0))
+    left, right = F.get(turn, F.lit(0)), F.get(turn, F.lit(1))
+    term = F.lower(F.regexp_extract(body, _TURN, 1))
+    contrast = F.array(claim(F.lit(0), _piece(s["start"], left), term, "contrast_left"), claim(F.lit(1), _piece(s["start"] + F.length(body) - F.length(right), right), term, "contrast_right"))
+    parts = F.split(body, _PAUSE)
+    spans = F.zip_with(parts, pauses, lambda p, q: F.length(p) + F.coalesce(F.length(q), F.lit(0)))
+    cut = F.filter(F.zip_with(parts, _starts(spans), lambda t, a: _piece(s["start"] + a, t)), lambda x: x["text"] != "")
+    semicolons = F.transform(cut, lambda x, i: claim(i, x, F.lit(";"), "semicolon_part"))
+    whole = F.array(claim(F.lit(0), F.struct(s["start"].alias("start"), body.alias("text")), none, "whole_sentence"))
+    return F.when(body.rlike(_CAUSE), whole).when(F.size(turn) > 1, contrast).when(F.size(pauses) > 0, semicolons).otherwise(whole)
 
 
 def segment(reviews: DataFrame, text: str = "review_text", position: str = "input_row_position", date: str = "review_date", prefix: str = "REVIEWS") -> DataFrame:
     """One row per claim, with its key, offsets, hash and date precision beside the review's columns."""
-    split = F.pandas_udf(_claims, CLAIMS)
-    got = reviews.select("*", F.posexplode(split(F.coalesce(F.col(text), F.lit("")))).alias("__n", "__c"))
+    parts = reviews.withColumn("__s", sentences(F.coalesce(F.col(text), F.lit(""))))
+    got = parts.select("*", F.posexplode(F.flatten(F.transform("__s", claims_of))).alias("__n", "__c"))
     key: Column = F.format_string(f"{prefix}:r%06d:c%03d", F.col(position).cast("long"), F.col("__n"))
-    return got.select(*[F.col(f"`{c}`") for c in reviews.columns], key.alias("claim_id"), F.col("__c.sentence_index"), F.col("__c.claim_index"), F.col("__c.text").alias("claim_text"), F.sha2("__c.text", 256).alias("claim_text_sha256"), F.col("__c.start").alias("source_text_start"), F.col("__c.stop").alias("source_text_end"), F.col("__c.linking_term"), F.col("__c.link_type"), date_precision(F.col(date).cast("string")).alias("date_precision"))
+    return got.select(*[F.col(f"`{c}`") for c in reviews.columns], key.alias("claim_id"), F.col("__c.sentence_index"), F.col("__c.claim_index"), F.col("__c.text").alias("claim_text"), F.sha2("__c.text", 256).alias("claim_text_sha256"), F.col("__c.start").alias("source_text_start"), (F.col("__c.start") + F.length("__c.text")).alias("source_text_end"), F.col("__c.linking_term"), F.col("__c.link_type"), date_precision(F.col(date).cast("string")).alias("date_precision"))

@@ -317,7 +317,18 @@ def low_rating_retention(spark, sf):
     return A.low_rating_retention(rows, "entity", "lang", "rating", "chosen")
 
 
-@query()
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CLAIMS = rf"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?]+(?:\s|$)|$)') AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS k FROM t),
+p AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS a FROM u), b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS si, a + length(t) - length(ltrim(t, {_SPACE})) AS a, trim(t, {_SPACE}) AS body FROM p WHERE trim(t, {_SPACE}) <> ''),
+f AS (SELECT *, regexp_matches(lower(body), '(^|[^{_WORD}])(so|therefore|because|thus|hence)($|[^{_WORD}])') AS cause, regexp_extract(body, '(?i),\s*(but|although|however)\s+') AS gap, regexp_extract_all(body, ';\s+') AS stops FROM b),
+c AS (SELECT doc_id, si, 0 AS ci, a, body AS t, '' AS term, 'whole_sentence' AS kind FROM f WHERE cause OR (gap = '' AND len(stops) = 0)
+UNION ALL SELECT doc_id, si, 0, a, rtrim(left(body, strpos(body, gap) - 1), {_SPACE}), lower(trim(ltrim(gap, ','), {_SPACE})), 'contrast_left' FROM f WHERE NOT cause AND gap <> ''
+UNION ALL SELECT doc_id, si, 1, a + strpos(body, gap) - 1 + length(gap), substr(body, strpos(body, gap) + length(gap)), lower(trim(ltrim(gap, ','), {_SPACE})), 'contrast_right' FROM f WHERE NOT cause AND gap <> ''
+UNION ALL SELECT doc_id, si, row_number() OVER (PARTITION BY doc_id, si ORDER BY k) - 1, a + before, rtrim(t, {_SPACE}), ';', 'semicolon_part' FROM (SELECT *, sum(length(t) + length(coalesce(gap_, ''))) OVER (PARTITION BY doc_id, si ORDER BY k) - length(t) - length(coalesce(gap_, '')) AS before FROM (SELECT doc_id, si, a, unnest(string_split_regex(body, ';\s+')) AS t, unnest(list_append(stops, NULL)) AS gap_, generate_subscripts(list_append(stops, NULL), 1) AS k FROM f WHERE NOT cause AND gap = '' AND len(stops) > 0)) WHERE rtrim(t, {_SPACE}) <> '')
+SELECT doc_id, doc_id AS input_row_position, printf('REVIEWS:r%06d:c%03d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY si, ci) - 1) AS claim_id, si AS sentence_index, ci AS claim_index, sha256(t) AS claim_text_sha256, CAST(a AS BIGINT) AS source_text_start, CAST(a + length(t) AS BIGINT) AS source_text_end, term AS linking_term, kind AS link_type, 'month' AS date_precision FROM c"""
+
+
+@query(_CLAIMS)
 def claim_segments(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("review_text"), F.col("doc_id").alias("input_row_position"), F.lit("2020-01").alias("review_date"))
     return segment(d).drop("review_text", "claim_text", "review_date")
