@@ -103,6 +103,16 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(same, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "copies", ((F.col("near_edited") == 1) == (F.col("fingerprint") == F.col("edited_fingerprint"))).alias("alike_if_equal"))
 
 
+def mixing_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3: the budget of each (domain, language, source), out of which its rows are chosen."""
+    t = mixing.estimated_tokens(F.col("text"))
+    docs = documents(spark, sf_dir).select(domain_of(F.col("source")).alias("domain"), "lang", "source", t.alias("t"))
+    leaves = docs.groupBy("domain", "lang", "source").agg(F.sum("t").alias("tokens"))
+    total = 0.8 * (leaves.agg(F.sum("tokens")).first()[0] or 0)
+    plan = mixing.plan_leaves(spark, leaves, total, 2, TARGETS, (0.7, 0.7, 0.5))
+    return plan.select("domain", "lang", "source", "tokens", F.round("budget", 2).alias("budget"), "whole")
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op6: how many base spans of each kind."""
     return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -143,17 +153,34 @@ _PAYLOAD = "SELECT doc_id, n AS n_bytes, n + k AS payload_bytes, sha256(encode(t
 _LINES = {"apache": "Licensed under the Apache License, Version 2.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "mit": "Released under the MIT License.", "proprietary": "All rights reserved."}
 _FAMILIES = "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(text, '{t}') THEN '{f}' END" for f, t in _LINES.items()) + ") AS families FROM documents"
 # crc32 by shifts: one byte after another, eight bits each
-_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"
+_CRC = _CRC_OF.format("CAST(doc_id AS VARCHAR)")
 _BASE = f"""WITH d AS MATERIALIZED (SELECT doc_id, ({_CRC}) % 10 = 0 AS held_out, list_append({_WORDS}, chr(0)) AS w FROM documents), t AS MATERIALIZED (SELECT doc_id, held_out, unnest(w) AS w FROM d),
 c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
 SELECT t.doc_id, any_value(t.held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 3) AS base_score FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN n GROUP BY 1"""
 
 
+def _fill_sql(rows: str, parent: str, key: str) -> str:
+    """Children (parent, key, cap, w, budget) with their parts: full ones in order of cap over w, the rest in proportion."""
+    by = f"PARTITION BY {parent}"
+    placed = f"SELECT *, cap / w AS r, (budget - coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({by} ORDER BY cap / w, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM ({rows})"
+    return f"SELECT * EXCLUDE (budget, r, lev, cap, w), CASE WHEN r <= lev THEN cap ELSE least(cap, w * arg_min(lev, r) FILTER (r > lev) OVER ({by})) END AS budget FROM ({placed})"
+
+
+_NAMES = "[" + ", ".join(f"'{x}'" for x in TARGETS) + "]"
+_WEIGHT = "CASE domain " + " ".join(f"WHEN '{d}' THEN {w}" for d, w in TARGETS.items()) + " END::DOUBLE"
+_LEAVES = f"SELECT {_NAMES}[({_CRC_OF.format('source')}) % {len(TARGETS)} + 1] AS domain, lang, source, CAST(sum(ceil(octet_length(encode(coalesce(text, ''))) / 4.0) + 1) AS BIGINT) AS tokens FROM documents GROUP BY ALL"
+_TOP = _fill_sql(f"SELECT domain, 1 AS one, sum(tokens) * 2.0::DOUBLE AS cap, {_WEIGHT} AS w, 0.8::DOUBLE * (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY domain", "one", "domain")
+_MIDDLE = _fill_sql("SELECT domain, lang, sum(tokens) * 2.0::DOUBLE AS cap, sum(tokens) ** 0.7::DOUBLE AS w, any_value(top.budget) AS budget FROM leaf JOIN top USING (domain) GROUP BY domain, lang", "domain", "lang")
+_LAST = _fill_sql("SELECT domain, lang, source, tokens, tokens * 2.0::DOUBLE AS cap, tokens ** 0.5::DOUBLE AS w, middle.budget FROM leaf JOIN middle USING (domain, lang)", "domain, lang", "source")
+_BUDGETS = f"WITH leaf AS MATERIALIZED ({_LEAVES}), top AS MATERIALIZED ({_TOP}), middle AS MATERIALIZED ({_MIDDLE}) SELECT domain, lang, source, tokens, round(budget, 2) AS budget, CAST(floor(budget / tokens + 1e-9) AS INTEGER) AS whole FROM ({_LAST})"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, langid_pages, edited_texts, secret_counts, media_payloads, license_families, lm_base_scores)
+    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, langid_pages, edited_texts, mixing_budgets, secret_counts, media_payloads, license_families, lm_base_scores)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over all columns where SQL can, and over those of the companions; tests hold the rest against plain versions."""
-    return {"op5_ngram_join": _JACCARD, "edited_texts": _EDITED, "secret_counts": _SECRETS, "media_payloads": _PAYLOAD, "license_families": _FAMILIES, "lm_base_scores": _BASE}
+    return {"op5_ngram_join": _JACCARD, "edited_texts": _EDITED, "mixing_budgets": _BUDGETS, "secret_counts": _SECRETS, "media_payloads": _PAYLOAD, "license_families": _FAMILIES, "lm_base_scores": _BASE}
