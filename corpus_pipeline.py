@@ -17,12 +17,22 @@ SLOT_BITS = 20  # of the token table, beside what earlier stages left in an exec
 MIX_SHARE = 0.9  # of the tokens that reach the mixing stage
 
 
+def private(docs: DataFrame) -> DataFrame:
+    """docs under names that no operator gives its results, so that extra columns of any name come through."""
+    return docs.withColumnsRenamed({c: f"doc__{c}" for c in docs.columns})
+
+
+def public(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that ``private`` renamed, under their own names again."""
+    return docs.select(*[F.col(f"`doc__{c}`").alias(c) for c in names])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lang becomes the identified language."""
     bounded_batches(spark)
     model = language.train(docs, "text", "lang")
-    out = language.identify(spark, docs, model, "text", F.col("lang"), F.col("source"))
-    return out.where("identified_lang <> 'und'").withColumn("lang", F.col("identified_lang")).select(*docs.columns)
+    out = language.identify(spark, private(docs), model, "doc__text", F.col("doc__lang"), F.col("doc__source"))
+    return public(out.where("identified_lang <> 'und'").withColumn("doc__lang", F.col("identified_lang")), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +48,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A token-prefix of each (domain, language, source) under tempered weights, once at most."""
-    return mix_sources(spark, docs, domain_of(F.col("source")), share=MIX_SHARE, epochs=1).select(*docs.columns)
+    names = {"id_col": "doc__doc_id", "text_col": "doc__text", "lang_col": "doc__lang", "source_col": "doc__source"}
+    return public(mix_sources(spark, private(docs), domain_of(F.col("doc__source")), share=MIX_SHARE, epochs=1, **names), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
