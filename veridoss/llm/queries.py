@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the documents (and pages) tables."""
+"""The queries of the operators over the documents, pages, benchmark and embeddings tables."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from veridoss.llm import op7_mpeg_ts as media
 from veridoss.llm import op8_licenses as licenses
 from veridoss.llm import op9_trie_lm as lm
 from veridoss.llm import op10_packing as packing
+from veridoss.llm import op11_resampling as resampling
+from veridoss.llm import op12_va_codes as codes
 from veridoss.llm.shared import bounded_batches
 
 TARGETS = {"web": 0.5, "books": 0.3, "forums": 0.2}
@@ -93,6 +95,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 # Companions: the columns of a query that SQL can express, taken from the operator's own result.
 
 
@@ -176,11 +186,34 @@ _LAST = _fill_sql("SELECT domain, lang, source, tokens, tokens * 2.0::DOUBLE AS
 _BUDGETS = f"WITH leaf AS MATERIALIZED ({_LEAVES}), top AS MATERIALIZED ({_TOP}), middle AS MATERIALIZED ({_MIDDLE}) SELECT domain, lang, source, tokens, round(budget, 2) AS budget, CAST(floor(budget / tokens + 1e-9) AS INTEGER) AS whole FROM ({_LAST})"
 
 
+# Of op11: words of bytes beyond ASCII, letters and digits; CRC-32 over UTF-8 bytes by a table of 256 entries.
+_GAIN_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_BYTES = "list_transform(range(CAST(length(hex(encode(f))) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+_RESAMPLED = f"""WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)) AS tab),
+d AS MATERIALIZED (SELECT 0 AS side, doc_id AS id, row_number() OVER () AS r, {_GAIN_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, 0, {_GAIN_WORDS} FROM benchmark),
+f AS MATERIALIZED (SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1])), 4294967295::BIGINT) % 10000 AS b FROM (SELECT DISTINCT f FROM f) CROSS JOIN tab),
+n AS MATERIALIZED (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (f) GROUP BY b),
+g AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000)::DOUBLE))) AS BIGINT) AS g FROM n),
+w AS MATERIALIZED (SELECT r, count(*) AS n_features, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY r),
+v AS (SELECT d.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('7:' || d.id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r) WHERE side = 0),
+x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM v), y AS (SELECT *, CASE WHEN n_features >= 39 THEN row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) END AS rk FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN rk <= 25 * (SELECT count(*) FROM x WHERE n_features >= 39) // 100 THEN rk END AS rank FROM y"""
+_CODES = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, vec_id, (i - 1) // (len(embedding) // 8) AS part, (i - 1) % (len(embedding) // 8) AS pos, CAST(floor(4096 * embedding[i]::DOUBLE) AS BIGINT) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT part, n - 1 AS entry, pos, x AS c FROM x JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) AS n FROM v) USING (r) WHERE n <= 16),
+""" + "".join(f"""a{k} AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) % 16 AS entry, min(d) AS d FROM (SELECT r, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{k} USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{k} LEFT JOIN (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (r, part) GROUP BY ALL) USING (part, entry, pos)),
+""" for k in range(6)) + """a6 AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) % 16 AS entry, min(d) AS d FROM (SELECT r, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c6 USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT r, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM c6) AS codebooks_sha256 FROM v JOIN e USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, langid_pages, edited_texts, mixing_budgets, secret_counts, media_payloads, license_families, lm_base_scores)
+    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, op11_importance_resampling, op12_va_codes, langid_pages, edited_texts, mixing_budgets, secret_counts, media_payloads, license_families, lm_base_scores)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over all columns where SQL can, and over those of the companions; tests hold the rest against plain versions."""
-    return {"op5_ngram_join": _JACCARD, "edited_texts": _EDITED, "mixing_budgets": _BUDGETS, "secret_counts": _SECRETS, "media_payloads": _PAYLOAD, "license_families": _FAMILIES, "lm_base_scores": _BASE}
+    return {"op5_ngram_join": _JACCARD, "edited_texts": _EDITED, "mixing_budgets": _BUDGETS, "secret_counts": _SECRETS, "media_payloads": _PAYLOAD, "license_families": _FAMILIES, "lm_base_scores": _BASE, "op11_importance_resampling": _RESAMPLED, "op12_va_codes": _CODES}
