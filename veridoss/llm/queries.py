@@ -19,6 +19,7 @@ from veridoss.llm import op9_trie_lm as lm
 from veridoss.llm import op10_packing as packing
 from veridoss.llm import op11_resampling as resampling
 from veridoss.llm import op12_va_codes as codes
+from veridoss.llm import op13_pii as pii
 from veridoss.llm.shared import bounded_batches
 
 TARGETS = {"web": 0.5, "books": 0.3, "forums": 0.2}
@@ -103,6 +104,10 @@ def op12_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(spark, documents(spark, sf_dir))
+
+
 # Companions: the columns of a query that SQL can express, taken from the operator's own result.
 
 
@@ -210,7 +215,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, op11_importance_resampling, op12_va_codes, langid_pages, edited_texts, mixing_budgets, secret_counts, media_payloads, license_families, lm_base_scores)
+    own = (op1_language_id, op2_fingerprints, op3_source_mixing, op4_token_records, op5_ngram_join, op6_secret_scan, op7_transport_stream, op8_license_scan, op9_trie_scores, op10_packing, op11_importance_resampling, op12_va_codes, op13_pii_spans, langid_pages, edited_texts, mixing_budgets, secret_counts, media_payloads, license_families, lm_base_scores)
     return {f.__name__: f for f in own}
 
 
