@@ -322,3 +322,75 @@ def test_shared_parts_of_model_runs(spark, tmp_path):
     assert {r.review_id: r.inference_status for r in first.collect()} == {"a": "success", "b": "failed"}
     again = absa.resumed(spark, df, str(tmp_path / "p"), "review_id", lambda rows: rows.withColumn("inference_status", F.lit("success")), 2)
     assert {r.review_id: r.inference_status for r in again.collect()} == {"a": "success", "b": "success"}
+
+
+def test_claims_of_very_long_texts(spark):
+    """Doubling a text must not do more than double the time; sums of offsets hold over many steps."""
+    import time
+
+    took = {}
+    for n in (1_000, 25_000, 50_000):
+        text = "Good room, but small; nice staff; fine. " * n + "a; " * n
+        start = time.time()
+        got = segment(spark.createDataFrame([(text, 1, "2020-01-01")], "review_text string, input_row_position long, review_date string"))
+        rows = got.agg(F.count("*").alias("n"), F.max("source_text_end").alias("end"), F.count_if(F.expr("substring(review_text, source_text_start + 1, 1) = substring(claim_text, 1, 1)")).alias("same") if n == 1_000 else F.lit(0).alias("same")).first()
+        took[n] = time.time() - start
+        assert rows.n == 3 * n and rows.end == len(text) - 1
+        assert n > 1_000 or rows.same == rows.n
+    assert took[50_000] < 4 * took[25_000] + 2
+
+
+@pytest.mark.parametrize("kind", ["complete", "average", "single"])
+def test_large_entities_in_blocks_equal_one_task(spark, kind):
+    """Blocks of 16 rows: pairs of blocks, components over tables, links a component; copies, errors and small entities beside them."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 8))
+    x = centres[rng.integers(0, 9, 160)] + rng.normal(size=(160, 8)) * 0.45
+    x[50:60] = x[40]
+    rows = [("a" if k < 110 else "b", f"r{k:04d}", f"2020-01-{k % 27 + 1:02d}", x[k].tolist()) for k in range(160)]
+    rows += [("z", f"z{k}", "2020-01-01", [0.0] * 8) for k in range(30)] + [("q", "q1", None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "e string, i string, d string, v array<double>")
+    one, many = ({r.i: (r.cluster_id, r.error) for r in vectors.cluster(df, "e", "i", "v", 0.7, kind, date="d", block=b).collect()} for b in (2048, 16))
+    assert one == many and len(one) == len(rows) and {e for c, e in many.values() if c is None} == {"a vector has no length"}
+
+
+def test_sparse_and_chained_linkage_equal_the_matrix():
+    rng = np.random.default_rng(6)
+    x = vectors.unit(rng.normal(size=(12, 6))[rng.integers(0, 12, 400)] + rng.normal(size=(400, 6)) * 0.4)
+    as_sets = lambda label: {frozenset(np.flatnonzero(label == k)) for k in np.unique(label)}
+    weight = rng.integers(1, 4, 400)
+    for cut in (0.1, 0.3, 0.6):
+        assert (vectors.sparse_complete(x, cut) == vectors.linkage(x, cut, "complete")).all()
+        assert as_sets(vectors.chained_average(x, weight, cut)) == as_sets(vectors.linkage(x, cut, "average", weight))
+
+
+def test_statistics_of_large_groups_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a" if k < 70 else "b", f"r{k}", rng.normal(size=5).tolist()) for k in range(100)]
+    df = spark.createDataFrame(rows, "e string, i string, v array<double>").withColumn("c", F.lit("x"))
+    plain = vectors.unit(np.array([r[2] for r in rows[:70]])) @ vectors.unit(np.array([r[2] for r in rows[:70]])).T
+    for block in (2048, 16):
+        pairs = {r.e: r.pairs for r in vectors.pair_counts(df, "e", "i", "v", -0.1, block).collect()}
+        assert pairs["a"] == (np.triu(plain >= -0.1, 1)).sum()
+        stats = {r.i: r for r in vectors.centroid_stats(df, "e", "c", "i", "v", block).collect()}
+        assert len(stats) == 100 and abs(stats["r3"].minimum_pairwise_similarity - (plain + 3 * np.eye(70)).min()) < 1e-9
+        assert abs(stats["r3"].mean_pairwise_similarity - (plain.sum() - 70) / (70 * 69)) < 1e-9
+
+
+def test_compact_takes_records_in_linear_time(spark):
+    import time
+
+    took = {}
+    for n in (4_000, 16_000):
+        docs = spark.range(1).select(
+            F.lit("h").alias("hotel_id"),
+            F.expr(f"transform(sequence(1, {n}), i -> struct(concat('c', i) AS semantic_cluster_id, array(concat('r', i), 'none', concat('r', i % 7 + 1)) AS representative_review_ids))").alias("semantic_clusters"),
+            F.expr(f"transform(sequence(1, {n}), i -> struct(concat('r', i) AS review_id, concat('text ', i) AS review_text))").alias("review_evidence_records"),
+        )
+        docs = docs.union(spark.createDataFrame([("empty", [], [])], docs.schema))
+        start = time.time()
+        out = {r.hotel_id: r for r in dossier.compact(docs).collect()}
+        took[n] = time.time() - start
+        assert out["empty"].semantic_clusters == [] and "review_evidence_records" not in out["h"]
+        assert [[x.review_id for x in c.representative_reviews] for c in out["h"].semantic_clusters] == [[f"r{i}", f"r{i % 7 + 1}"] for i in range(1, n + 1)]
+    assert took[16_000] < 10 * took[4_000] + 2

@@ -81,12 +81,18 @@ def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None
 def compact(documents: DataFrame, most: int = 3) -> DataFrame:
     """Documents without their records, each cluster with at most ``most`` representative records.
 
-    The records of an entity become one map; each cluster looks its ids up. No join.
+    Representatives' ids are joined with the places of an entity's records; only ids and places are shuffled
+    for that. A document then takes its records by place.
     """
-    by_id = F.map_from_entries(F.transform("review_evidence_records", lambda r: F.struct(r["review_id"].alias("k"), r.alias("v"))))
-    docs = documents.withColumn("__m", by_id)
-    clusters = F.transform("semantic_clusters", lambda k: k.withField("representative_reviews", F.filter(F.transform(F.slice(k["representative_review_ids"], 1, most), lambda i: F.col("__m")[i]), lambda r: r.isNotNull())))
-    return docs.withColumn("semantic_clusters", clusters).drop("review_evidence_records", "__m")
+    k = documents.select("hotel_id", F.posexplode("semantic_clusters").alias("k", "c"))
+    chosen = k.select("hotel_id", "k", F.posexplode_outer(F.slice("c.representative_review_ids", 1, most)).alias("n", "review_id"))
+    placed = documents.select("hotel_id", F.posexplode(F.col("review_evidence_records.review_id")).alias("place", "review_id"))
+    found = chosen.join(placed, ["hotel_id", "review_id"], "left").groupBy("hotel_id", "k").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("n", "place")))).alias("x"))
+    places = found.groupBy(F.col("hotel_id").alias("__of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]["place"]).alias("__places"))
+    docs = documents.join(places, F.col("hotel_id") == F.col("__of"), "left")
+    records = F.col("review_evidence_records")
+    clusters = F.transform("semantic_clusters", lambda c, i: c.withField("representative_reviews", F.transform(F.get("__places", i), lambda p: F.get(records, p))))
+    return docs.withColumn("semantic_clusters", clusters).drop("review_evidence_records", "__of", "__places")
 
 
 def compaction_report(full_docs: DataFrame, compact_docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from veridoss.operators import validation as V
 from veridoss.operators import vectors as X
 from veridoss.operators import workflow as W
 from veridoss.plans import dossier as D
+from veridoss.plans.linkage import VECTORS, clusters_sql, linkage_sql
 from veridoss.plans.registry import query, table
 from veridoss.schemas import DOCUMENT, FORBIDDEN_KEYS, RECORD
 from veridoss.sources.workspace import kept
@@ -153,7 +154,16 @@ def traceability(spark, sf):
 _SIZES = f"SELECT hotel_id, semantic_cluster_id, count(*) AS n FROM ({_F}) GROUP BY 1, 2"
 
 
-@query("SELECT CAST(o_custkey % 480 AS VARCHAR) AS hotel_id, count(*) AS review_count, count(*) AS n_records, true AS every_row_clustered, true AS representatives_resolve FROM orders GROUP BY 1")
+_ORDERS = f"SELECT CAST(o_custkey % 480 AS VARCHAR) AS e, CAST(o_orderkey AS VARCHAR) AS i, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(embedding AS DOUBLE[]) AS v, length(o_orderpriority || ' ' || o_orderstatus || ' ' || CAST(o_totalprice AS VARCHAR)) AS n, {METHOD.replace('doc_id', 'o_orderkey')} AS method FROM orders JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings)"
+_LAYER = f"""WITH o AS MATERIALIZED ({_ORDERS}), l AS MATERIALIZED (SELECT o.e, o.i, d, o.n, method, cluster_id AS c, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM o JOIN ({linkage_sql("SELECT e, i, d, v FROM o", "complete", SETTINGS.similarity_threshold)}) USING (e, i)),
+s AS MATERIALIZED (SELECT e, c, list(x ORDER BY pos) AS m FROM (SELECT e, c, pos, sum(u[pos]) AS x FROM l, range(1, 1 + (SELECT max(len(u)) FROM l)) t(pos) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT l.e, l.c, i, l.n, row_number() OVER (PARTITION BY l.e, l.c ORDER BY round(1 - list_dot_product(u, m) / sqrt(list_dot_product(m, m)), 9), CASE WHEN method = 'deberta_absa' THEN 0 ELSE 1 END, l.n, i) AS rank FROM l JOIN s USING (e, c)),
+k AS (SELECT e, c, count(*) AS size, string_agg(i, '+' ORDER BY rank) FILTER (rank <= 3) AS reps, sum(n) FILTER (rank <= 3) AS chars FROM w GROUP BY 1, 2),
+g AS (SELECT e, count(*) AS clusters, sha256(string_agg(c || '=' || size, ',' ORDER BY c)) AS clusters_sha256, sha256(string_agg(reps, ',' ORDER BY c)) AS representatives_sha256, CAST(sum(chars) AS BIGINT) AS embedded_characters FROM k GROUP BY 1)
+SELECT l.e AS hotel_id, count(*) AS review_count, sha256(string_agg(i || '=' || l.c, ',' ORDER BY d, i)) AS records_sha256, any_value(clusters) AS clusters, any_value(clusters_sha256) AS clusters_sha256, any_value(representatives_sha256) AS representatives_sha256, any_value(embedded_characters) AS embedded_characters FROM l JOIN g USING (e) GROUP BY 1"""
+
+
+@query(_LAYER)
 def layer_one(spark, sf):
     """The whole first layer over orders, 480 entities: clustering, full and compact documents.
 
@@ -167,9 +177,15 @@ def layer_one(spark, sf):
     v = rows.select("review_id", "embedding_row").join(e, "embedding_row").select("review_id", "embedding")
     full = kept(D.full(kept(D.clustered(rows, v, SETTINGS), "clustered"), SETTINGS, {"table": "orders"}), "documents")
     compact = kept(D.compact(full), "compact")
-    size = lambda name: F.aggregate(F.transform("semantic_clusters", lambda k: F.size(k[name]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    held = full.select("hotel_id", "hotel_metadata.review_count", F.size("review_evidence_records").cast("long").alias("n_records"), (F.size(F.filter("review_evidence_records", lambda r: r["semantic_cluster_id"].isNull())) == 0).alias("every_row_clustered"))
-    return held.join(compact.select("hotel_id", (size("representative_reviews") == size("representative_review_ids")).alias("representatives_resolve")), "hotel_id")
+    digest = lambda column, each, sep=",": F.sha2(F.array_join(F.transform(column, each), sep), 256)
+    held = full.select(
+        "hotel_id", "hotel_metadata.review_count", digest("review_evidence_records", lambda r: F.concat_ws("=", r["review_id"], r["semantic_cluster_id"])).alias("records_sha256"),
+        F.size("semantic_clusters").cast("long").alias("clusters"), digest("semantic_clusters", lambda k: F.concat_ws("=", k["semantic_cluster_id"], k["unique_review_count"].cast("string"))).alias("clusters_sha256"),
+    )
+    reps = lambda k: F.transform(k["representative_reviews"], lambda r: r["review_id"])
+    chars = F.flatten(F.transform("semantic_clusters", lambda k: F.transform(k["representative_reviews"], lambda r: F.length(r["review_text"]).cast("long"))))
+    taken = compact.select("hotel_id", digest("semantic_clusters", lambda k: F.array_join(reps(k), "+")).alias("representatives_sha256"), F.aggregate(chars, F.lit(0).cast("long"), lambda a, x: a + x).alias("embedded_characters"))
+    return held.join(taken, "hotel_id")
 
 
 @query(f"SELECT hotel_id, semantic_cluster_id, n AS unique_review_count FROM (SELECT *, row_number() OVER (PARTITION BY hotel_id ORDER BY n DESC, semantic_cluster_id) AS r FROM ({_SIZES}) WHERE n >= 10) WHERE r <= 10")
@@ -562,14 +578,17 @@ def group_codes(spark, sf):
     return R.reference_codes(table(spark, sf, "documents").select("lang", "doc_id"), "doc_id", "i", "lang")
 
 
-@query("SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS VARCHAR) AS vec_id, substr(sha256(CAST(label AS VARCHAR)), 1, 8) AS prefix, true AS numbered FROM embeddings")
+@query(clusters_sql("average", 0.5, "'%s:issue_%05d', substr(sha256(e), 1, 8)"))
 def hashed_cluster_names(spark, sf):
     """Cluster ids under the entity's hash."""
-    got = X.cluster(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.5, "average", "%s:issue_%05d", hashed=True)
-    return got.select("label", "vec_id", F.substring_index("cluster_id", ":", 1).alias("prefix"), F.col("cluster_id").rlike("^[0-9a-f]{8}:issue_[0-9]{5}$").alias("numbered"))
+    return X.cluster(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 0.5, "average", "%s:issue_%05d", hashed=True)
 
 
-_LINKED = "SELECT CAST(label AS VARCHAR) AS label, count(*) AS rows, true AS each_once, true AS within_cut, true AS by_smallest_id FROM embeddings GROUP BY 1"
+_CLUSTERS = linkage_sql(VECTORS, "complete", 0.30)
+_LINKED = f"""WITH c AS MATERIALIZED ({_CLUSTERS}), v AS (SELECT e, cluster_id, i, v FROM c JOIN ({VECTORS}) USING (e, i)),
+w AS (SELECT a.e, min(list_cosine_similarity(a.v, b.v)) AS least FROM v a JOIN v b ON a.e = b.e AND a.cluster_id = b.cluster_id AND a.i < b.i GROUP BY 1),
+o AS (SELECT e, bool_and(cluster_id = printf('%s:cluster_%05d', e, n)) AS ok FROM (SELECT e, cluster_id, row_number() OVER (PARTITION BY e ORDER BY min(i)) AS n FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT c.e AS label, count(*) AS rows, count(DISTINCT i) = count(*) AS each_once, coalesce(any_value(least), 1) > 0.30 - 1e-9 AS within_cut, any_value(o.ok) AS by_smallest_id FROM c LEFT JOIN w USING (e) LEFT JOIN o USING (e) GROUP BY 1"""
 
 
 @query(_LINKED)

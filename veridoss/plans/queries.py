@@ -17,6 +17,7 @@ from veridoss.operators import relational as R
 from veridoss.operators import temporal as T
 from veridoss.operators import validation as V
 from veridoss.operators import vectors as X
+from veridoss.plans.linkage import clusters_sql, sizes_sql
 from veridoss.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 WINDOWS = {"last_90_days": 90, "last_180_days": 180, "last_365_days": 365}
@@ -207,24 +208,27 @@ def pair_similarity_count(spark, sf):
     return X.pair_counts(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", THRESHOLD)
 
 
-@query()
+@query(clusters_sql("complete", THRESHOLD))
 def complete_linkage(spark, sf):
     return X.cluster(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", THRESHOLD, "complete")
 
 
-@query()
+@query(clusters_sql("average", THRESHOLD, "'%s:issue_%05d', e"))
 def average_linkage(spark, sf):
     return X.cluster(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", THRESHOLD, "average", "%s:issue_%05d")
 
 
-@query()
+_METHODS = " UNION ALL ".join(f"SELECT '{k}' AS spec, n AS s FROM ({sizes_sql(k, THRESHOLD)})" for k in ("complete", "single"))
+
+
+@query(f"SELECT spec, count(*) AS clusters, round(count(*) FILTER (s = 1) / sum(s), 6) AS singleton_share, max(s) AS largest, count(*) FILTER (s > 50) AS over_50, count(*) FILTER (s > 100) AS over_100 FROM ({_METHODS}) GROUP BY 1")
 def grouping_methods(spark, sf):
     e = table(spark, sf, "embeddings")
     both = [X.cluster(e, "label", "vec_id", "embedding", THRESHOLD, k).withColumn("spec", F.lit(k)) for k in ("complete", "single")]
     return A.grouping_comparison(both[0].unionByName(both[1]), "spec", "label", "cluster_id")
 
 
-@query()
+@query(f"SELECT label, count(*) AS cluster_count, CAST(sum(n) AS BIGINT) AS review_count, count(*) FILTER (n = 1) AS singleton_cluster_count, round(count(*) FILTER (n = 1) / count(*), 6) AS singleton_share_of_clusters, round(count(*) FILTER (n = 1) / sum(n), 6) AS singleton_share_of_reviews, max(n) AS largest_cluster_size FROM ({sizes_sql('complete', THRESHOLD)}) GROUP BY 1")
 def cluster_diagnostics(spark, sf):
     return A.cluster_sizes(complete_linkage(spark, sf), "label", "cluster_id")
 
