@@ -52,7 +52,9 @@ def _hashes(parts: str, seed: int) -> Column:
     return F.transform(F.col(parts), lambda p: F.xxhash64(F.lit(seed), p))
 
 
-def _chunks(hashes: Column) -> Column:
+def _chunks(name: str) -> Column:
+    """Slices of CHUNK hashes. They must be a column: an expression in the lambda would be made anew for each slice."""
+    hashes = F.col(name)
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(hashes, i, CHUNK))
 
@@ -63,8 +65,9 @@ def with_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
     parts = F.filter(F.split(F.col(text), PHRASES), lambda p: p != "")
     df = df.withColumns({f"{out}_l": lines, f"{out}_p": parts})
     made = {f"{out}_d{j}": _hashes(f"{out}_l", j) for j in range(DENSE)}
-    made |= {f"{out}_h{j}": _chunks(_hashes(f"{out}_p", 100 + j)) for j in range(SPARSE)}
+    made |= {f"{out}_h{j}": _hashes(f"{out}_p", 100 + j) for j in range(SPARSE)}
     df = df.withColumns(made | {f"{out}_n": F.size(f"{out}_p").cast("long")}).drop(f"{out}_l", f"{out}_p")
+    df = df.withColumns({f"{out}_h{j}": _chunks(f"{out}_h{j}") for j in range(SPARSE)})
     narrow = lambda k: lambda chunk: F.aggregate(chunk, _long(0), lambda a, x: a + F.shiftright(x, k).bitwiseAND(_long(_NARROW)))
     return df.withColumns({f"{out}_s{j}_{k}": F.transform(F.col(f"{out}_h{j}"), narrow(k)) for j in range(SPARSE) for k in range(8)})
 
