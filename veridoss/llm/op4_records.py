@@ -15,7 +15,8 @@ task writes to a name of its own attempt and only the name in its result row is
 a lost executor or a second attempt leaves an unused file, never a mixed one.
 
 Defined results. Null or empty text: the end id alone. Null ids come first. Repeated rows are
-written as often as they occur, by text. An empty table writes no record.
+written as often as they occur, by text. Very long texts are encoded a stretch at a time and written whole.
+An empty table writes no record. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,9 +15,12 @@ tests must not contradict randomness (Fisher's combination above RANDOM_LEVEL).
 ranked by p-value within strata of encoding and length, over all rows, and Benjamini-Hochberg
 sets each stratum's threshold at rate FDR. The threshold table has a fixed size: strata x BINS.
 
-Defined results. Null or empty text: no span. Spans count code points, end exclusive. Base
-spans always stay; a candidate that overlaps one is dropped, as is a shorter overlapping
-candidate. Repeated rows each get their result. Empty table: empty result.
+Defined results. Null or empty text: no span; ``redact`` leaves it as it is. Spans count code points, end
+exclusive. Base spans always stay; a candidate that overlaps one is dropped, as is a shorter overlapping
+candidate. Very long texts are read whole, in time that follows their length. Spans that start together go in
+the order of the kinds; candidates with the same p-value are all accepted or all not. Repeated rows each get
+their result. Empty table: empty result. Extra columns are ignored by ``find_secrets``, whatever their names,
+and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import keep, trimmed
+from veridoss.llm.shared import keep, named, trimmed
 
 FDR = 0.01
 RANDOM_LEVEL = 0.001
@@ -141,9 +144,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, bin) of runs outside the base spans that pass for random."""
     out = []
+    i = far = 0  # both lists go from left to right: far is the furthest end of base spans begun before a run's end
     for m in _RUN.finditer(text):
         run = m.group()
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
+        while i < len(base) and base[i][0] < m.end():
+            far = max(far, base[i][1])
+            i += 1
+        if far > m.start():
             continue
         encoding = infer_encoding(run)
         if encoding is None or len(run.rstrip("=")) < MIN_RUN:
@@ -178,7 +185,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = list(zip(*found, strict=True)) if found else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "runs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(trimmed(run), SCAN)
+    return docs.select(named(id_col).cast("long").alias("id"), named(text_col)).mapInArrow(trimmed(run), SCAN)
 
 
 def thresholds(scanned: DataFrame, rate: float = FDR) -> dict[int, int]:
@@ -225,6 +232,8 @@ def redact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     """
     limits = thresholds(scan(docs, id_col, text_col), rate)
     names, at = docs.columns, docs.columns.index(text_col)
+    slots = [f"c{i}" for i in range(len(names))]  # whatever signs are in the names
+    plain = docs.toDF(*slots)
     to = names.index(chars_col) if chars_col in names else None
 
     def clean(text: str | None) -> str | None:
@@ -250,6 +259,6 @@ def redact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
             if to is not None:
                 columns[to] = pa.array([n if t is None or t == old else len(t) for t, old, n in zip(texts, columns[at].to_pylist(), columns[to].to_pylist(), strict=True)], columns[to].type)
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=slots)
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    return plain.mapInArrow(trimmed(run), plain.schema).toDF(*names)
