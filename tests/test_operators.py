@@ -394,3 +394,112 @@ def test_compact_takes_records_in_linear_time(spark):
         assert out["empty"].semantic_clusters == [] and "review_evidence_records" not in out["h"]
         assert [[x.review_id for x in c.representative_reviews] for c in out["h"].semantic_clusters] == [[f"r{i}", f"r{i % 7 + 1}"] for i in range(1, n + 1)]
     assert took[16_000] < 10 * took[4_000] + 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chunks_by_pointers_equal_the_fold(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [("abc"[k % 3 if k > 20 else 0], f"{rng.integers(0, 50):02d}" if rng.random() < 0.9 else None, f"i{rng.integers(0, 400):03d}", int(rng.choice([0, 1, 5, 30, 200]))) for k in range(500)] + [("one", "01", "i", 9)]
+    df = spark.createDataFrame(rows, "e string, d string, i string, n long")
+    names = ["e", "d", "i", "cost", "chunk_no", "chunks"]
+    fold, linked = (sorted(tuple(r) for r in chunking.assign_chunks(df, "e", "d", "i", "n", 60, items=most).select(*names).collect()) for most in (10_000, 20))
+    assert fold == linked and len(fold) == len(rows)
+
+
+def test_chunks_of_a_million_items(spark):
+    df = spark.range(1_000_000).select(F.lit("e").alias("e"), F.lit("").alias("d"), F.format_string("%07d", "id").alias("i"), (F.col("id") * 37 % 211).alias("n"))
+    got = chunking.assign_chunks(df, "e", "d", "i", "n", 100_000)
+    per = got.groupBy("chunk_no").agg(F.sum("cost").alias("c"), F.count("*").alias("n")).orderBy("chunk_no").collect()
+    assert sum(r.n for r in per) == 1_000_000 and [r.chunk_no for r in per] == list(range(1, len(per) + 1))
+    assert all(100_000 - 214 < r.c <= 100_000 for r in per[:-1])
+
+
+def test_schema_faults_at_every_level():
+    from veridoss.operators.workflow import schema_faults
+
+    schema = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "array", "maxItems": 2, "items": {"type": ["integer", "null"], "minimum": 0}}, "b": {"enum": ["x", 1]}, "c": {"type": "object", "additionalProperties": {"type": "string", "pattern": "^k"}}, "d": {"type": "number"}}}
+    assert schema_faults({"a": [1, None], "b": 1, "c": {"z": "k"}, "d": 0.5}, schema) == [] == schema_faults({"a": [2.0]}, schema)
+    for value, where in (([], "$: not object"), ({}, "$.a: missing"), ({"a": [1, 2, 3]}, "$.a: 3 items"), ({"a": [True]}, "$.a[0]: not integer or null"), ({"a": [-1]}, "$.a[0]: out of bounds"), ({"a": [], "b": True}, "$.b: not among the allowed values"), ({"a": [], "c": {"z": "q"}}, "$.c.z: not of the form asked for"), ({"a": [], "e": 1}, "$.e: not a property"), ({"a": [1.5], "d": "1"}, "$.a[0]: not integer or null")):
+        assert where in schema_faults(value, schema)
+
+
+def test_wrong_answers_at_depth_are_asked_for_again(spark):
+    from veridoss.operators.workflow import call
+
+    said = {}
+
+    def model(payload):
+        said[payload] = said.get(payload, 0) + 1
+        return json.dumps({"a": [{"b": "x" if said[payload] == 1 and payload != "p2" else 1}]})
+
+    schema = {"properties": {"a": {"items": {"properties": {"b": {"type": "integer"}}}}}}
+    df = spark.createDataFrame([("p1",), ("p2",), (None,)], "p string").coalesce(1).withColumn("k", F.coalesce("p", F.lit("none")))
+    got = {r.k: r for r in call(df, ["k"], "p", model, wait=0.0, schema=schema).collect()}
+    assert got["p1"].attempts == 2 and got["p2"].attempts == 1 and got["none"].error == "no payload"
+
+
+def test_order_faults_read_differing_ranges_alone(spark):
+    a = spark.range(10_000).select(F.col("id").alias("p"), F.col("id").cast("string").alias("i"))
+    b = a.withColumn("i", F.when(F.col("p").isin(5, 6), F.lit("x")).otherwise(F.col("i"))).where("p <> 7777").unionByName(a.where("p = 9000")).unionByName(spark.createDataFrame([(None, "n")], "p long, i string"))
+    got, want = (sorted((str(r) for r in f(a, b, "p", "i").collect())) for f in (relational.order_faults, relational.position_mismatches))
+    assert got == want and len(want) == 4
+    assert relational.order_faults(a, a.repartition(3), "p", "i").count() == 0 and relational.order_faults(a.limit(0), a.limit(0), "p", "i").count() == 0
+
+
+def test_archives_are_read_by_ranges(spark, tmp_path):
+    import zipfile
+
+    from veridoss.sources import archives
+
+    x, ids = np.arange(3_000, dtype="float32").reshape(1_000, 3), np.array([f"r{k}" for k in range(1_000)])
+    (tmp_path / "n").mkdir()
+    np.savez(tmp_path / "n" / "one.npz", emb=x, review_id=ids, method=np.array("m"))
+    np.savez_compressed(tmp_path / "n" / "two.npz", emb=x[:10].astype("float64"), review_id=ids[:10], method=np.array("m"))
+    df = archives.npz_rows(spark, f"file://{tmp_path}/n/one.npz", "m", 100)
+    assert df.rdd.getNumPartitions() == 10 and df.select(F.spark_partition_id()).distinct().count() == 10
+    assert sorted((r.position, r.review_id, list(r.embedding)) for r in df.collect()) == [(k, f"r{k}", x[k].tolist()) for k in range(1_000)]
+    assert archives.npz_rows(spark, str(tmp_path / "n"), "m", 100).count() == 1_010
+    shapes = {(r.file.rsplit("/", 1)[1], r.member): list(r["shape"]) for r in archives.npz_headers(spark, str(tmp_path / "n")).collect()}
+    assert shapes["one.npz", "emb"] == [1000, 3] and shapes["two.npz", "review_id"] == [10] and shapes["one.npz", "method"] == []
+    with open(tmp_path / "n" / "one.npz", "r+b") as f:  # the header is enough for shapes: vectors may be damaged
+        f.seek(archives.array_header(str(tmp_path / "n" / "one.npz"), "emb.npy").at + 4_000)
+        f.write(b"\0" * 400)
+    assert archives.array_header(str(tmp_path / "n" / "one.npz"), "emb.npy").shape == (1000, 3)
+    with pytest.raises(Exception, match="not other"):
+        archives.npz_rows(spark, str(tmp_path / "n"), "other").count()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for k in range(200):
+            z.writestr(f"d/{k}.json", json.dumps({"k": k, "pad": "x" * 500}), zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        z.writestr("readme.txt", "no")
+    got = archives.zip_members(spark, str(tmp_path / "z.zip"), ".json", 5_000)
+    assert got.rdd.getNumPartitions() > 5
+    assert sorted(json.loads(bytes(r.content))["k"] for r in got.collect()) == list(range(200))
+
+
+def test_a_stream_that_is_stopped_does_no_row_twice(spark, tmp_path):
+    from veridoss.streaming.resumed import infer_stream
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(40).select(F.col("id").cast("string").alias("i")).repartition(4).write.parquet(source)
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            calls.add(len(frame))
+            yield frame
+
+    done, stop = [], [2]
+
+    def work(batch):
+        if len(done) == stop[0]:
+            raise RuntimeError("stopped")
+        done.append(1)
+        return batch.mapInPandas(count, "i string")
+
+    with pytest.raises(Exception, match="stopped"):
+        infer_stream(spark, source, "i string", work, out, 1)
+    stop[0] = 99
+    got = infer_stream(spark, source, "i string", work, out, 1)
+    assert sorted(int(r.i) for r in got.collect()) == list(range(40)) and calls.value == 40
+    spark.range(40, 50).select(F.col("id").cast("string").alias("i")).write.mode("append").parquet(source)
+    assert infer_stream(spark, source, "i string", work, out, 1).count() == 50 and calls.value == 50

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import subprocess
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -71,6 +72,47 @@ def has_fields(answer: str, required: Sequence[str]) -> bool:
     return isinstance(found, dict) and all(k in found for k in required)
 
 
+KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+
+
+def schema_faults(value, schema: Mapping, at: str = "$") -> list[str]:
+    """Where a JSON value departs from a schema: types, required and further properties, enumerations, bounds, items.
+
+    The keywords are type (one or several), enum, properties, required, additionalProperties (false or a schema),
+    items, minItems, maxItems, minimum, maximum, minLength and pattern; all levels are looked at.
+    """
+    out = []
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    whole = isinstance(value, float) and value.is_integer()
+    is_a = lambda k: (isinstance(value, KINDS[k]) or k == "integer" and whole) and (not isinstance(value, bool) or k == "boolean")
+    if kinds and not any(is_a(k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    if "enum" in schema and not any(type(value) is type(x) and value == x for x in schema["enum"]):
+        out.append(f"{at}: not among the allowed values")
+    if isinstance(value, dict):
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        out += [f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value]
+        for k, v in value.items():
+            if k in known:
+                out += schema_faults(v, known[k], f"{at}.{k}")
+            elif more is False:
+                out.append(f"{at}.{k}: not a property")
+            elif isinstance(more, Mapping):
+                out += schema_faults(v, more, f"{at}.{k}")
+    elif isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            out.append(f"{at}: {len(value)} items")
+        if "items" in schema:
+            out += [x for i, v in enumerate(value) for x in schema_faults(v, schema["items"], f"{at}[{i}]")]
+    elif isinstance(value, str):
+        if len(value) < schema.get("minLength", 0) or "pattern" in schema and not re.search(schema["pattern"], value):
+            out.append(f"{at}: not of the form asked for")
+    elif isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        out.append(f"{at}: out of bounds")
+    return out
+
+
 def by_command(command: list[str], seconds: float = 600.0) -> Callable[[str], str]:
     """A model that is a program: the payload goes to its standard input, the answer comes from its output."""
 
@@ -83,12 +125,12 @@ def by_command(command: list[str], seconds: float = 600.0) -> Callable[[str], st
     return model
 
 
-def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str], retries: int = 4, wait: float = 1.0, required: Sequence[str] = ()) -> DataFrame:
+def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str], retries: int = 4, wait: float = 1.0, required: Sequence[str] = (), schema: Mapping | None = None) -> DataFrame:
     """key columns with response, error and attempts; a row that fails keeps its error and stops no other.
 
     Waits wait * 2**attempt plus a random part, at most MOST_DELAY seconds, after errors that another try may
-    mend; others end the row at once. An answer must be JSON with the required fields; one that is not is asked
-    for again. A null payload is not sent.
+    mend; others end the row at once. An answer must be JSON with the required fields and, where a schema is given,
+    agree with it at every level; one that is not is asked for again. A null payload is not sent.
     """
 
     def one(text: str | None) -> tuple[str | None, str | None, int]:
@@ -99,7 +141,9 @@ def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str
                 got = model(text)
                 if required and not has_fields(got, required):
                     raise json.JSONDecodeError("a required field is missing", got[:100], 0)
-                json.loads(got)
+                found = json.loads(got)
+                if schema is not None and (faults := schema_faults(found, schema)):
+                    raise json.JSONDecodeError("; ".join(faults[:5]), got[:100], 0)
                 return got, None, attempt + 1
             except Exception as error:
                 said = f"{type(error).__name__}: {error}"[:1000]

@@ -315,6 +315,14 @@ def position_mismatches(spark, sf):
     return R.position_mismatches(d, d.where("position % 31 <> 0").withColumn("id", F.expr("CASE WHEN position % 25 = 3 THEN id + 1 ELSE id END")), "position", "id")
 
 
+@query("SELECT a.p AS position, a.id AS ida, b.id AS idb FROM (SELECT vec_id AS p, vec_id AS id FROM embeddings) a FULL JOIN (SELECT vec_id AS p, CASE WHEN vec_id BETWEEN 40 AND 43 THEN 83 - vec_id ELSE vec_id END AS id FROM embeddings WHERE vec_id <> 111) b ON a.p = b.p WHERE a.id IS DISTINCT FROM b.id")
+def order_faults(spark, sf):
+    """The order of two tables compared by digests of ranges, and by row where those differ."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), F.col("vec_id").alias("id"))
+    other = e.where("position <> 111").withColumn("id", F.expr("CASE WHEN position BETWEEN 40 AND 43 THEN 83 - id ELSE id END"))
+    return R.order_faults(e, other, "position", "id", 50)
+
+
 @query("SELECT 'row_counts_differ' AS \"check\", 1::BIGINT AS n_bad, 'documents=' || (SELECT count(*) FROM documents) || ',embeddings=' || (SELECT count(*) FROM embeddings) || ',labels=' || (SELECT count(*) FROM labels) AS examples")
 def count_checks(spark, sf):
     """V3: tables that must have the declared number of rows."""
@@ -435,11 +443,11 @@ def _first_word(texts: list[str]) -> list[list[dict]]:
 
 
 def _inferred(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 15 = 4 THEN ' ' ELSE split(text, '\n')[0] END").alias("line"))
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 15 = 4 THEN ' ' ELSE text END").alias("line"))
     return B.infer(d, "doc_id", "line", _first_word).join(d.select(F.col("doc_id").cast("string").alias("doc_id"), "line"), "doc_id")
 
 
-_LINE = "SELECT doc_id, CASE WHEN doc_id % 15 = 4 THEN ' ' ELSE string_split(text, chr(10))[1] END AS line FROM documents"
+_LINE = "SELECT doc_id, CASE WHEN doc_id % 15 = 4 THEN ' ' ELSE text END AS line FROM documents"
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN trim(line) = '' THEN 'failed_blank_text' WHEN line LIKE 'A%' THEN 'failed_model' ELSE 'success' END AS status FROM ({_LINE})")
@@ -635,6 +643,26 @@ def diverse_choice(spark, sf):
 
 # --- assessments
 
+# The shape that these answers must have.
+_SHAPE = {"type": "object", "required": ["id", "claims"], "additionalProperties": False, "properties": {"id": {"type": "integer"}, "claims": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["band", "ids"], "additionalProperties": False, "properties": {"band": {"enum": ["low", "high"]}, "ids": {"type": "array", "items": {"type": "string"}}}}}}}
+
+
+def _answer(payload: str) -> str:
+    """A stand-in for a model: wrong at a level that follows from the payload."""
+    n = json.loads(payload)["n"]
+    claim = [{"band": "low", "ids": ["a"]}, {"band": "mid", "ids": ["a"]}, {"band": "low", "ids": [1]}, {"band": "high"}, {"band": "high", "ids": [], "note": 1}][n % 5]
+    return json.dumps({"id": n, "claims": [claim]} | ({"more": 1} if n % 7 == 0 else {}))
+
+
+@query("SELECT event_id, event_id % 5 = 0 AND event_id % 7 <> 0 AS accepted, CASE WHEN event_id % 5 = 0 AND event_id % 7 <> 0 THEN 1 ELSE 3 END AS attempts, CASE WHEN event_id % 5 = 1 THEN '$.claims[0].band: not among the allowed values' WHEN event_id % 5 = 2 THEN '$.claims[0].ids[0]: not string' WHEN event_id % 5 = 3 THEN '$.claims[0].ids: missing' WHEN event_id % 5 = 4 THEN '$.claims[0].note: not a property' WHEN event_id % 7 = 0 THEN '$.more: not a property' END AS fault FROM events")
+def schema_checked_calls(spark, sf):
+    """M8: answers are held against a schema at every level, and asked for again where they depart from it."""
+    asked = table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("n"))).alias("payload"))
+    got = W.call(asked, ["event_id"], "payload", _answer, retries=2, wait=0.0, schema=_SHAPE)
+    first = F.regexp_extract("error", r"JSONDecodeError: ([^;]*?)(?:;|: line 1)", 1)
+    return got.select("event_id", F.col("response").isNotNull().alias("accepted"), F.col("attempts").cast("int").alias("attempts"), F.when(F.col("error").isNotNull(), first).alias("fault"))
+
+
 _TURNS = "SELECT CAST(conv_id AS VARCHAR) AS hotel_id, CAST(conv_id * 100 + turn AS VARCHAR) AS review_id, turn, text FROM conversations"
 
 

@@ -12,8 +12,9 @@ from veridoss.operators import validation as V
 from veridoss.plans import dossier as D
 from veridoss.plans import evidence as P
 from veridoss.plans.registry import query, table
-from veridoss.sources import readers, writers
+from veridoss.sources import archives, readers, writers
 from veridoss.sources.workspace import workspace
+from veridoss.streaming.resumed import infer_stream
 
 
 def _written(spark, df, name: str) -> str:
@@ -54,12 +55,35 @@ def npz_round_trip(spark, sf):
     return got.select("review_id", F.size("embedding").cast("long").alias("n"), F.round(F.col("embedding")[6].cast("double"), 5).alias("s"))
 
 
+def _npz_files(spark, sf) -> str:
+    made, path = workspace(spark, "npz"), workspace(spark, "npz-files")
+    writers.npz(table(spark, sf, "embeddings"), made, "vec_id", "embedding", "minilm", 20_000, packed=False)
+    writers.files(spark.read.parquet(made).withColumn("name", F.concat("first", F.lit(".npz"))), "name", "content", path)
+    return path
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS review_id, vec_id AS position, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS s FROM embeddings")
+def npz_ranges(spark, sf):
+    """An npz file as a partitioned source; ranges of its rows are read by tasks of their own."""
+    got = archives.npz_rows(spark, _npz_files(spark, sf), "minilm", 64)
+    files = got.groupBy("file").agg(F.min(F.col("review_id").cast("long")).alias("first"))
+    s = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return got.join(files, "file").select("review_id", (F.col("first") + F.col("position")).alias("position"), F.size("embedding").cast("long").alias("n"), F.round(s, 4).alias("s"))
+
+
+@query("SELECT 'emb' AS member, count(*) AS rows, max(len(embedding)) AS width, '<f4' AS dtype FROM embeddings UNION ALL SELECT 'review_id', count(*), 0, '<U' FROM embeddings")
+def npz_shapes(spark, sf):
+    """Shapes and types from headers alone."""
+    h = archives.npz_headers(spark, _npz_files(spark, sf)).where("member <> 'method'")
+    return h.groupBy("member", F.regexp_replace("dtype", "U.*", "U").alias("dtype")).agg(F.sum(F.col("shape")[0]).alias("rows"), F.max(F.coalesce(F.get("shape", F.lit(1)), F.lit(0))).alias("width"))
+
+
 @query("SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 5) AS x FROM embeddings")
 def ordered_embeddings(spark, sf):
     """Vectors opened once, their order asserted against the expected ids."""
     e = table(spark, sf, "embeddings")
     vectors = e.select("vec_id", F.col("vec_id").alias("position"), "embedding", "label")
-    return readers.in_order(vectors.persist(), e.select("vec_id", F.col("vec_id").alias("position")), "vec_id", "position").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"))
+    return readers.in_order(vectors, e.select("vec_id", F.col("vec_id").alias("position")), "vec_id", "position").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 5).alias("x"))
 
 
 @query("SELECT d.doc_id, round(CAST(e.embedding[2] AS DOUBLE), 5) AS x FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id * 3")
@@ -131,6 +155,18 @@ def resumed_inference(spark, sf):
     return B.resumed(spark, d, path, "review_id", work, 3)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS review_id, 'success' AS inference_status, length(text) AS n FROM documents")
+def streamed_inference(spark, sf):
+    """M5: the same as a stream over files, in batches that are done once; a second run finds nothing left to do."""
+    source, out = workspace(spark, "texts"), workspace(spark, "streamed")
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text")
+    d.repartition(6, "review_id").write.parquet(source)
+    work = lambda rows: rows.select("review_id", F.lit("success").alias("inference_status"), F.length("text").cast("long").alias("n"))
+    for _ in range(2):
+        done = infer_stream(spark, source, "review_id string, text string", work, out, 2)
+    return done.drop("batch_no")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, NULL FROM region")
 def json_lines(spark, sf):
     """Sorted JSON lines, and lines appended to them."""
@@ -161,6 +197,17 @@ def zip_packages(spark, sf):
     return got.select("name", "document.doc_id", "document.source")
 
 
+@query("SELECT lang || '/' || doc_id || '.json' AS name, doc_id, source, length(text) AS n FROM documents")
+def zip_members(spark, sf):
+    """Zip files whose members are planned from the directory at their end and read by ranges."""
+    made, path = workspace(spark, "zips"), workspace(spark, "zip-files")
+    d = table(spark, sf, "documents").select("lang", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct("doc_id", "source", "text")).alias("body"))
+    writers.packages(d, made, "lang", "name", "body")
+    writers.files(spark.read.parquet(made).withColumn("name", F.concat("package", F.lit("-"), F.substring(F.sha2("content", 256), 1, 16), F.lit(".zip"))), "name", "content", path)
+    got = archives.zip_members(spark, path, ".json", 100_000).withColumn("d", F.from_json(F.decode("content", "UTF-8"), "doc_id long, source string, text string"))
+    return got.select("name", "d.doc_id", "d.source", F.length("d.text").cast("long").alias("n"))
+
+
 @query(f"SELECT review_id, hotel_id, semantic_cluster_id FROM ({P._F})")
 def document_pair(spark, sf):
     """Full and compact documents under the same stems; the cluster map read from the full ones."""

@@ -240,6 +240,14 @@ def chunk_plan(spark, sf):
     return plan.select("conv_id", "chunk_no", "review_count", "cost", "chunk_id")
 
 
+@query("WITH RECURSIVE i AS (SELECT lang, n_chars // 7 + 4 AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 90, CAST(doc_id AS VARCHAR)) AS k FROM documents), r AS (SELECT lang, n, k, n AS used, 1::BIGINT AS chunk_no FROM i WHERE k = 1 UNION ALL SELECT i.lang, i.n, i.k, CASE WHEN r.used + i.n > 1500 THEN i.n ELSE r.used + i.n END, CASE WHEN r.used + i.n > 1500 THEN r.chunk_no + 1 ELSE r.chunk_no END FROM r JOIN i ON i.lang = r.lang AND i.k = r.k + 1) SELECT lang, chunk_no, count(*) AS review_count, CAST(sum(n) AS BIGINT) AS cost, max(max(chunk_no)) OVER (PARTITION BY lang) AS chunks FROM r GROUP BY 1, 2")
+def chunks_of_long_entities(spark, sf):
+    """Chunks of entities too long for one row, by pointers over tables."""
+    d = table(spark, sf, "documents").select("lang", F.format_string("%02d", F.col("doc_id") % 90).alias("d"), F.col("doc_id").cast("string").alias("i"), F.floor(F.col("n_chars") / 7).alias("n"))
+    got = C.assign_chunks(d, "lang", "d", "i", "n", 1500, items=100)
+    return got.groupBy("lang", "chunk_no", "chunks").agg(F.count("*").alias("review_count"), F.sum("cost").alias("cost"))
+
+
 @query("SELECT v.value, count(d.doc_id) AS n FROM (SELECT unnest(['de','en','es','fr','it','pt']) AS value) v LEFT JOIN documents d ON d.lang = v.value GROUP BY 1")
 def fixed_domain(spark, sf):
     return A.fixed_domain(table(spark, sf, "documents"), "lang", ["de", "en", "es", "fr", "it", "pt"])

@@ -72,10 +72,11 @@ def markdown_table(df: DataFrame, most: int = 1_000) -> str:
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
-def npz(df: DataFrame, path: str, id_: str, vector: str, method: str, shard_rows: int = 100_000) -> None:
+def npz(df: DataFrame, path: str, id_: str, vector: str, method: str, shard_rows: int = 100_000, packed: bool = True) -> None:
     """Vectors as npz archives (emb float32, review_id, method), one a range of ids, each below a folder of its part.
 
-    An archive is made in the task that holds its rows; ranges keep it to about shard_rows.
+    An archive is made in the task that holds its rows; ranges keep it to about shard_rows. Rows of archives that
+    are not packed can be read by range (``archives.npz_rows``), once ``files`` has made files of them.
     """
     import io
 
@@ -86,7 +87,7 @@ def npz(df: DataFrame, path: str, id_: str, vector: str, method: str, shard_rows
         held = pd.concat(list(frames), ignore_index=True)
         if len(held):
             out = io.BytesIO()
-            np.savez_compressed(out, emb=np.stack(held["v"].map(np.asarray)).astype("float32"), review_id=held["i"].to_numpy(str), method=np.array(method))
+            (np.savez_compressed if packed else np.savez)(out, emb=np.stack(held["v"].map(np.asarray)).astype("float32"), review_id=held["i"].to_numpy(str), method=np.array(method))
             yield pd.DataFrame({"content": [out.getvalue()], "first": [held["i"].iloc[0]]})
 
     n = max(1, -(-df.count() // shard_rows))
@@ -94,6 +95,25 @@ def npz(df: DataFrame, path: str, id_: str, vector: str, method: str, shard_rows
     rows.mapInPandas(pack, "content binary, first string").write.parquet(path)
 
 
+def files(df: DataFrame, name: str, content: str, path: str) -> DataFrame:
+    """Each row's content as a file below a shared path; (name, size) of them, once all are written.
+
+    A task writes beside the file and renames, so that a lost task leaves no half of one and a second try replaces the first.
+    """
+    import pandas as pd
+
+    from veridoss.sources.archives import put
+
+    def write(frames):
+        for frame in frames:
+            for n, body in zip(frame["n"], frame["c"], strict=True):
+                put(f"{path}/{n}", body)
+                yield pd.DataFrame({"name": [n], "size": [len(body)]})
+
+    done = df.select(F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(write, "name string, size long")
+    return done.sparkSession.createDataFrame(done.collect(), "name string, size long")
+
+
 def csv_and_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
     """The same rows as Parquet and as CSV with a header, the CSV in a folder for each value of ``by``."""
     df.write.parquet(f"{path}/parquet")
