@@ -248,18 +248,18 @@ def _grams(w: Column) -> Column:
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the units to which the classifier gives a family, with probability and verdict; no shuffle."""
-    n = len(model.families)
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     known = F.from_json(F.lit(json.dumps(sorted(model.weights))), "array<string>")
     triggers = F.from_json(F.lit(json.dumps(model.triggers)), "array<string>")
     shapes = F.from_json(F.lit(json.dumps(templates())), "array<struct<f:string,g:array<string>,need:int>>")
     names = F.array(*[F.lit(f) for f in model.families])
 
-    def logit(grams: Column, c: int) -> Column:
-        return F.aggregate(grams, F.lit(model.bias[c]), lambda a, g: a + F.get(F.element_at(weights, g), F.lit(c)))
+    bias = F.array(*[F.lit(float(b)) for b in model.bias])
 
     def judge(p: Column) -> Column:
-        return F.struct(p["g"].alias("g"), F.array(*[logit(p["k"], c) for c in range(n)]).alias("z"), p["at"].alias("at"))
+        """Every family's sum in one fold: an n-gram is looked up once, whatever the number of families."""
+        z = F.aggregate(p["k"], bias, lambda a, g: F.zip_with(a, F.element_at(weights, g), lambda x, w: x + w))
+        return F.struct(p["g"].alias("g"), z.alias("z"), p["at"].alias("at"))
 
     def soften(p: Column) -> Column:
         e = F.transform(p["z"], lambda z: F.exp((z - F.array_max(p["z"])) / model.temperature))
