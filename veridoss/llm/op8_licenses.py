@@ -133,8 +133,18 @@ def _noisy(text: str, rng: np.random.Generator, filler: list[str]) -> str:
     return " ".join([*extra[:at], *keep, *extra[at:]])
 
 
+def _matrix(grams: list[list[str]], place: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(grams), len(place)), np.float32)
+    for i, known in enumerate(grams):
+        x[i, [place[g] for g in known if g in place]] = 1
+    return x
+
+
 def train(negatives: tuple[list[str], list[str]], copies: int = 2, rounds: int = 200, penalty: float = 1e-4) -> LicenseModel:
-    """Fit on the notices, GENERAL and the negatives given: lines of any kind and lines of licence talk."""
+    """Fit on the notices, GENERAL and the negatives given: lines of any kind and lines of licence talk.
+
+    Temperature and threshold come from a fit without a fifth of the notices, held out with all their copies.
+    """
     rng = np.random.default_rng(SEED)
     plain, talk = negatives
     filler = [w for t in plain[:500] for w in words(t)] or ["the", "of", "and"]
@@ -153,36 +163,38 @@ def train(negatives: tuple[list[str], list[str]], copies: int = 2, rounds: int =
             df[g] = df.get(g, 0) + 1
     often = {g for g, n in df.items() if n > max(2, COMMON * len(plain))}
     plainly = {g for t in [*GENERAL, *(t for _, t in notices())] for g in ngrams(t)}
-    seen: dict[str, int] = {}
-    for _, t, held in rows:
-        if not held:
-            for g in plainly.intersection(ngrams(t)):
-                seen[g] = seen.get(g, 0) + 1
     telling = lambda g: g not in often and any(not w.isdigit() and w not in often for w in g.split(" "))
-    place = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and telling(g)))}
-    x = np.zeros((len(rows), len(place)), np.float32)
-    for i, (_, t, _) in enumerate(rows):
-        for g in ngrams(t):
-            if g in place:
-                x[i, place[g]] = 1
-    y = np.array([families.index(f) for f, _, _ in rows])
     held = np.array([h for _, _, h in rows])
-    xt, yt = x[~held], np.eye(len(families), dtype=np.float32)[y[~held]]
-    w, b = np.zeros((len(place), len(families)), np.float32), np.zeros(len(families), np.float32)
-    v, bv, k, step = w, b, 1.0, 4.0
-    for _ in range(rounds):  # accelerated proximal gradient
-        z = xt @ v + bv
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - yt) / len(xt)
-        w2 = v - step * (xt.T @ g)
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
-        b2 = bv - step * g.sum(0)
-        b2[-1] = max(b2[-1], b2[:-1].max())  # nothing speaks for a family where no n-gram does
-        k2 = (1 + np.sqrt(1 + 4 * k * k)) / 2
-        v, bv = w2 + (k - 1) / k2 * (w2 - w), b2 + (k - 1) / k2 * (b2 - b)
-        w, b, k = w2, b2, k2
-    z = x[held] @ w + b
+    y = np.array([families.index(f) for f, _, _ in rows])
+    grams = [ngrams(t) for _, t, _ in rows]
+
+    def fit(chosen: np.ndarray) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """(place of each n-gram, weights, bias) from some of the rows."""
+        seen: dict[str, int] = {}
+        for i in np.flatnonzero(chosen):
+            for g in plainly.intersection(grams[i]):
+                seen[g] = seen.get(g, 0) + 1
+        place = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and telling(g)))}
+        xt, yt = _matrix([g for g, c in zip(grams, chosen, strict=True) if c], place), np.eye(len(families), dtype=np.float32)[y[chosen]]
+        w, b = np.zeros((len(place), len(families)), np.float32), np.zeros(len(families), np.float32)
+        v, bv, k, step = w, b, 1.0, 4.0
+        for _ in range(rounds):  # accelerated proximal gradient
+            z = xt @ v + bv
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = (p - yt) / len(xt)
+            w2 = v - step * (xt.T @ g)
+            w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
+            b2 = bv - step * g.sum(0)
+            b2[-1] = max(b2[-1], b2[:-1].max())  # nothing speaks for a family where no n-gram does
+            k2 = (1 + np.sqrt(1 + 4 * k * k)) / 2
+            v, bv = w2 + (k - 1) / k2 * (w2 - w), b2 + (k - 1) / k2 * (b2 - b)
+            w, b, k = w2, b2, k2
+        return place, w, b
+
+    # a fit without the held-out rows calibrates; then all notices are learned, as a passage left out is taken for one like it
+    place, w, b = fit(~held)
+    z = _matrix([g for g, h in zip(grams, held, strict=True) if h], place) @ w + b
     yh = y[held]
 
     def soft(t: float) -> np.ndarray:
@@ -195,6 +207,7 @@ def train(negatives: tuple[list[str], list[str]], copies: int = 2, rounds: int =
     wrong = np.sort(p[none, :-1].max(1))[::-1] if none.any() else np.zeros(0)
     allowed = int(UNKNOWN_ERROR * none.sum())
     least = min(0.95, max(0.5, float(wrong[allowed]) if len(wrong) > allowed else 0.5))
+    place, w, b = fit(~held | (y < len(families) - 1))
     weights = {g: [round(float(q), 4) for q in w[i]] for g, i in place.items() if np.abs(w[i]).max() > 1e-3}
     bias = [round(float(q), 4) for q in b]
     return LicenseModel(families, bias, weights, _triggers(bias, weights, df), temperature, least)
