@@ -162,27 +162,42 @@ def _suffix_filter(pairs: DataFrame, reps: DataFrame, pct: int) -> DataFrame:
     return both.select("a", "b", "pa", "pb", "na", "nb", "ba", "bb").mapInArrow(trimmed(test), "a long, b long")
 
 
+def _block_pairs(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings with the number of blocks of their key, as left and right sides of every pair (one, two) of blocks."""
+    own = level.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "id"), "blocks").cast("int"))
+    left = own.withColumn("one", F.col("own")).withColumn("two", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    right = own.withColumn("two", F.col("own")).withColumn("one", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    return left.drop("own", "blocks"), right.drop("own", "blocks")
+
+
 def _across(spark: SparkSession, open_: DataFrame, prefixes: DataFrame, pct: int, hot: int = HOT) -> DataFrame:
     """(a, b, pa, pb) of classes in different components that share a prefix shingle and may link.
 
     A shingle of more than ``hot`` open postings is extended: links have a second common shingle, later in
     the order, within a prefix longer by one, so only classes that share both are paired; likewise a
-    third. pa and pb are the positions of the last shared one.
+    third. Postings that are still more than ``hot`` for a key are dealt into blocks, and pairs of
+    blocks are joined, so that no task takes a key's pairs alone. pa and pb are the positions of the last shared one.
     """
     columns = ["key", "id", "n", "pos", "component"]
     level, out = open_.select(F.xxhash64("token").alias("key"), "id", "n", "pos", "component"), None
     for depth in range(1, DEPTH + 1):
         level = keep(spark, level, "open")
-        if depth < DEPTH:
-            many = keep(spark, level.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
-            some = level.join(maybe_broadcast(many, 100_000), "key", "left_anti")
-        else:
-            many, some = None, level
-        x, y = some.alias("x"), some.alias("y")
-        found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", pct, depth))
-        found = found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+        counts = keep(spark, level.groupBy("key").count().where(F.col("count") > hot), "hot")
+        many = counts.select("key")
+        some = level.join(maybe_broadcast(many, 100_000), "key", "left_anti").withColumns({"one": F.lit(0), "two": F.lit(0)})
+        x, y = some, some
+        if depth == DEPTH:
+            left, right = _block_pairs(level.join(maybe_broadcast(counts, 100_000), "key").withColumn("blocks", F.ceil(F.col("count") / hot).cast("int")).drop("count"))
+            x, y = some.unionByName(left), some.unionByName(right)
+        x, y = x.alias("x"), y.alias("y")
+        # within a block each pair is met twice, and across two blocks once
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.one") == F.col("y.one")) & (F.col("x.two") == F.col("y.two"))
+        once = (F.col("x.one") < F.col("x.two")) | (F.col("x.id") < F.col("y.id"))
+        found = x.join(y, meet & once & (F.col("x.id") != F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _may_link("x.", "y.", pct, depth))
+        first = F.col("x.id") < F.col("y.id")
+        found = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(first, F.col("x.pos")).otherwise(F.col("y.pos")).alias("pa"), F.when(first, F.col("y.pos")).otherwise(F.col("x.pos")).alias("pb"))
         out = found if out is None else out.unionByName(found)
-        if many is None or not many.limit(1).count():
+        if depth == DEPTH or not many.limit(1).count():
             break
         size = F.col("n") - F.ceil(F.lit(pct) * F.col("n") / F.lit(100.0)).cast("int") + 1 + depth  # of a prefix longer by depth
         wider = level.join(maybe_broadcast(many, 100_000), "key", "left_semi").join(prefixes, "id")
