@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +450,26 @@ def test_op5_one_shingle_in_very_many_unrelated_texts(spark):
     prefixes = open_.select("id", F.concat(F.array(F.lit(7).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: own * 10 + i)).alias("prefix"))
     got = op5_ngram_join._across(spark, open_, prefixes, 80).collect()
     assert [(r.a, r.b) for r in got] == [(n - 2, n - 1)]
+
+
+def test_op1_model_in_files_and_pieces_give_the_same(spark, monkeypatch):
+    """A model too large to send lies in files, and rows are scored in small pieces; labels by the hundred."""
+    o = op1_language_id
+    labels = [a + b for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
+    rows = [(i, f"{x} {x}{x[::-1]} word{x} {x}ing {x}est of {x}" * 3, x, f"h{i % 7}.example.{x}") for i, x in enumerate(labels * 2)]
+    rows += [(9000, None, "aa", None), (9001, "", None, "h1.example.aa"), (9002, "123", "zz", "x")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, host string")
+    seen = lambda m: sorted(map(tuple, o.identify(spark, df, m, "text", F.col("lang"), F.col("host"), returned=["id"]).collect()))
+    held = o.train(df, "text", "lang")
+    want = seen(held)
+    monkeypatch.setattr(o, "MODEL_BYTES", 0)
+    monkeypatch.setattr(o, "BROADCAST_VOTES", 0)
+    filed = o.train(df, "text", "lang")
+    assert filed.files and not filed.grams and filed.languages == held.languages and filed.totals == held.totals
+    for j in (0, 5, len(held.languages) - 1):
+        assert (held.table(j)[0] == filed.table(j)[0]).all()
+    again = seen(filed)
+    assert [r[:3] for r in again] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(again, want, strict=True))
+    batches = iter([pa.RecordBatch.from_pydict({"x": list(range(9))}), pa.RecordBatch.from_pydict({"x": pa.array([], pa.int64())})])
+    cut = list(o._pieces(batches, o.CELLS // 2 - 1))
+    assert [b.num_rows for b in cut] == [2, 2, 2, 2, 1, 0] and [v for b in cut for v in b.column(0).to_pylist()] == list(range(9))

@@ -17,7 +17,10 @@ or there is no letter.
 
 Every well-formed label (two or three letters) is a language, every host, domain and suffix is
 counted, and counts cover all rows. The model is sparse: six bytes for each trigram that a language
-was seen with, so rare languages cost little; tables are spread out one language at a time. Host
+was seen with, so rare languages cost little; tables are spread out one language at a time. It is sent
+to the workers only if it is measured to take MODEL_BYTES at most; a larger one lies in the shared folder,
+a file a language, written by tasks and mapped by workers, and only the files' names pass the driver.
+Rows are scored in pieces of CELLS scores, so memory does not follow the number of languages. Address
 counts are broadcast only if counted to be few; otherwise the same join is shuffled, where adaptive
 execution splits a hot host.
 
@@ -30,6 +33,7 @@ input column named like a result column gives way to it.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.llm.shared import fresh, keep, named, small, trimmed, utf8
+from veridoss.llm.op9_trie_lm import map_arrays, write_arrays
+from veridoss.llm.shared import fresh, keep, named, new_path, trimmed, utf8
 from veridoss.llm.tokens import release
 
 BITS = 16
@@ -52,6 +57,9 @@ HOST_WEIGHT = 20.0
 DOMAIN_WEIGHT = 50.0
 SUFFIX_WEIGHT = 50.0
 BROADCAST_HOSTS = 100_000
+BROADCAST_VOTES = 1_000_000  # over all hosts that are broadcast
+MODEL_BYTES = 64 << 20  # of a model that is sent to the workers
+CELLS = 1 << 20  # scores (rows x languages) held at once
 HELD_TABLES = 16  # languages whose tables a worker keeps spread out
 RESULT = ("identified_lang", "text_lang", "confidence")
 
@@ -66,12 +74,13 @@ _FOLD[128:] = np.arange(128, 256)
 
 @dataclass
 class TextModel:
-    """Languages in alphabetical order; for each the trigram hashes seen and their counts."""
+    """Languages in alphabetical order; for each the trigram hashes seen and their counts, held or in a file."""
 
     languages: list[str]
     grams: list[np.ndarray]  # uint16, ascending
     counts: list[np.ndarray]  # uint32
     totals: list[int]
+    files: list[str] = field(default_factory=list)  # in place of grams and counts
     _held: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -83,7 +92,11 @@ class TextModel:
             if len(self._held) >= HELD_TABLES:
                 self._held.pop(next(iter(self._held)))
             c = np.full(SIZE, PSEUDO, np.float32)
-            c[self.grams[j]] += self.counts[j]
+            if self.files:
+                seen = map_arrays(self.files[j])[0]
+                c[seen["grams"]] += seen["counts"]
+            else:
+                c[self.grams[j]] += self.counts[j]
             self._held[j] = c, np.log(c)
         return self._held[j]
 
@@ -150,25 +163,62 @@ def train(labelled: DataFrame, text_col: str, label_col: str) -> TextModel:
         if seen:
             yield pa.RecordBatch.from_pydict(packed(list(seen), [part] * len(seen), list(seen.values())))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SIZE, np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
-        return pa.table(packed([table.column("label")[0].as_py()], [0], [total]))
+    def total(batches: Iterator[pa.RecordBatch]) -> tuple[str, np.ndarray]:
+        label, out = "", np.zeros(SIZE, np.uint64)
+        for batch in batches:
+            for said, x in zip(batch.column("label"), batch.column("counts"), strict=True):
+                label = said.as_py()
+                out += np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
+        return label, out
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, table = total(batches)
+        yield pa.RecordBatch.from_pydict(packed([label], [0], [table]))
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, table = total(batches)
+        gram = np.flatnonzero(table)
+        counts = np.minimum(table[gram], 0xFFFFFFFF).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"label": [label], "grams": [gram.astype(np.uint16).tobytes()], "counts": [counts.tobytes()], "total": [int(table.sum())]})
 
+    spark = labelled.sparkSession
     schema = "label string, salt int, counts binary"
-    sums = rows.mapInArrow(trimmed(count), schema).groupBy("label", "salt").applyInArrow(add, schema).groupBy("label").applyInArrow(add, schema)
+    sums = rows.mapInArrow(trimmed(count), schema).groupBy("label", "salt").applyInArrow(add, schema)
+    sums = keep(spark, sums.groupBy("label").applyInArrow(sparse, "label string, grams binary, counts binary, total long"), "languages")
+    size = sums.agg(F.sum(F.length("grams") + F.length("counts"))).first()[0] or 0
+    if size > MODEL_BYTES:
+        return _in_files(sums, new_path(spark, "model"))
     model = TextModel([], [], [], [])
-    for r in sums.orderBy("label").toLocalIterator():
-        table = np.frombuffer(zlib.decompress(r.counts), np.uint64)
-        gram = np.flatnonzero(table)
+    for r in sums.orderBy("label").toLocalIterator():  # MODEL_BYTES at most
         model.languages.append(r.label)
-        model.grams.append(gram.astype(np.uint16))
-        model.counts.append(np.minimum(table[gram], 0xFFFFFFFF).astype(np.uint32))
-        model.totals.append(int(table.sum()))
+        model.grams.append(np.frombuffer(r.grams, np.uint16))
+        model.counts.append(np.frombuffer(r.counts, np.uint32))
+        model.totals.append(r.total)
     return model
 
 
+def _in_files(sums: DataFrame, path: str) -> TextModel:
+    """A model whose tables are written by tasks, a file a language; the driver gets names and totals (two or three letters: 18,252 at most)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, grams, counts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file = f"{path}/{label}-{uuid.uuid4().hex[:8]}"  # each attempt writes its own
+                write_arrays(file, {"grams": np.frombuffer(grams, np.uint16), "counts": np.frombuffer(counts, np.uint32)})
+                yield pa.RecordBatch.from_pydict({"label": [label], "file": [file], "total": [n]})
+
+    found = sorted(sums.select("label", "grams", "counts", "total").mapInArrow(write, "label string, file string, total long").collect())
+    return TextModel([r.label for r in found], [], [], [r.total for r in found], [r.file for r in found])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], languages: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none needs more than CELLS scores."""
+    most = max(1, CELLS // (languages + 1))
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), most):
+            yield batch.slice(at, most)
+
+
 def _scores(model: TextModel, data: np.ndarray, offsets: np.ndarray, declared: list[str | None]) -> np.ndarray:
     """Rows x (languages + background): tempered log likelihoods, a row's own counts left out."""
     place = {x: i for i, x in enumerate(model.languages)}
@@ -225,7 +275,7 @@ def evidence_counts(spark: SparkSession, rows: DataFrame, model: TextModel) -> D
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in _pieces(batches, len(model.languages)):
             hosts, declared = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for host, said, vote in zip(hosts, declared, _votes(model, *utf8(batch.column(0)), declared)[1], strict=True):
                 key = host, said, None if vote is None else model.languages[vote]
@@ -246,19 +296,18 @@ def _votes(model: TextModel, data: np.ndarray, offsets: np.ndarray, declared: li
     return like, [int(b) if ok and b < len(model.languages) else None for b, ok in zip(best, fine, strict=True)], fine
 
 
-def address_counts(counts: DataFrame, languages: list[str]) -> DataFrame:
-    """(host, by_host, by_domain, by_suffix): votes as arrays of (language's place, n)."""
-    index = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
-    base = counts.where("host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("n")).withColumn("i", index[F.coalesce("lang", F.lit(""))])
+def address_counts(counts: DataFrame) -> DataFrame:
+    """(host, by_host, by_domain, by_suffix): votes as arrays of (language, n)."""
+    base = counts.where("host IS NOT NULL").groupBy("host", "lang").agg(F.sum("n").alias("n"))
 
     def packed(df: DataFrame, key: str, name: str) -> DataFrame:
         # a struct a language at most; votes for no language only keep the key
-        return df.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "n")))).alias(name))
+        return df.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n")))).alias(name))
 
     keyed = base.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
     hosts = packed(base, "host", "by_host").withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
-    domains = packed(keyed.groupBy("domain", "i").agg(F.sum("n").alias("n")), "domain", "by_domain")
-    suffixes = packed(keyed.where("suffix IS NOT NULL").groupBy("suffix", "i").agg(F.sum("n").alias("n")), "suffix", "by_suffix")
+    domains = packed(keyed.groupBy("domain", "lang").agg(F.sum("n").alias("n")), "domain", "by_domain")
+    suffixes = packed(keyed.where("suffix IS NOT NULL").groupBy("suffix", "lang").agg(F.sum("n").alias("n")), "suffix", "by_suffix")
     return hosts.join(domains, "domain", "left").join(suffixes, "suffix", "left").select("host", "by_host", "by_domain", "by_suffix")
 
 
@@ -313,8 +362,10 @@ def identify(spark: SparkSession, rows: DataFrame, model: TextModel, text: Colum
     for r in counts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).collect():  # a row a language
         world[place[r.lang]] = r.n
     packs = fresh([*names, body, said, at], "key", "by_host", "by_domain", "by_suffix")
-    address = keep(spark, address_counts(counts, langs), "hosts").toDF(*packs)
-    if small(address, BROADCAST_HOSTS):
+    address = keep(spark, address_counts(counts), "hosts").toDF(*packs)
+    votes = sum((F.coalesce(F.size(named(p)), F.lit(0)) for p in packs[1:]), F.lit(0))
+    hosts, cells = address.agg(F.count("*"), F.sum(votes)).first()
+    if hosts <= BROADCAST_HOSTS and (cells or 0) <= BROADCAST_VOTES:
         address = F.broadcast(address)
     held = spark.sparkContext.broadcast((model, world, trust))
     joined = used.join(address, named(at) == named(packs[0]), "left").drop(packs[0])
@@ -327,7 +378,7 @@ def identify(spark: SparkSession, rows: DataFrame, model: TextModel, text: Colum
         langs, priors = model.languages, {}
         place = {x: i for i, x in enumerate(langs)}
         other = np.log((1 - trust) / max(1, len(langs) - 1))
-        for batch in batches:
+        for batch in _pieces(batches, len(langs)):
             n = batch.num_rows
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             said_, hosts = get(said).to_pylist(), get(at).to_pylist()
@@ -340,11 +391,11 @@ def identify(spark: SparkSession, rows: DataFrame, model: TextModel, text: Colum
                     log[i, place[declared]] += np.log(trust) - other
                 if host is not None:
                     if (host, vote) not in priors:
-                        if len(priors) > 4096:
+                        if len(priors) > min(4096, CELLS // len(langs)):
                             priors.clear()
                         found = [x[i].as_py() for x in levels]
                         tail = host.rsplit(".", 1)[1] if "." in host else None
-                        priors[host, vote] = log_prior(langs, world, tuple(None if f is None else [(v["i"], v["n"]) for v in f] for f in found), tail, vote)
+                        priors[host, vote] = log_prior(langs, world, tuple(None if f is None else [(place[v["lang"]], v["n"]) for v in f] for f in found), tail, vote)
                     log[i, :-1] += priors[host, vote]
             if n:
                 share = np.exp(log - log.max(1, keepdims=True))
