@@ -1,5 +1,7 @@
 import json
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridoss.operators import workflow as W
@@ -58,3 +60,42 @@ def test_commands_and_required_fields(spark):
     assert rows["a"].response.strip() == '{"V": 1}' and rows["b"].attempts == 2 and "required" in rows["b"].error
     broken = W.by_command([sys.executable, "-c", "raise SystemExit(3)"])
     assert W.call(df, ["k"], "p", broken, retries=1, wait=0.0).first().error.startswith("RuntimeError")
+
+
+def test_program_with_usage_and_log():
+    prompt = W.prompt_for("Judge.", '{"a":1}')
+    assert prompt.startswith("Judge.\n") and prompt.endswith('INPUT JSON:\n{"a":1}')
+    code = "import sys; n = len(sys.stdin.read()); print('so:', '{\"n\": %d}' % n, 'end'); print('Tokens used\\n 12,345', file=sys.stderr)"
+    assert json.loads(W.by_program([sys.executable, "-c", code], "Judge.")('{"a":1}')) == {"n": len(prompt), "_usage": {"tokens_used": 12345}}
+    silent = W.by_program([sys.executable, "-c", "print('{}')"], "Judge.")
+    assert json.loads(silent("{}")) == {"_usage": {"tokens_used": None}}
+    with pytest.raises(RuntimeError, match="ended with 4: gone"):
+        W.by_program([sys.executable, "-c", "import sys; print('gone', file=sys.stderr); sys.exit(4)"], "Judge.")("{}")
+    with pytest.raises(json.JSONDecodeError):
+        W.by_program([sys.executable, "-c", "print('no braces')"], "Judge.")("{}")
+
+
+def test_a_lazy_model_is_loaded_once_a_worker_and_checked(spark, tmp_path):
+    from veridoss.operators import absa
+
+    def load():
+        import os
+        import uuid
+
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return absa.Runtime(lambda texts: [[{"word": t}] for t in texts], ["POSITIVE", "NEGATIVE", "NEUTRAL"], {"m": "r7"})
+
+    df = spark.range(200).selectExpr("id", "CASE WHEN id = 7 THEN ' ' WHEN id = 8 THEN NULL ELSE concat('t', id) END AS t", "id % 3 AS g").repartition(6)
+    model = absa.Lazy(f"once-{tmp_path.name}", load)
+    for _ in range(2):
+        got = absa.infer(df, "id", "t", model, batch=5).groupBy("status").count().collect()
+        assert {r.status: r["count"] for r in got} == {"success": 198, "failed_blank_text": 2}
+    where = absa.runtime_environments(df, "g", model).collect()
+    assert sorted((r.g, r.rows, len(r.environments)) for r in where) == [("0", 67, 1), ("1", 67, 1), ("2", 66, 1)]
+    assert json.loads(where[0].environments[0])["model_m"] == "r7"
+    workers = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert workers and len(workers) == len(set(workers))
+    wrong = absa.Lazy(f"wrong-{tmp_path.name}", lambda: absa.Runtime(lambda texts: [[] for _ in texts], ["LABEL_0", "LABEL_1"]))
+    with pytest.raises(Exception, match="do not tell"):
+        absa.infer(df, "id", "t", wrong).count()
+    assert absa.runtime_environments(df.limit(0), "g", model).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,44 @@ from veridoss.operators.relational import dedup, join_one_to_one
 from veridoss.schemas import ASPECTS, PREDICTIONS
 
 Specs = Sequence[tuple[str, Sequence[str]]]
+_LOADED: dict[str, Runtime] = {}  # models of this process, by name
 SOURCE = ("absa_aspect", "absa_sentiment", "absa_confidence", "absa_method", "absa_reusable_status")
 
 
+@dataclass
+class Runtime:
+    """A loaded model: entities for a batch of texts, the labels of its classifier, names and revisions of its parts."""
+
+    provider: Callable[[list[str]], list[list[dict]]]
+    labels: Sequence[str]
+    revisions: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass
+class Lazy:
+    """A model that each worker loads when it first needs it, and keeps for its later batches and tasks.
+
+    Only the function that loads it is sent. Its labels are checked before its first use; a model that does not
+    load, or whose labels do not tell the needed ones, fails the run: it is no fault of a row.
+    """
+
+    name: str
+    load: Callable[[], Runtime]
+    needed: Sequence[str] = ("positive", "negative", "neutral")
+
+    def get(self) -> Runtime:
+        return loaded(self.name, self.load, self.needed)
+
+
+def loaded(name: str, load: Callable[[], Runtime], needed: Sequence[str]) -> Runtime:
+    """The model of that name in this process, loaded and checked on the first call."""
+    if name not in _LOADED:
+        made = load()
+        checked_labels(made.labels, needed)
+        _LOADED[name] = made
+    return _LOADED[name]
+
+
 def load_specs(path: str) -> list[tuple[str, list[str]]]:
     """Categories with their aliases, each alias once, in order."""
     import yaml
@@ -61,14 +97,15 @@ def prediction_rows(aspects: DataFrame, id_: str = "review_id") -> DataFrame:
     )
 
 
-def infer(df: DataFrame, id_: str, text: str, provider: Callable[[list[str]], list[list[dict]]], batch: int = 32) -> DataFrame:
+def infer(df: DataFrame, id_: str, text: str, provider: Callable[[list[str]], list[list[dict]]] | Lazy, batch: int = 32) -> DataFrame:
     """(id, entities JSON, status, error) by a provider of entities for a batch of texts.
 
     A batch that fails is tried again row by row; a blank text or a failing row is a row with its
-    status, never a failed task. The provider is made for each worker by pickling.
+    status, never a failed task. The provider is made for each worker by pickling, a Lazy one by loading it once.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = provider.get().provider if isinstance(provider, Lazy) else provider
         for frame in frames:
             out = []
             for at in range(0, len(frame), batch):
@@ -76,11 +113,11 @@ def infer(df: DataFrame, id_: str, text: str, provider: Callable[[list[str]], li
                 live = [(i, t) for i, t in zip(part["i"], part["t"], strict=True) if t and t.strip()]
                 out += [(i, None, "failed_blank_text", "the text is blank") for i, t in zip(part["i"], part["t"], strict=True) if not (t and t.strip())]
                 try:
-                    out += [(i, json.dumps(e), "success", "") for (i, _), e in zip(live, provider([t for _, t in live]), strict=True)]
+                    out += [(i, json.dumps(e), "success", "") for (i, _), e in zip(live, ask([t for _, t in live]), strict=True)]
                 except Exception:
                     for i, t in live:
                         try:
-                            out.append((i, json.dumps(provider([t])[0]), "success", ""))
+                            out.append((i, json.dumps(ask([t])[0]), "success", ""))
                         except Exception as error:
                             out.append((i, None, "failed_model", str(error)[:500]))
             yield pd.DataFrame(out, columns=["id", "entities", "status", "error"])
@@ -203,6 +240,34 @@ def environment(models: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def runtime_environments(df: DataFrame, group: str, model: Lazy) -> DataFrame:
+    """Provenance of a run: for each group the rows, and the environments of the workers that would infer them.
+
+    A task sends one row a group with its model's revisions, labels and library versions; more than one
+    environment in a group means that executors do not agree.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict = {}
+        for frame in frames:
+            for g, n in frame["g"].value_counts(dropna=False).items():
+                g = None if pd.isna(g) else g
+                seen[g] = seen.get(g, 0) + int(n)
+                if len(seen) >= 10_000:
+                    yield rows(seen)
+                    seen = {}
+        if seen:
+            yield rows(seen)
+
+    def rows(seen: dict) -> pd.DataFrame:
+        held = model.get()
+        said = json.dumps(environment(held.revisions) | {"labels": ";".join(checked_labels(held.labels, model.needed))}, sort_keys=True)
+        return pd.DataFrame({"g": list(seen), "n": list(seen.values()), "e": said})
+
+    sent = df.select(F.col(group).cast("string").alias("g")).mapInPandas(run, "g string, n long, e string")
+    return sent.groupBy(F.col("g").alias(group)).agg(F.sum("n").alias("rows"), F.sort_array(F.collect_set("e")).alias("environments"))
+
+
 def inference_report(predictions: DataFrame) -> DataFrame:
     """One row: counts by status, terms, coverage in percent and a verdict."""
     failed = F.count_if(F.col("inference_status").startswith("failed"))

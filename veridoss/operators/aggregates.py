@@ -62,7 +62,10 @@ def fixed_domain(df: DataFrame, value: str, domain: Sequence[str]) -> DataFrame:
 
 
 def rare_register(claims: DataFrame, cluster: str, entity: str, id_: str, text: str, rating: str, terms: Mapping[str, Sequence[str]], most: int = 3) -> DataFrame:
-    """Claims with at least one reason to be kept: lexicon hits, small clusters, unusual ratings."""
+    """Claims with at least one reason to be kept: lexicon hits, small clusters, unusual ratings.
+
+    An id is kept once, from its first cluster and text in order.
+    """
     sizes = claims.groupBy(cluster).agg(F.count("*").alias("__n"))
     usual = mode(claims, [entity], rating)
     means = claims.groupBy(entity).agg(F.avg(rating).alias("__mean"))
@@ -73,7 +76,7 @@ def rare_register(claims: DataFrame, cluster: str, entity: str, id_: str, text:
     reasons += [(name, contains_any(F.col(text), terms.get(key, ()))) for key, name in (("disruption", "possible_major_disruption_language"), ("security", "security_related_topic"), ("accessibility", "accessibility_related_topic"), ("hygiene", "hygiene_related_topic"))]
     reasons.append(("contradictory_to_dominant_rating_pattern", small & odd))
     found = F.array_compact(F.array(*[F.when(test, name) for name, test in reasons]))
-    return rows.withColumn("retrieval_reason", F.concat_ws(";", found)).where("retrieval_reason <> ''").select(entity, id_, F.col(text), F.col(rating), "retrieval_reason", cluster).dropDuplicates([id_])
+    return rows.withColumn("retrieval_reason", F.concat_ws(";", found)).where("retrieval_reason <> ''").select(entity, id_, F.col(text), F.col(rating), "retrieval_reason", cluster).groupBy(id_).agg(F.min_by(F.struct(entity, text, rating, "retrieval_reason", cluster), F.struct(F.col(cluster), F.col(text), F.col("retrieval_reason"))).alias("__r")).select("__r." + entity, id_, "__r." + text, "__r." + rating, "__r.retrieval_reason", "__r." + cluster)
 
 
 def method_coverage(claims: DataFrame, review: str, method: str) -> DataFrame:

@@ -88,6 +88,36 @@ def cluster_output_checks(records: DataFrame, chosen: DataFrame, id_: str, clust
     return [*key_checks(records, id_, "records"), check(records, "no_cluster", F.col(cluster).isNull(), id_), check(pairs, "representative_unresolved", F.col("found").isNull(), id_), check(pairs, "representative_misassigned", F.col("r").isNotNull() & (F.col("r") != F.col("c")), id_)]
 
 
+def package_checks(claims: DataFrame, reviews: DataFrame, vectors: DataFrame, chosen: DataFrame, compact: DataFrame, rare: DataFrame, estimates: DataFrame, dimension: int, most_tokens: int = 25_000) -> list[DataFrame]:
+    """A whole claim package as one set of checks; every table is joined by its key, none is held anywhere.
+
+    claims: claim_id, review_id, claim_text, claim_text_sha256, cluster_id. reviews: review_id. vectors: claim_id,
+    embedding. chosen (representatives): claim_id, cluster_id. compact and rare: claim_id. estimates: entity and
+    token_estimate. Ids and hashes agree; claims and reviews cover each other; each claim has one vector of the
+    dimension; a representative stands in the cluster that names it; a compact document shows claims that exist,
+    and all the rare ones; no document is over its budget.
+    """
+
+    def lacking(a: DataFrame, b: DataFrame, id_: str, name: str) -> DataFrame:
+        return check(a.select(id_).distinct().join(b.select(id_).distinct(), id_, "left_anti"), name, F.lit(True), id_)
+
+    place = claims.select("claim_id", F.col("cluster_id").alias("__in")).distinct()
+    stated = chosen.join(place, "claim_id", "left").groupBy("claim_id", "cluster_id").agg(F.max(F.coalesce(F.col("__in") == F.col("cluster_id"), F.lit(False))).alias("__fits"))
+    return [
+        *key_checks(claims, "claim_id", "claims"),
+        check(claims, "claim_hash_differs", ~F.sha2(F.coalesce("claim_text", F.lit("")), 256).eqNullSafe(F.col("claim_text_sha256")), "claim_id"),
+        lacking(claims, reviews, "review_id", "claims_of_no_review"),
+        lacking(reviews, claims, "review_id", "review_without_claims"),
+        lacking(claims, vectors, "claim_id", "claim_without_vector"),
+        lacking(vectors, claims, "claim_id", "vector_of_no_claim"),
+        check(vectors, "vector_of_other_size", ~F.coalesce((F.size("embedding") == dimension) & finite(F.col("embedding")), F.lit(False)), "claim_id"),
+        check(stated, "representative_misassigned", ~F.col("__fits"), "claim_id"),
+        lacking(compact, claims, "claim_id", "compact_claim_unknown"),
+        lacking(rare, compact, "claim_id", "rare_claim_not_shown"),
+        check(estimates, "over_budget", F.coalesce(F.col("token_estimate"), F.lit(0)) > most_tokens, estimates.columns[0]),
+    ]
+
+
 def count_checks(counts: dict[str, DataFrame], declared: int | None = None) -> DataFrame:
     """One check: whether all tables have the same number of rows, and the declared one; examples say which have what."""
     rows = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).withColumn("t", F.lit(name)) for name, df in counts.items()])

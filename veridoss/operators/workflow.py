@@ -125,6 +125,30 @@ def by_command(command: list[str], seconds: float = 600.0) -> Callable[[str], st
     return model
 
 
+def prompt_for(instructions: str, payload: str) -> str:
+    """Instructions, the demand for nothing but JSON, and the payload."""
+    return f"{instructions}\n\nAnswer with one JSON object of the given shape and nothing else.\n\nINPUT JSON:\n{payload}"
+
+
+def by_program(command: list[str], instructions: str, seconds: float = 900.0) -> Callable[[str], str]:
+    """A model that is a program: it reads a prompt, writes its answer to its output and a log to its error output.
+
+    What lies outside the answer's outermost braces is dropped. The answer gets "_usage" with the number that the
+    log names as tokens used (null: none). A program that ends badly, or answers no object, is an error with the
+    end of its log.
+    """
+
+    def model(payload: str) -> str:
+        done = subprocess.run(command, input=prompt_for(instructions, payload), capture_output=True, text=True, timeout=seconds, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-500:].strip()}")
+        found = json.loads(done.stdout[max(0, done.stdout.find("{")) : done.stdout.rfind("}") + 1])
+        used = re.search(r"(?i)tokens used\s+([\d,]+)", done.stderr)
+        return json.dumps(found | {"_usage": {"tokens_used": int(used[1].replace(",", "")) if used else None}})
+
+    return model
+
+
 def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str], retries: int = 4, wait: float = 1.0, required: Sequence[str] = (), schema: Mapping | None = None) -> DataFrame:
     """key columns with response, error and attempts; a row that fails keeps its error and stops no other.
 

@@ -485,6 +485,32 @@ def embedded_texts(spark, sf):
     return d.select("doc_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("a"), F.col("embedding")[1].cast("double").alias("b"))
 
 
+def _runtime() -> B.Runtime:
+    """A stand-in for a model and its weights."""
+    return B.Runtime(_first_word, ["Negative", "Neutral", "Positive"], {"extractor": "r1", "classifier": "r2"})
+
+
+_MODEL = B.Lazy("first-word", _runtime)
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN trim(line) = '' THEN 'failed_blank_text' WHEN line LIKE 'A%' THEN 'failed_model' ELSE 'success' END AS status, CASE WHEN trim(line) <> '' AND line NOT LIKE 'A%' THEN string_split(line, ' ')[1] END AS word, CASE WHEN trim(line) <> '' AND line NOT LIKE 'A%' THEN length(string_split(line, ' ')[1]) END AS ends FROM ({_LINE})")
+def loaded_inference(spark, sf):
+    """M1: a model that each worker loads once and checks, over whole texts."""
+    from veridoss.schemas import ENTITIES
+
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 15 = 4 THEN ' ' ELSE text END").alias("line"))
+    e = F.from_json("entities", ENTITIES)[0]
+    return B.infer(d, "doc_id", "line", _MODEL).select("doc_id", "status", e["word"].alias("word"), e["end"].cast("long").alias("ends"))
+
+
+@query("SELECT source, count(*) AS rows, 1 AS environments, 'r1' AS extractor, 'r2' AS classifier, 'negative;neutral;positive' AS labels FROM documents GROUP BY 1")
+def runtime_environments(spark, sf):
+    """Which models and libraries the workers hold, and for how many rows of each source."""
+    got = B.runtime_environments(table(spark, sf, "documents"), "source", _MODEL)
+    said = lambda k: F.get_json_object(F.col("environments")[0], f"$.{k}")
+    return got.select("source", "rows", F.size("environments").alias("environments"), said("model_extractor").alias("extractor"), said("model_classifier").alias("classifier"), said("labels").alias("labels"))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS total_claims, count(DISTINCT l_orderkey) AS total_reviews, round(100.0 * count(DISTINCT l_orderkey) FILTER (m = 0) / count(DISTINCT l_orderkey), 4) AS real_pct, round(100.0 * count(DISTINCT l_orderkey) FILTER (m = 1) / count(DISTINCT l_orderkey), 4) AS proxy_pct, round(100.0 * count(DISTINCT l_orderkey) FILTER (m = 2) / count(DISTINCT l_orderkey), 4) AS missing_pct, CAST(count(*) FILTER (m = 0) AS BIGINT) AS real_claims FROM (SELECT l_orderkey, l_orderkey % 3 AS m FROM lineitem)")
 def method_coverage(spark, sf):
     """Coverage by method of reviews and claims."""
@@ -641,6 +667,31 @@ def diverse_choice(spark, sf):
     return per.join(c.groupBy("label").agg(F.count("*").alias("of_cluster")), "label")
 
 
+_PACKAGE = f"""WITH c AS MATERIALIZED (SELECT * FROM ({_CLAIM}) UNION ALL SELECT * FROM ({_CLAIM}) WHERE claim % 97 = 5), s AS (SELECT DISTINCT claim, n, flag, cluster, review FROM c), r AS (SELECT o_orderkey AS review FROM orders WHERE o_orderkey % 50 <> 1 UNION SELECT -o_orderkey FROM orders WHERE o_orderkey % 400 = 0),
+v AS (SELECT claim, claim % 83 <> 2 AS good FROM s WHERE claim % 89 <> 3 UNION ALL SELECT -claim, true FROM s WHERE claim % 211 = 1), k AS (SELECT CASE WHEN claim % 79 = 0 THEN -claim ELSE claim END AS claim FROM s WHERE n <= 2),
+g AS (SELECT cluster, CAST(sum(q) AS DOUBLE) AS q FROM c GROUP BY 1)"""
+_FAULTS = {"claims_id_missing": "0", "claims_id_repeats": "SELECT count(*) FROM (SELECT claim FROM c GROUP BY 1 HAVING count(*) > 1)", "claim_hash_differs": "SELECT count(*) FROM c WHERE claim % 101 = 7", "claims_of_no_review": "SELECT count(DISTINCT review) FROM s WHERE review NOT IN (SELECT review FROM r)", "review_without_claims": "SELECT count(*) FROM r WHERE review NOT IN (SELECT review FROM s)", "claim_without_vector": "SELECT count(DISTINCT claim) FROM s WHERE claim NOT IN (SELECT claim FROM v)", "vector_of_no_claim": "SELECT count(DISTINCT claim) FROM v WHERE claim NOT IN (SELECT claim FROM s)", "vector_of_other_size": "SELECT count(*) FROM v WHERE NOT good", "representative_misassigned": "SELECT count(DISTINCT claim) FROM s WHERE n = 1 AND claim % 61 = 1", "compact_claim_unknown": "SELECT count(DISTINCT claim) FROM k WHERE claim NOT IN (SELECT claim FROM s)", "rare_claim_not_shown": "SELECT count(DISTINCT claim) FROM s WHERE flag = 'R' AND claim NOT IN (SELECT claim FROM k)", "over_budget": "SELECT count(*) FROM g WHERE q > (SELECT avg(q) FROM g)"}
+
+
+@query(f"{_PACKAGE} SELECT \"check\", n_bad, n_bad = 0 AS ok FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(({x}) AS BIGINT) AS n_bad" for k, x in _FAULTS.items()) + ")")
+def package_checks(spark, sf):
+    """A package of claims, vectors, representatives, compact documents and rare cases as one set of checks."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    c = li.select(F.col("l_orderkey").alias("review_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), (F.col("l_suppkey") % 40).alias("cluster_id"), F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("claim_text"), F.col("l_quantity").alias("q"))
+    c = c.withColumn("claim_text_sha256", F.when(F.col("claim_id") % 101 == 7, "").otherwise(F.sha2("claim_text", 256)))
+    twice = kept(c.withColumn("__n", F.explode(F.when(F.col("claim_id") % 97 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("__n"), "claims")
+    once = c.select("claim_id", "n", "flag", "cluster_id").distinct()
+    orders = o.select(F.col("o_orderkey").alias("review_id"))
+    reviews = orders.where("review_id % 50 <> 1").unionAll(orders.where("review_id % 400 = 0").select(-F.col("review_id")))
+    unit = lambda k: F.array_repeat(F.lit(0.5), k)
+    vectors = once.where("claim_id % 89 <> 3").select("claim_id", F.when(F.col("claim_id") % 83 == 2, unit(3)).otherwise(unit(4)).alias("embedding")).unionAll(once.where("claim_id % 211 = 1").select(-F.col("claim_id"), unit(4)))
+    chosen = once.where("n = 1").select("claim_id", F.when(F.col("claim_id") % 61 == 1, -1).otherwise(F.col("cluster_id")).alias("cluster_id"))
+    compact = once.where("n <= 2").select(F.when(F.col("claim_id") % 79 == 0, -F.col("claim_id")).otherwise(F.col("claim_id")).alias("claim_id"))
+    sums = twice.groupBy("cluster_id").agg(F.sum("q").cast("double").alias("token_estimate"))
+    usual = sums.agg(F.avg("token_estimate")).first()[0]
+    return V.report(V.package_checks(twice, reviews, vectors, chosen, compact, once.where("flag = 'R'"), sums, 4, usual)).select("check", "n_bad", "ok")
+
+
 # --- assessments
 
 # The shape that these answers must have.
@@ -663,6 +714,21 @@ def schema_checked_calls(spark, sf):
     return got.select("event_id", F.col("response").isNotNull().alias("accepted"), F.col("attempts").cast("int").alias("attempts"), F.when(F.col("error").isNotNull(), first).alias("fault"))
 
 
+# A program that counts the bytes of its prompt; it fails where the id ends in 3.
+_COUNTER = ["sh", "-c", r"""p=$(cat; echo .); case "$p" in *'3,"chars"'*) echo 'no such page' >&2; exit 3;; esac; n=$(printf %s "${p%?}" | wc -c); echo "counted: {\"bytes\": $((n))} done"; echo "tokens used 1,$((n % 900 + 100))" >&2"""]
+_PROMPT = W.prompt_for("Count.", "")
+_PAYLOAD = """'{"id":' || doc_id || ',"chars":' || n_chars || '}'"""
+
+
+@query(f"WITH p AS (SELECT doc_id, doc_id % 10 = 3 AS bad, CAST(length({_PAYLOAD}) + {len(_PROMPT)} AS BIGINT) AS n FROM documents) SELECT doc_id, CASE WHEN NOT bad THEN n END AS bytes, CASE WHEN NOT bad THEN n % 900 + 1100 END AS tokens_used, 1 AS attempts, CASE WHEN bad THEN 'RuntimeError: sh ended with 3: no such page' END AS error FROM p")
+def program_calls(spark, sf):
+    """M9: a model that is a program, with what it used; one that ends badly is a row with its error."""
+    asked = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("n_chars").alias("chars"))).alias("payload"))
+    got = W.call(asked, ["doc_id"], "payload", W.by_program(_COUNTER, "Count."), wait=0.0, schema={"type": "object", "required": ["bytes"]})
+    number = lambda k: F.get_json_object("response", k).cast("long")
+    return got.select("doc_id", number("$.bytes").alias("bytes"), number("$._usage.tokens_used").alias("tokens_used"), F.col("attempts").cast("int").alias("attempts"), "error")
+
+
 _TURNS = "SELECT CAST(conv_id AS VARCHAR) AS hotel_id, CAST(conv_id * 100 + turn AS VARCHAR) AS review_id, turn, text FROM conversations"
 
 
