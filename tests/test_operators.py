@@ -503,3 +503,50 @@ def test_a_stream_that_is_stopped_does_no_row_twice(spark, tmp_path):
     assert sorted(int(r.i) for r in got.collect()) == list(range(40)) and calls.value == 40
     spark.range(40, 50).select(F.col("id").cast("string").alias("i")).write.mode("append").parquet(source)
     assert infer_stream(spark, source, "i string", work, out, 1).count() == 50 and calls.value == 50
+
+
+def test_signed_definitions_of_many_entities(spark, tmp_path):
+    df = spark.createDataFrame([("a b", 3, None, ["x", "é"]), ("c", 0, 1.5, []), (None, 1, 2.0, None)], "e string, n long, r double, l array<string>")
+    writers.files(writers.signed(df, "e"), "name", "content", str(tmp_path / "d"))
+    for name, body in {"none.json": b"[1]", "bad.json": b"{", "bytes.json": b"\xff", "unsigned.json": b'{"n": 1}'}.items():
+        (tmp_path / "d" / name).write_bytes(body)
+    one = next((tmp_path / "d").glob("c_*.json"))
+    one.write_text(one.read_text().replace('"n": 0', '"n": 5'))
+    got = {r.file.split("_")[0]: (r.definition, r.fault) for r in readers.signed_definitions(spark, str(tmp_path / "d"), "n long, r double, l array<string>").collect()}
+    assert got["a"][0].n == 3 and got["a"][0].l == ["x", "é"] and got["a"][1] is None and got["x"][0].n == 1
+    assert all(got[k][0] is None and "match" in got[k][1] for k in ("c", "unsigned.json"))
+    assert "object" in got["none.json"][1] and "no JSON" in got["bad.json"][1] and "no JSON" in got["bytes.json"][1]
+    for f in (tmp_path / "d").glob("a_*.json"):  # what tasks sign, the driver's own reader takes
+        assert readers.sample_definition(str(f))["n"] == 3
+    assert writers.files(writers.signed(df.limit(0), "e"), "name", "content", str(tmp_path / "none")).count() == 0
+
+
+def test_settings_files_with_faults(spark, tmp_path):
+    bodies = {"a.yaml": "representatives_per_cluster: 5\naspects:\n  - canonical: staff\n    aliases: [host, staff, host]\n  - canonical: food\n", "b.yaml": "colour: red\n", "c.yaml": "- 1\n", "d.yaml": "# none\n", "e.yaml": "random_seed: [1]\n", "f.yaml": "a: [\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    got = {r.file: r for r in readers.settings_files(spark, str(tmp_path)).collect()}
+    assert got["a.yaml"].settings.representatives_per_cluster == 5 and [(s.canonical, s.aliases) for s in got["a.yaml"].specs] == [("staff", ["host", "staff"]), ("food", [])]
+    assert got["d.yaml"].settings.similarity_threshold == Settings().similarity_threshold and got["d.yaml"].specs is None
+    assert [w.name for w in got["d.yaml"].settings.windows] == [n for n, _ in Settings().windows]
+    assert all(got[k].fault and got[k].settings is None for k in ("b.yaml", "c.yaml", "e.yaml", "f.yaml"))
+
+
+def test_reports_by_key(spark):
+    facts = spark.createDataFrame([("a", 1), (None, 2), ("empty", None)], "k string, n long")
+    rows = spark.createDataFrame([("a", "y|z", 1), ("a", None, 2), (None, "p\nq", 3), ("other", "o", 4)], "k string, s string, m long")
+    got = {bytes(r.content).decode() for r in writers.reports(facts, rows, "k").collect()}
+    assert '{"k":"a","n":1}' in got and '{"k":null,"n":2}' in got and len(got) == 6
+    assert "# Run\n\n- k: a\n- n: 1\n\n| s | m |\n| --- | --- |\n|  | 2 |\n| y\\|z | 1 |\n" in got
+    assert "# Run\n\n- k: \n- n: 2\n\n| s | m |\n| --- | --- |\n| p q | 3 |\n" in got
+    assert "# Run\n\n- k: empty\n- n: \n\n| s | m |\n| --- | --- |\n" in got
+    with pytest.raises(ValueError):
+        writers.reports(facts, rows, "k", most=1)
+
+
+def test_missing_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text("{}")
+    (tmp_path / "a" / "z.json").write_text("")
+    wanted = spark.createDataFrame([("a/x.json",), ("a/y.json",), ("b/x.json",), ("a/z.json",), (None,)], "path string")
+    assert {r.path for r in validation.missing_files(spark, str(tmp_path), wanted).collect()} == {"a/y.json", "a/z.json", "b/x.json", None}

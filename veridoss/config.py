@@ -1,4 +1,4 @@
-"""Settings, read on the driver from YAML files with the format's own keys."""
+"""Settings, read from YAML files with the format's own keys: one file on the driver, folders of them in tasks."""
 
 from __future__ import annotations
 
@@ -28,27 +28,37 @@ class Settings:
     polarity_mode: str = "numeric"  # or "labelled"
 
 
-def read_yaml(path: str) -> dict:
-    """A YAML file's mapping; anything else in it is an error."""
+def parse_yaml(text: str, name: str) -> dict:
+    """A YAML text's mapping; anything else in it is an error."""
     import yaml
 
-    found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    found = yaml.safe_load(text)
     if found is not None and not isinstance(found, dict):
-        raise ValueError(f"{path} holds no mapping")
+        raise ValueError(f"{name} holds no mapping")
     return found or {}
 
 
+def read_yaml(path: str) -> dict:
+    return parse_yaml(Path(path).read_text(encoding="utf-8"), path)
+
+
 def load_settings(path: str | None = None, windows_path: str | None = None, base: Settings = Settings()) -> Settings:
     """base with the keys of a settings file and the windows of another laid over it.
 
     Each value is brought to its default's type; unknown keys are an error.
     """
-    kinds = {f.name: type(getattr(base, f.name)) for f in fields(Settings)}
-    given = {KEYS.get(k, k): v for k, v in read_yaml(path).items()} if path else {}
+    given = read_yaml(path) if path else {}
     if windows_path:
         given["windows"] = read_yaml(windows_path).get("windows") or {}
         if not given["windows"]:
             raise ValueError(f"{windows_path} names no windows")
+    return laid_over(base, given)
+
+
+def laid_over(base: Settings, found: dict) -> Settings:
+    """base with a settings mapping laid over it."""
+    kinds = {f.name: type(getattr(base, f.name)) for f in fields(Settings)}
+    given = {KEYS.get(k, k): v for k, v in found.items()}
     if odd := sorted(set(given) - set(kinds)):
         raise ValueError(f"unknown settings: {odd}")
     if isinstance(given.get("windows"), dict):

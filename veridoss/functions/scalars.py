@@ -90,6 +90,12 @@ def slug(c: Column, most: int = 80, strip_left: bool = True) -> Column:
     return F.concat(stem, F.lit("_"), F.substring(F.sha2(c, 256), 1, 12))
 
 
+def below(path: str, folder: str) -> Column:
+    """A file's path relative to the folder, from its full address."""
+    root = "".join("\\" + c if not c.isalnum() and c != "/" else c for c in folder.rstrip("/"))
+    return F.regexp_replace(path, f"^.*?{root}/", "")
+
+
 def token_estimate(c: Column) -> Column:
     """At least one token, else characters over 3.6, rounded down."""
     return F.greatest(F.lit(1), F.floor(F.length(c) / F.lit(3.6))).cast("long")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridoss.config import read_yaml
 from veridoss.functions.scalars import blank, canonical_category, clean_term, sentiment_of_label
 from veridoss.operators.relational import dedup, join_one_to_one
 from veridoss.schemas import ASPECTS, PREDICTIONS
@@ -55,10 +56,11 @@ def loaded(name: str, load: Callable[[], Runtime], needed: Sequence[str]) -> Run
 
 def load_specs(path: str) -> list[tuple[str, list[str]]]:
     """Categories with their aliases, each alias once, in order."""
-    import yaml
+    return specs_of(read_yaml(path))
 
-    with open(path, encoding="utf-8") as f:
-        return [(str(x["canonical"]), list(dict.fromkeys([str(a) for a in x.get("aliases", [])]))) for x in yaml.safe_load(f)["aspects"]]
+
+def specs_of(found: dict) -> list[tuple[str, list[str]]]:
+    return [(str(x["canonical"]), list(dict.fromkeys([str(a) for a in x.get("aliases") or []]))) for x in found["aspects"]]
 
 
 def normalise_entities(df: DataFrame, id_: str, text: str, entities: str, specs: Specs) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoss.functions.scalars import blank, close, finite, missing, to_date, tokens_forbidden
+from veridoss.functions.scalars import below, blank, close, finite, missing, to_date, tokens_forbidden
 
 METHOD_STATUS = {"deberta_absa": ("REAL",), "distilled_proxy": ("PROXY",), "none": ("UNKNOWN", "NO_RESULT")}
 
@@ -152,6 +152,15 @@ def file_checks(spark, folder: str, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([("files_missing", len(lacking), lacking)], "check string, n_bad long, examples array<string>")
 
 
+def missing_files(spark, folder: str, wanted: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of wanted whose path, relative to the folder, names no file below it. The folder is listed; no file is opened.
+
+    A file of no bytes counts as missing, as does a null path.
+    """
+    here = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return wanted.join(here.select(below("path", folder).alias(path)).distinct(), path, "left_anti")
+
+
 def map_checks(clusters: DataFrame, sample: DataFrame, id_: str) -> list[DataFrame]:
     """A frozen cluster map has each of the sample's ids once and no other."""
     both = clusters.select(id_, F.lit(1).alias("a")).distinct().join(sample.select(id_, F.lit(1).alias("b")).distinct(), id_, "full_outer")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from veridoss.operators import absa as B
@@ -125,14 +123,15 @@ def manifest_faults(spark, sf):
     return writers.verify_manifest(actual, stated).select(name.alias("nation"), "fault")
 
 
-@query("SELECT 'files_missing' AS \"check\", 1::BIGINT AS n_bad, 'SOURCE_PROVENANCE.json' AS examples")
+@query("SELECT source AS hotel_id, name FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1), (VALUES ('reviews.json', 1), ('features.json', 2), ('SOURCE_PROVENANCE.json', 3)) t(name, k) WHERE n % k <> 0")
 def required_files(spark, sf):
-    """Which of a folder's files are missing."""
+    """Which of the files that each entity's folder must hold are missing."""
     path = workspace(spark, "sample")
-    small = spark.range(1)
-    for name in ("reviews.parquet", "features.parquet"):
-        small.write.parquet(f"{path}/{name}")
-    return P.checks([V.file_checks(spark, path, ("reviews.parquet", "features.parquet", "SOURCE_PROVENANCE.json"))])
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k")) for n, k in (("reviews.json", 1), ("features.json", 2), ("SOURCE_PROVENANCE.json", 3))])
+    wanted = d.select("source", "n", F.explode(names).alias("f")).select("source", "f.name", F.concat_ws("/", "source", "f.name").alias("path"), (F.col("n") % F.col("f.k") == 0).alias("there"))
+    writers.files(wanted.where("there").withColumn("content", F.encode(F.lit("{}"), "UTF-8")), "path", "content", path)
+    return V.missing_files(spark, path, wanted).select(F.col("source").alias("hotel_id"), "name")
 
 
 @query("SELECT doc_id, arg_max(b, b) AS batch_no, arg_max(v, b) AS v FROM (SELECT doc_id, 0 AS b, lang AS v FROM documents UNION ALL SELECT doc_id, 1, source FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, 'last' FROM documents WHERE doc_id % 7 = 0) GROUP BY 1")
@@ -247,53 +246,67 @@ def defaulted_column(spark, sf):
     return R.with_default(R.with_default(table(spark, sf, "documents").select("doc_id", "lang"), "exact_reuse", False), "lang", "?")
 
 
-@query("SELECT count(*) AS reviews, count(DISTINCT source) AS entities, true AS digest_holds, true AS tampering_shows FROM documents")
+_DEFINED = """SELECT source, n, sha256('{"first_id":' || a || ',"langs":["' || array_to_string(l, '","') || '"],"last_id":' || b || ',"review_count":' || n || ',"source":"' || source || '"}') AS sha
+FROM (SELECT source, count(*) AS n, min(doc_id) AS a, max(doc_id) AS b, list_sort(list_distinct(list(lang))) AS l FROM documents GROUP BY 1)"""
+
+
+@query(f"SELECT substr(sha256(source), 1, 12) AS stem, CASE WHEN source NOT LIKE '%3' THEN source END AS source, CASE WHEN source NOT LIKE '%3' THEN n END AS review_count, CASE WHEN source NOT LIKE '%3' THEN sha END AS digest, CASE WHEN source LIKE '%3' THEN 'the sample definition does not match its digest' END AS fault FROM ({_DEFINED})")
 def signed_definition(spark, sf):
-    """A sample's definition under its own digest."""
-    import tempfile
-    from pathlib import Path
-
-    d = table(spark, sf, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("e")).first()
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own report
-        path = Path(folder) / "definition.json"
-        writers.signed_definition(str(path), {"review_count": d.n, "entities": d.e})
-        got = readers.sample_definition(str(path))
-        path.write_text(json.dumps(got | {"review_count": d.n + 1}), encoding="utf-8")
-        try:
-            readers.sample_definition(str(path))
-            shows = False
-        except ValueError:
-            shows = True
-    return spark.createDataFrame([(got["review_count"], got["entities"], True, shows)], "reviews long, entities long, digest_holds boolean, tampering_shows boolean")
-
-
-@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
-def run_summary(spark, sf):
-    """A run's facts as JSON and Markdown; the table in the Markdown is read again."""
-    import tempfile
-    from pathlib import Path
+    """A definition for each entity in a JSON file under its own digest, renamed into place.
+
+    Some are changed after they are signed; reading shows which.
+    """
+    path = workspace(spark, "definitions")
+    d = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("review_count"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.array_sort(F.collect_set("lang")).alias("langs"))
+    s = writers.signed(d.withColumn("entity", F.col("source")), "entity")
+    text = F.decode("content", "UTF-8")
+    changed = F.when(text.rlike('"source": "[^"]*3"'), F.regexp_replace(text, '"review_count": ', '"review_count": 1')).otherwise(text)
+    writers.files(s.withColumn("content", F.encode(changed, "UTF-8")), "name", "content", path)
+    got = readers.signed_definitions(spark, path, "source string, review_count long, sample_definition_sha256 string")
+    return got.select(F.regexp_extract("file", "_([0-9a-f]{12})[.]json$", 1).alias("stem"), "definition.source", "definition.review_count", F.col("definition.sample_definition_sha256").alias("digest"), "fault")
 
-    rows = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own report
-        writers.run_summary(f"{folder}/run", "Run", {"tables": 1}, {"sources": rows})
-        assert json.loads(Path(f"{folder}/run.json").read_text()) == {"tables": 1}
-        lines = [x for x in Path(f"{folder}/run.md").read_text().splitlines() if x.startswith("| ")][2:]
-    return spark.createDataFrame([(x.split(" | ")[0].strip("| "), int(x.split(" | ")[1].strip("| "))) for x in lines], "source string, n long")
 
+_REPORT = """WITH r AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), f AS (SELECT lang, count(*) AS documents, sum(n_chars) AS characters FROM documents GROUP BY 1),
+t AS (SELECT lang, count(*) AS rows, string_agg('| ' || source || ' | ' || n || ' |' || chr(10), '' ORDER BY source, n) AS body FROM r GROUP BY 1)
+SELECT lang, documents, rows, sha256('# Run' || chr(10) || chr(10) || '- characters: ' || characters || chr(10) || '- documents: ' || documents || chr(10) || '- lang: ' || lang || chr(10) || chr(10) || '| source | n |' || chr(10) || '| --- | --- |' || chr(10) || body) AS markdown_sha256,
+sha256('{"characters":' || characters || ',"documents":' || documents || ',"lang":"' || lang || '"}') AS json_sha256 FROM f JOIN t USING (lang)"""
 
-@query("SELECT 'GENERAL' AS dataset_namespace, 0.9::DOUBLE AS similarity_threshold, 2 AS representatives, 'last_30_days=30' AS windows, 'a,b' AS forbidden, 'staff:staff,host' AS specs")
+
+@query(_REPORT)
+def run_summary(spark, sf):
+    """Each language's facts as JSON and, with a table of its sources, as Markdown; both are read again."""
+    path, d = workspace(spark, "reports"), table(spark, sf, "documents")
+    facts = d.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+    writers.files(writers.reports(facts, d.groupBy("lang", "source").agg(F.count("*").alias("n")), "lang"), "name", "content", path)
+    read = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)[.][a-z]+$", 1).alias("stem"), F.col("path").endswith(".md").alias("md"), "content")
+    text = F.decode("content", "UTF-8")
+    j = read.where("NOT md").select("stem", F.from_json(text, "lang string, documents long").alias("d"), F.sha2("content", 256).alias("json_sha256"))
+    rows = F.size(F.filter(F.split(text, "\n"), lambda x: x.startswith("| "))).cast("long") - 2
+    m = read.where("md").select("stem", rows.alias("rows"), F.sha2("content", 256).alias("markdown_sha256"))
+    return R.join_one_to_one(j, m, ["stem"], required=True).select("d.lang", "d.documents", "rows", "markdown_sha256", "json_sha256")
+
+
+def _settings(spark, sf):
+    """A YAML file for each language, with its facts as settings and its sources as aspects."""
+    path, d = workspace(spark, "settings"), table(spark, sf, "documents")
+    aspect = F.concat(F.lit("  - canonical: "), "source", F.lit("\n    aliases: ["), F.concat_ws(", ", "source", F.concat("lang", F.lit("-"), F.col("n").cast("string")), "source", "lang"), F.lit("]\n"))
+    by = d.groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.min("source").alias("a"), F.max("source").alias("b"), F.array_join(F.array_sort(F.collect_list(aspect)), "").alias("aspects"))
+    n = F.col("n")
+    whole = F.format_string("dataset_namespace: %s\nsemantic_similarity_threshold: 0.%d\nrepresentatives_per_cluster: %d\nforbidden_dataset_names: [%s, %s]\nwindows:\n  short: %d\n  long: %d\n%saspects:\n%s", F.upper("lang"), n % 90 + 10, n % 5 + 1, "a", "b", n % 30 + 1, n % 300 + 31, F.when(F.col("lang") == "es", "colour: red\n").otherwise(""), "aspects")
+    writers.files(by.select(F.concat("lang", F.lit(".yaml")).alias("name"), F.encode(whole, "UTF-8").alias("content")), "name", "content", path)
+    return readers.settings_files(spark, path)
+
+
+@query("""SELECT lang || '.yaml' AS file, CASE WHEN ok THEN upper(lang) END AS dataset_namespace, CASE WHEN ok THEN CAST('0.' || (n % 90 + 10) AS DOUBLE) END AS similarity_threshold, CASE WHEN ok THEN n % 5 + 1 END AS representatives, CASE WHEN ok THEN 'short=' || (n % 30 + 1) || ',long=' || (n % 300 + 31) END AS windows,
+CASE WHEN ok THEN a || ',' || b END AS forbidden, CASE WHEN ok THEN 'complete_linkage' END AS grouping_method, CASE WHEN NOT ok THEN 'unknown settings: [''colour'']' END AS fault FROM (SELECT lang, lang <> 'es' AS ok, count(*) AS n, min(source) AS a, max(source) AS b FROM documents GROUP BY 1)""")
 def settings_files(spark, sf):
-    """Settings, windows and aspect lists from YAML files with the format's own keys."""
-    import tempfile
-    from pathlib import Path
-
-    from veridoss.config import load_settings
-
-    with tempfile.TemporaryDirectory() as folder:
-        one, two, three = (Path(folder) / n for n in ("s.yaml", "w.yaml", "a.yaml"))
-        one.write_text("dataset_namespace: GENERAL\nsemantic_similarity_threshold: 0.9\nrepresentatives_per_cluster: 2\nforbidden_dataset_names: [a, b]\n")
-        two.write_text("windows:\n  last_30_days: 30\n")
-        three.write_text("aspects:\n  - canonical: staff\n    aliases: [staff, host, staff]\n")
-        s, specs = load_settings(str(one), str(two)), B.load_specs(str(three))
-    row = (s.dataset_namespace, s.similarity_threshold, s.representatives_per_cluster, ",".join(f"{k}={n}" for k, n in s.windows), ",".join(s.forbidden_tokens), ";".join(f"{n}:{','.join(a)}" for n, a in specs))
-    return spark.createDataFrame([row], "dataset_namespace string, similarity_threshold double, representatives int, windows string, forbidden string, specs string")
+    """Settings from YAML files with the format's own keys, laid over defaults; an unknown key is a fault of its file."""
+    s = F.col("settings")
+    windows = F.array_join(F.transform(s["windows"], lambda w: F.concat_ws("=", w["name"], w["days"].cast("string"))), ",")
+    return _settings(spark, sf).select("file", s["dataset_namespace"].alias("dataset_namespace"), s["similarity_threshold"].alias("similarity_threshold"), s["representatives_per_cluster"].cast("long").alias("representatives"), windows.alias("windows"), F.array_join(s["forbidden_tokens"], ",").alias("forbidden"), s["grouping_method"].alias("grouping_method"), "fault")
+
+
+@query("SELECT lang || '.yaml' AS file, source AS canonical, source || ',' || lang || '-' || count(*) || ',' || lang AS aliases FROM documents WHERE lang <> 'es' GROUP BY lang, source")
+def aspect_lists(spark, sf):
+    """Categories from YAML files, each alias once and in order."""
+    return _settings(spark, sf).select("file", F.explode("specs").alias("s")).select("file", "s.canonical", F.array_join("s.aliases", ",").alias("aliases"))

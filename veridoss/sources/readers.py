@@ -7,12 +7,15 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator, Sequence
+from dataclasses import asdict
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridoss.config import Settings, laid_over, parse_yaml
+from veridoss.operators.absa import specs_of
 from veridoss.schemas import ALIASES, FEATURES, MAPPING, REVIEWS
 
 
@@ -175,8 +178,74 @@ def canonical_digest(payload: dict) -> str:
 
 def sample_definition(path: str, key: str = "sample_definition_sha256") -> dict:
     """A definition whose own digest must hold."""
-    payload = json.loads(Path(path).read_text(encoding="utf-8"))
+    return verified(Path(path).read_bytes(), key)
+
+
+def verified(body: bytes, key: str = "sample_definition_sha256") -> dict:
+    """The definition in a file's bytes; an error if it is no JSON object or does not match its own digest."""
+    payload = json.loads(body.decode("utf-8"))
+    if not isinstance(payload, dict):
+        raise ValueError("the sample definition is no JSON object")
     stated = payload.pop(key, None)
     if stated != canonical_digest(payload):
         raise ValueError("the sample definition does not match its digest")
     return payload | {key: stated}
+
+
+def signed_definitions(spark: SparkSession, path: str, schema: str, key: str = "sample_definition_sha256") -> DataFrame:
+    """(file, definition, fault) for every file below a folder: the definition under the schema, or null and what is wrong.
+
+    A file of no bytes has no row.
+    """
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    body, fault = json.dumps(verified(content, key)), None
+                except ValueError as e:
+                    body, fault = None, "the sample definition is no JSON" if isinstance(e, (UnicodeDecodeError, json.JSONDecodeError)) else str(e)
+                yield pd.DataFrame({"file": [name.rsplit("/", 1)[-1]], "body": pd.Series([body], dtype=object), "fault": pd.Series([fault], dtype=object)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInPandas(check, "file string, body string, fault string")
+    return rows.select("file", F.from_json("body", schema).alias("definition"), "fault")
+
+
+SETTINGS = "dataset_namespace string, grouping_method string, similarity_threshold double, random_seed long, representatives_per_cluster int, require_verified boolean, windows array<struct<name:string,days:int>>, allowed_methods array<string>, forbidden_tokens array<string>, polarity_mode string"
+SPECS = "array<struct<canonical:string,aliases:array<string>>>"
+
+
+def settings_files(spark: SparkSession, path: str, base: Settings = Settings()) -> DataFrame:
+    """(file, settings, specs, fault) for every YAML file below a folder, read in tasks.
+
+    settings are base with the file's keys laid over it; specs are the file's aspects with aliases each once and in
+    order, null where it names none. A file that is no mapping, or has unknown keys, has a fault in place of both.
+    A file of no bytes has no row.
+    """
+
+    def parse(content: bytes, name: str) -> dict:
+        found = parse_yaml(content.decode("utf-8"), name)
+        specs = specs_of(found) if "aspects" in found else None
+        s = laid_over(base, {k: v for k, v in found.items() if k != "aspects"})
+        values = asdict(s) | {"windows": [{"name": n, "days": d} for n, d in s.windows]}
+        return {"settings": values, "specs": None if specs is None else [{"canonical": c, "aliases": a} for c, a in specs]}
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for frame in frames:
+            for path_, content in zip(frame["path"], frame["content"], strict=True):
+                name = path_.rsplit("/", 1)[-1]
+                try:
+                    body, fault = json.dumps(parse(content, name)), None
+                except yaml.YAMLError:
+                    body, fault = None, f"{name} is no YAML"
+                except (ValueError, TypeError, KeyError) as e:
+                    body, fault = None, str(e)
+                yield pd.DataFrame({"file": [name], "body": pd.Series([body], dtype=object), "fault": pd.Series([fault], dtype=object)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInPandas(load, "file string, body string, fault string")
+    d = F.from_json("body", f"settings struct<{','.join(x.strip().replace(' ', ':', 1) for x in SETTINGS.split(', '))}>, specs {SPECS}")
+    return rows.select("file", d.alias("d"), "fault").select("file", "d.settings", "d.specs", "fault")

@@ -7,11 +7,12 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoss.functions.scalars import slug
+from veridoss.functions.scalars import below, slug
 from veridoss.sources.readers import canonical_digest
+from veridoss.sources.workspace import kept
 
 
 def entity_json(df: DataFrame, entity: str, path: str) -> None:
@@ -36,8 +37,7 @@ def checkpoint_part(df: DataFrame, path: str, number: int) -> None:
 def manifest(spark: SparkSession, folder: str, exclude: str | None = None) -> DataFrame:
     """(path, sha256, size_bytes) of every file below a folder, hashed where it is read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = "^.*?" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in folder.rstrip("/")) + "/"
-    rows = df.select(F.regexp_replace("path", root, "").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    rows = df.select(below("path", folder).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
     return rows.where(~F.col("path").rlike(exclude)) if exclude else rows
 
 
@@ -63,6 +63,29 @@ def signed_definition(path: str, payload: dict, key: str = "sample_definition_sh
     return out
 
 
+def _stem(name: str) -> Column:
+    """A column's file-name stem; none begins with a sign by which readers pass files over."""
+    return F.regexp_replace(slug(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))), "^(?=[_.])", "x")
+
+
+def signed(df: DataFrame, name: str, key: str = "sample_definition_sha256") -> DataFrame:
+    """(name, content): each row as a JSON file under its own digest, for ``files``.
+
+    The definition holds the columns beside name, nulls included; its digest is that of ``canonical_digest``.
+    A null name counts as an empty one; rows of the same name give the same file name, and the last one written stays.
+    """
+    import pandas as pd
+
+    def sign(frames):
+        for frame in frames:
+            made = [json.loads(b) for b in frame["body"]]
+            made = [json.dumps(p | {key: canonical_digest(p)}, indent=2, sort_keys=True, ensure_ascii=False).encode() for p in made]
+            yield pd.DataFrame({"name": frame["name"], "content": made})
+
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != name]), {"ignoreNullFields": "false"})
+    return df.select(F.concat(_stem(name), F.lit(".json")).alias("name"), body.alias("body")).mapInPandas(sign, "name string, content binary")
+
+
 def markdown_table(df: DataFrame, most: int = 1_000) -> str:
     """A small report as Markdown; refuses more rows than a report can hold."""
     rows = df.limit(most + 1).collect()
@@ -111,7 +134,7 @@ def files(df: DataFrame, name: str, content: str, path: str) -> DataFrame:
                 yield pd.DataFrame({"name": [n], "size": [len(body)]})
 
     done = df.select(F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(write, "name string, size long")
-    return done.sparkSession.createDataFrame(done.collect(), "name string, size long")
+    return kept(done, "written")
 
 
 def csv_and_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -170,6 +193,32 @@ def run_summary(path: str, title: str, facts: dict, tables: dict[str, DataFrame]
     Path(f"{path}.md").write_text("\n".join(lines), encoding="utf-8")
 
 
+def reports(facts: DataFrame, rows: DataFrame, key: str, title: str = "Run", most: int = 1_000) -> DataFrame:
+    """(name, content): for each row of facts a JSON file and a Markdown file with the key's rows as a table, for ``files``.
+
+    Facts are all columns, the key among them, in order of their names; table rows are in order of their columns. A key with more than
+    ``most`` rows is an error, raised before any rows are gathered. A key without rows has an empty table; rows of a key
+    without facts are left out. Null cells are empty; bars and line breaks in cells are escaped. Null keys are a key.
+    """
+    if (long := rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).head()) is not None:
+        raise ValueError(f"too many rows for a report: {long[0]!r}")
+    names, given = [c for c in rows.columns if c != key], sorted(facts.columns)
+
+    def cell(c) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\|", r"\\|"), r"[\r\n]+", " ")
+
+    line = lambda r: F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(r[c]) for c in names]), F.lit(" |"))
+    tables = rows.groupBy(F.col(f"`{key}`").alias("__k")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*names))), line).alias("__lines"))
+    both = facts.join(tables, F.col(f"`{key}`").eqNullSafe(F.col("__k")), "left")
+    head = [F.lit(f"# {title}"), F.lit(""), *[F.concat(F.lit(f"- {c}: "), cell(F.col(f"`{c}`"))) for c in given], F.lit("")]
+    head += [F.lit(f"| {' | '.join(names)} |"), F.lit("|" + " --- |" * len(names))]
+    text = F.concat(F.concat_ws("\n", F.concat(F.array(*head), F.coalesce("__lines", F.array().cast("array<string>")))), F.lit("\n"))
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in given]), {"ignoreNullFields": "false"})
+    stem = _stem(key)
+    pair = F.array(F.struct(F.concat(stem, F.lit(".json")).alias("name"), body.alias("text")), F.struct(F.concat(stem, F.lit(".md")).alias("name"), text.alias("text")))
+    return both.select(F.explode(pair).alias("f")).select("f.name", F.encode("f.text", "UTF-8").alias("content"))
+
+
 def document_pair(documents: DataFrame, compact: DataFrame, entity: str, path: str) -> None:
     """Full and compact documents as rows (stem, body), one JSON line each, in two tables under the same stems."""
     for name, df in (("full", documents), ("compact", compact)):
