@@ -111,3 +111,24 @@ def test_the_counting_program_starts_no_others():
         done = subprocess.run(["/bin/sh", *_COUNTER[1:]], input=text, capture_output=True, text=True, check=True, env={"PATH": "/none"})
         assert f'"bytes": {n}}}' in done.stdout and done.stderr == f"tokens used 1,{n % 900 + 100}\n"
     assert subprocess.run(["/bin/sh", *_COUNTER[1:]], input='{"id":13,"chars":2}', capture_output=True, text=True, env={"PATH": "/none"}).returncode == 3
+
+
+def test_calls_are_dealt_to_tasks_and_do_not_sleep_without_a_wait(spark):
+    def model(payload):
+        import time
+
+        def never(_):
+            raise AssertionError("slept")
+
+        state = model.__dict__
+        if "sleep" not in state:
+            state["sleep"], state["n"], time.sleep = time.sleep, 0, never
+        state["n"] += 1
+        if state["n"] == 3:  # the last try
+            time.sleep = state.pop("sleep")
+        return "no JSON"
+
+    df = spark.range(40).coalesce(1).selectExpr("id", "'{}' AS payload")
+    got = W.call(df, ["id"], "payload", model, retries=2, wait=0.0)
+    assert {r.attempts for r in got.collect()} == {3}
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1

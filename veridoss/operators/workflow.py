@@ -154,7 +154,8 @@ def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str
 
     Waits wait * 2**attempt plus a random part, at most MOST_DELAY seconds, after errors that another try may
     mend; others end the row at once. An answer must be JSON with the required fields and, where a schema is given,
-    agree with it at every level; one that is not is asked for again. A null payload is not sent.
+    agree with it at every level; one that is not is asked for again. A null payload is not sent. Rows are dealt evenly
+    to tasks first: calls cost far more than rows, and a table read may have them in few parts.
     """
 
     def one(text: str | None) -> tuple[str | None, str | None, int]:
@@ -173,7 +174,7 @@ def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str
                 said = f"{type(error).__name__}: {error}"[:1000]
                 if not (worth_retrying(error) or isinstance(error, json.JSONDecodeError)):
                     return None, said, attempt + 1
-            if attempt < retries:
+            if attempt < retries and wait > 0:
                 time.sleep(min(MOST_DELAY, wait * (2**attempt + random.random())))
         return None, said, retries + 1
 
@@ -183,7 +184,8 @@ def call(df: DataFrame, key: list[str], payload: str, model: Callable[[str], str
             yield pd.concat([frame[key], out], axis=1)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*key).schema.fields)
-    return df.select(*key, payload).mapInPandas(work, f"{kept}, {CALLED}")
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.select(*key, payload).repartition(tasks).mapInPandas(work, f"{kept}, {CALLED}")
 
 
 def entity_context(documents: DataFrame, ledgers: DataFrame, entity: str) -> DataFrame:
