@@ -132,3 +132,28 @@ def test_calls_are_dealt_to_tasks_and_do_not_sleep_without_a_wait(spark):
     got = W.call(df, ["id"], "payload", model, retries=2, wait=0.0)
     assert {r.attempts for r in got.collect()} == {3}
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_packages_hold_members_packed(spark, tmp_path, monkeypatch):
+    """Before an archive is full its task holds what is packed, not the members' texts."""
+    import io
+    import tracemalloc
+    import zipfile
+
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    from veridoss.sources import writers
+
+    found = []
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, work, schema: found.append(work) or df)
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda df, work, schema: found.append(work) or df)
+    writers.packages(spark.createDataFrame([("g", "n", "b")], "g string, n string, b string"), str(tmp_path / "p"), "g", "n", "b")
+    frames = (pd.DataFrame({"g": ["en"], "n": [f"{k}.json"], "b": [f"{k % 7} " * 500_000]}) for k in range(40))
+    tracemalloc.start()
+    got = list(found[0](frames))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x["package"][0] for x in got] == ["en"] and most < 15e6
+    with zipfile.ZipFile(io.BytesIO(got[0]["content"][0])) as z:
+        assert len(z.namelist()) == 40 and z.read("9.json") == b"2 " * 500_000

@@ -156,20 +156,21 @@ def packages(df: DataFrame, path: str, group: str, name: str, body: str, most_by
     import pandas as pd
 
     def pack(frames):
-        parts: dict[str, list] = {}
+        parts: dict[str, list] = {}  # bytes taken in, the archive's buffer, the archive: members are packed as they come
 
         def close(key):
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for n, b in parts.pop(key)[1]:
-                    z.writestr(n, b)
+            _, out, z = parts.pop(key)
+            z.close()
             return pd.DataFrame({"package": [key], "content": [out.getvalue()]})
 
         for frame in frames:
             for g, n, b in frame.itertuples(index=False):
-                held = parts.setdefault(g, [0, []])
+                if g not in parts:
+                    out = io.BytesIO()
+                    parts[g] = [0, out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)]
+                held = parts[g]
                 held[0] += len(b)
-                held[1].append((n, b))
+                held[2].writestr(n, b)
                 if held[0] > most_bytes:
                     yield close(g)
         for key in list(parts):
