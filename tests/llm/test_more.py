@@ -473,3 +473,34 @@ def test_op1_model_in_files_and_pieces_give_the_same(spark, monkeypatch):
     batches = iter([pa.RecordBatch.from_pydict({"x": list(range(9))}), pa.RecordBatch.from_pydict({"x": pa.array([], pa.int64())})])
     cut = list(o._pieces(batches, o.CELLS // 2 - 1))
     assert [b.num_rows for b in cut] == [2, 2, 2, 2, 1, 0] and [v for b in cut for v in b.column(0).to_pylist()] == list(range(9))
+
+
+def test_trie_memory_of_a_block(spark, monkeypatch):
+    """What a block of tokens takes while it is scored, and a part while it is added up, is a few arrays, not dozens."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from veridoss.llm import op9_trie_lm as lm
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 20_000, 5_000))) for i in range(60)]
+    trie = lm.train(spark, spark.createDataFrame(rows, "id long, text string"), 3, parts=2)
+    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    ((_, words, at),) = lm._blocks(iter([batch]), False)
+    known, base = trie.vocabulary.look_up(words)
+    monkeypatch.setattr(lm, "STEP", 1 << 14, raising=False)
+    tracemalloc.start()
+    trie.log_probs(known, base, at[:-1])
+    block = tracemalloc.get_traced_memory()[1] / 8 / len(words)
+    tracemalloc.stop()
+    assert block < 20, block
+    n = 200_000
+    pairs = [rng.integers(0, 1_000, n), rng.integers(0, 1_000, n), np.zeros(n, np.int64), np.ones(n, np.int64)]
+    want = {}
+    for c, v in zip(*(x.tolist() for x in pairs[:2]), strict=True):
+        want[c, v] = want.get((c, v), 0) + 1
+    context, value, _, count = lm._fold_pairs(pairs)
+    assert not pairs  # given up while they are added
+    assert {(c, v): k for c, v, k in zip(context.tolist(), value.tolist(), count.tolist(), strict=True)} == want

@@ -16,7 +16,8 @@ either way. Level 1 adds 0.1 to each count and to an unknown word's.
 
 Each level is built by two steps: tasks count distinct (context, word) pairs and send packed
 blocks by context range; a task per range adds them up as they arrive, so that it holds distinct
-pairs only, and writes one file in the shared folder under a name of its own attempt. The number of
+pairs only, and writes one file in the shared folder under a name of its own attempt. Blocks wait packed
+until a task adds them up, entries are smoothed BLOCK and sought STEP at a time. The number of
 ranges follows the number of tokens (PART_TOKENS), and ranges are dealt to tasks by number. Workers
 map those files, their select directories included; what a worker holds is bounded by its block of
 tokens, whatever the model's size. Files of a store that cannot be mapped are read into memory, a
@@ -50,6 +51,7 @@ PENDING = 2_000_000  # entries that a merging task holds before it adds them up
 REMOTE_BYTES = 256 << 20
 ADD = 0.1
 BLOCK = 1 << 20  # tokens handled at once
+STEP = 1 << 17  # pairs of a part sought at once
 LOG_STEP = 16.0 / 65535  # log10 values from -16 to 0
 END = mix(np.array([0x656E64], U))[0]
 NONE = np.int64(-1)
@@ -197,7 +199,9 @@ def _order_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """An order by a, then b, both at least 0."""
     if len(a) and max(int(a.max()), int(b.max())) >= 1 << 31:
         return np.lexsort((b, a))
-    return np.argsort(a << 32 | b)
+    key = a << 32
+    key |= b
+    return np.argsort(key)
 
 
 class Level:
@@ -230,28 +234,30 @@ class Level:
 
     def look(self, pairs: Pairs, scores: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each distinct pair: global entry number or -1, number of its context's first entry, log10
-        probability (0 if there is no entry) and log10 back-off weight of the context."""
+        probability (0 if there is no entry) and log10 back-off weight of the context; without scores the last two are empty."""
         context, value = pairs.context, pairs.value
         entry, before = np.full(len(context), NONE), np.zeros(len(context), np.int64)
-        prob, weight = np.zeros(len(context)), np.zeros(len(context))
+        prob, weight = (np.zeros(len(context) if scores else 0) for _ in range(2))
         cuts = np.searchsorted(context, np.arange(len(self.files) + 1, dtype=np.int64) * self.width)
         for p in np.flatnonzero(np.diff(cuts)):
             if not self.files[p]:
                 continue
-            x, y = cuts[p], cuts[p + 1]
-            a, local, v = self.part(int(p)), context[x:y] - p * self.width, value[x:y]
-            change = np.concatenate(([True], local[1:] != local[:-1]))
-            distinct, back = local[change], np.cumsum(change) - 1
-            low, high = a["bases"].access(distinct)[back], a["bases"].access(distinct + 1)[back]
-            want = low + v
-            inside = (v >= 0) & (want < high)
-            got = a["values"].find(np.where(inside, want, 0))
-            found = inside & (got >= 0)
-            entry[x:y] = np.where(found, got + self.starts[p], NONE)
-            if scores:
-                prob[x:y] = np.where(found, unquantise(a["prob"][np.where(found, got, 0)]) if len(a["prob"]) else 0.0, 0.0)
-                weight[x:y] = unquantise(a["backoff"][distinct])[back]
-            before[x:y] = a["pointers"].access(distinct)[back] + self.starts[p]
+            a = self.part(int(p))
+            for x in range(cuts[p], cuts[p + 1], STEP):
+                y = min(x + STEP, cuts[p + 1])
+                local, v = context[x:y] - p * self.width, value[x:y]
+                change = np.concatenate(([True], local[1:] != local[:-1]))
+                distinct, back = local[change], np.cumsum(change) - 1
+                low, high = a["bases"].access(distinct)[back], a["bases"].access(distinct + 1)[back]
+                want = low + v
+                inside = (v >= 0) & (want < high)
+                got = a["values"].find(np.where(inside, want, 0))
+                found = inside & (got >= 0)
+                entry[x:y] = np.where(found, got + self.starts[p], NONE)
+                if scores:
+                    prob[x:y] = np.where(found, unquantise(a["prob"][np.where(found, got, 0)]) if len(a["prob"]) else 0.0, 0.0)
+                    weight[x:y] = unquantise(a["backoff"][distinct])[back]
+                before[x:y] = a["pointers"].access(distinct)[back] + self.starts[p]
         return entry, before, prob, weight
 
     def log_prob(self, entry: np.ndarray) -> np.ndarray:
@@ -269,14 +275,14 @@ class Pairs:
     """The distinct (context, value) pairs of a block in ascending order, and where each token's is."""
 
     def __init__(self, context: np.ndarray, value: np.ndarray) -> None:
-        self.known = np.flatnonzero(context >= 0)
-        c, v = context[self.known], value[self.known] + 1  # no value: 0
+        known = np.flatnonzero(context >= 0)
+        c, v = context[known], value[known] + 1  # no value: 0
         order = _order_of_pairs(c, v)
         c, v = c[order], v[order]
         self.first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (v[1:] != v[:-1])))) if len(c) else np.zeros(0, np.int64)
         self.context, self.value = c[self.first], v[self.first] - 1
         self.count = np.diff(np.concatenate((self.first, [len(c)])))
-        self.at = self.known[order]
+        self.at = known[order]
 
     def spread(self, x: np.ndarray, size: int, missing: float) -> np.ndarray:
         """x by distinct pair as an array by token."""
@@ -352,8 +358,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple
             sizes.append(np.diff(at) + 1)
             held += len(w)
             if held > BLOCK:
-                yield ids, np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-                ids, words, sizes, held = [], [], [], 0
+                block = [(ids, np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))]
+                ids, words, sizes, held, w, at = [], [], [], 0, None, None
+                yield block.pop()  # nothing of it stays here
     if ids:
         yield ids, np.concatenate(words), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
@@ -395,19 +402,29 @@ def _files(spark: SparkSession, sent: DataFrame, kinds: list, fold, write, parts
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, pending, n = None, None, [], 0
+        part, held, pending, n = None, [], [], 0
 
         def add_up() -> list[np.ndarray]:
-            got = [*([held] if held else []), *pending]
-            return fold([np.concatenate([g[i] for g in got]) for i in range(len(kinds))])
+            """What is held and the waiting blocks as one; both are given up."""
+            at = len(held[0]) if held else 0
+            whole = [np.empty(at + n, k) for k in kinds]
+            for to in whole:
+                if held:
+                    to[:at] = held.pop(0)
+            for size, blob in pending:
+                for to, x in zip(whole, _unpack(blob, size, kinds), strict=True):
+                    to[at : at + size] = x
+                at += size
+            pending.clear()
+            return fold(whole)
 
         for batch in batches:
             for p, size, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
                 part = p
-                pending.append(_unpack(blob, size, kinds))
+                pending.append((size, blob))
                 n += size
-                if n > max(PENDING, len(held[0]) if held else 0):
-                    held, pending, n = add_up(), [], 0
+                if n > max(PENDING, len(held[0]) // 4 if held else 0):
+                    held, n = add_up(), 0
         if part is not None:
             yield from _built(*write(part, add_up())).to_batches()
 
@@ -478,25 +495,29 @@ class Trie:
             entry = pairs.spread(got[0], len(ids), NONE)
             # relative to the shorter context: rank among its successors
             value = np.where(entry >= 0, entry - pairs.spread(got[1], len(ids), 0), NONE)
-            lower = entry
+            lower, pairs, got = entry, None, None
             context = np.concatenate(([NONE], entry[:-1]))
             context[start] = NONE
 
     def log_probs(self, ids: np.ndarray, unigram: np.ndarray, begins: np.ndarray) -> np.ndarray:
         out = unigram
-        for pairs, _, (entry, _, prob, weight) in self.walk(ids, begins, len(self.levels) + 1, True):
-            found = pairs.spread(entry >= 0, len(ids), False)
-            out = np.where(found, pairs.spread(prob, len(ids), 0.0), out + pairs.spread(weight, len(ids), 0.0))
+        for pairs, lower, got in self.walk(ids, begins, len(self.levels) + 1, True):
+            found = pairs.spread(got[0] >= 0, len(ids), False)
+            out = np.where(found, pairs.spread(got[2], len(ids), 0.0), out + pairs.spread(got[3], len(ids), 0.0))
+            pairs = lower = got = found = None  # else they stay while the next level is walked
         return out
 
 
 def _fold_pairs(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """(context, value, base, n) with equal (context, value) added up; of equal pairs base is the same."""
+    """(context, value, base, n) with equal (context, value) added up; of equal pairs base is the same. The arrays are taken out of the list."""
     context, value, base, n = arrays
+    arrays.clear()
     order = _order_of_pairs(context, value + 1)
-    context, value = context[order], value[order]
+    context, value, n = context[order], value[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (value[1:] != value[:-1]))))
-    return [context[first], value[first], base[order][first], np.add.reduceat(n[order], first)]
+    base, order = base[order[first]], None
+    context, value = context[first], value[first]
+    return [context, value, base, np.add.reduceat(n, first)]
 
 
 def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts: int, least: int = 1) -> None:
@@ -510,32 +531,43 @@ def add_level(spark: SparkSession, docs: DataFrame, trie: Trie, path: str, parts
         trie = held.value
         for _, words, at in _blocks(batches, True):
             ids, _ = trie.vocabulary.look_up(words, with_log=False)
+            words = None
             for pairs, lower, got in trie.walk(ids, at[:-1], k, False):
                 if got is None and len(pairs.context):
                     # within a context lower and value ascend alike: their difference is sent, which packs to nothing
                     yield _send(pairs.context // width, [pairs.context, pairs.value, lower[pairs.at[pairs.first]] - pairs.value, pairs.count])
+                pairs = lower = got = None
 
     def write(part: int, arrays: list[np.ndarray]) -> tuple:
         trie = held.value
-        context, value, base, n = arrays
-        lower = base + value
-        local = context - part * width
+        local, value, lower, n = arrays
+        arrays.clear()
+        lower += value
+        local -= part * width
         total = np.bincount(local, n, width)
         stay = (n >= least) & (value >= 0)
-        local, value, lower, n = local[stay], value[stay], lower[stay], n[stay]
+        if not stay.all():
+            local, value, lower, n = local[stay], value[stay], lower[stay], n[stay]
         left = n - np.where(n == 1, ONCE, DISCOUNT)
+        n = stay = None
         weight = np.where(total > 0, 1 - np.bincount(local, left, width) / np.maximum(total, 1), 1.0)
-        # the probability after the shorter context
-        shorter = trie.vocabulary.log_unigram(lower) if k == 2 else trie.levels[-1].log_prob(lower)
-        prob = left / total[local] + weight[local] * 10**shorter
+        prob = np.empty(len(local), np.uint16)
+        for i in range(0, len(local), BLOCK):
+            x = slice(i, i + BLOCK)
+            # the probability after the shorter context
+            shorter = trie.vocabulary.log_unigram(lower[x]) if k == 2 else trie.levels[-1].log_prob(lower[x])
+            prob[x] = quantise(np.log10(np.maximum(left[x] / total[local[x]] + weight[local[x]] * 10**shorter, 1e-16)))
+        left = lower = None
         pointers = np.concatenate(([0], np.cumsum(np.bincount(local, minlength=width))))
         most = np.zeros(width, np.int64)
         most[local] = value + 1  # values ascend within a context: the last one stays
         bases = np.concatenate(([0], np.cumsum(most)))
-        arrays = EliasFano.encode(bases[local] + value).arrays("values") | EliasFano.encode(pointers).arrays("pointers") | EliasFano.encode(bases).arrays("bases")
+        value += bases[local]
+        entries, local = len(local), None
+        arrays = EliasFano.encode(value).arrays("values") | EliasFano.encode(pointers).arrays("pointers") | EliasFano.encode(bases).arrays("bases")
         file = f"{path}/level{k}-{part:06d}-{uuid.uuid4().hex[:8]}"
-        write_arrays(file, arrays | {"prob": quantise(np.log10(np.maximum(prob, 1e-16))), "backoff": quantise(np.log10(np.maximum(weight, 1e-16)))})
-        return part, file, len(local), int(total.sum())
+        write_arrays(file, arrays | {"prob": prob, "backoff": quantise(np.log10(np.maximum(weight, 1e-16)))})
+        return part, file, entries, int(total.sum())
 
     files, _ = _files(spark, docs.mapInArrow(trimmed(count), _SENT), [np.int64] * 4, _fold_pairs, write, parts, f"level{k}")
     trie.levels.append(Level(files, width))
@@ -567,6 +599,7 @@ def score(spark: SparkSession, docs: DataFrame, trie: Trie) -> DataFrame:
         trie = held.value
         for ids, words, at in _blocks(batches, False):
             known, base = trie.vocabulary.look_up(words)
+            words = None
             model = trie.log_probs(known, base, at[:-1])
             each = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  no text is without its end token
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([held_out(x) for x in ids], pa.bool_()), pa.array(np.diff(at)), pa.array(each((known >= 0).astype(np.int64))), pa.array([trie.vocabulary.tokens] * len(ids), pa.int64()), pa.array(each(base)), pa.array(each(model))], names=[x.split(" ")[0] for x in schema.split(", ")])
