@@ -580,3 +580,18 @@ def test_missing_files(spark, tmp_path):
     (tmp_path / "a" / "z.json").write_text("")
     wanted = spark.createDataFrame([("a/x.json",), ("a/y.json",), ("b/x.json",), ("a/z.json",), (None,)], "path string")
     assert {r.path for r in validation.missing_files(spark, str(tmp_path), wanted).collect()} == {"a/y.json", "a/z.json", "b/x.json", None}
+
+
+def test_compaction_of_parts(spark, sample):
+    """Sizes told from a document's parts are those of whole documents, to the byte; no task gathers an entity's texts for them."""
+    f, v = sample
+    rows = dossier.clustered(f, v, Settings())
+    heads, records = dossier.parts(rows, Settings(), {"table": "t"})
+    whole = dossier.nested(heads, records).cache()
+    small = dossier.compact(whole)
+    got = dossier.compaction_of_parts(heads, records)
+    assert sorted(map(str, got.collect())) == sorted(map(str, dossier.compaction_report(whole, small).select(*got.columns).collect()))
+    shown = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).collect())
+    assert shown(dossier.compact_parts(heads, records)) == shown(small)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(review_date" not in plan

@@ -45,6 +45,21 @@ def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None
 
     An entity with a single row, or whose rows have no dated one, says so in warnings.
     """
+    return nested(*parts(rows, settings, provenance))
+
+
+def nested(heads: DataFrame, records: DataFrame) -> DataFrame:
+    """Full documents of their parts: an entity's records, in order of date and id, stand in its row."""
+    e = "hotel_id"
+    inside = records.groupBy(e).agg(F.transform(F.sort_array(F.collect_list(F.struct("r.review_date", "r.review_id", "r"))), lambda x: x["r"]).alias("review_evidence_records"))
+    return heads.join(inside, e).select(*DOCUMENT)
+
+
+def parts(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Full documents in two tables: (all fields but the records), and (entity, r) with a record a row.
+
+    What needs no whole document is told from these, so that no task holds an entity's texts.
+    """
     e, c = "hotel_id", "semantic_cluster_id"
     stats = centroid_stats(rows, e, c, "review_id", "embedding")
     rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").drop("embedding").withColumn("__d", to_date(F.col("review_date")))
@@ -62,8 +77,8 @@ def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(packed(F.col("absa_aspect")))))).alias("aspect_distribution"),
     )
     each = each.join(rep_ids, [e, c]).join(methods, [e, c]).join(distribution_map(rows, [e, c], "rating", "rating_distribution", False), [e, c], "left")
-    nested = each.groupBy(e).agg(F.sort_array(F.collect_list(F.struct(c, "unique_review_count", "possible_duplicate_count", "internal_similarity_summary", "earliest_date", "latest_date", "aspect_distribution", "representative_review_ids", F.to_json("absa_method_distribution").alias("absa_method_distribution"), F.to_json("rating_distribution").alias("rating_distribution"), F.lit("not_established").alias("independence_claim")))).alias("semantic_clusters"))
-    records = rows.groupBy(e).agg(F.transform(F.sort_array(F.collect_list(F.struct("review_date", "review_id", record(rows.columns).alias("r")))), lambda x: x["r"]).alias("review_evidence_records"))
+    inner = each.groupBy(e).agg(F.sort_array(F.collect_list(F.struct(c, "unique_review_count", "possible_duplicate_count", "internal_similarity_summary", "earliest_date", "latest_date", "aspect_distribution", "representative_review_ids", F.to_json("absa_method_distribution").alias("absa_method_distribution"), F.to_json("rating_distribution").alias("rating_distribution"), F.lit("not_established").alias("independence_claim")))).alias("semantic_clusters"))
+    records = rows.where(F.col(e).isNotNull()).select(e, record(rows.columns).alias("r"))
     meta = rows.groupBy(e).agg(F.count("*").alias("review_count"), F.min("review_date").alias("minimum_review_date"), F.max("review_date").alias("maximum_review_date"), F.avg("rating").alias("raw_mean_rating"))
     absa = method_summary(rows, e, "absa_method").groupBy(e).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", F.struct("n", "share"))))).alias("absa_evidence"))
     meta = meta.join(duplicate_summary(rows, e, "duplicate_group_id"), e).join(distribution_map(rows, [e], "rating", "rating_distribution", False), e, "left")
@@ -73,9 +88,24 @@ def full(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None
     notes = F.struct(F.lit(settings.grouping_method).alias("cluster_method"), F.lit(settings.similarity_threshold).alias("cluster_threshold"), F.lit(settings.representatives_per_cluster).alias("representatives_per_cluster"), F.lit(True).alias("clustering_is_deterministic"))
     origin = F.create_map(*[F.lit(x) for kv in (provenance or {}).items() for x in kv]) if provenance else F.create_map().cast("map<string,string>")
     lacking = rows.groupBy(e).agg(F.array_compact(F.array(F.when(F.count("*") == 1, "single_record"), F.when(F.count("__d") == 0, "no_dated_record"))).alias("warnings"))
-    both = meta.join(time, e).join(nested, e).join(records, e).join(absa, e).join(lacking, e)
+    both = meta.join(time, e).join(inner, e).join(absa, e).join(lacking, e)
     both = both.withColumns({"schema_version": F.lit(SCHEMA_VERSION), "dataset_namespace": F.lit(settings.dataset_namespace), "methodology_notes": notes, "provenance": origin})
-    return both.select(*DOCUMENT)
+    return both.select(*[c for c in DOCUMENT if c != "review_evidence_records"]), records
+
+
+def _chosen(heads: DataFrame, most: int) -> DataFrame:
+    """(hotel_id, k, n, review_id): each cluster's place and its first representatives; a cluster without any has one row of nulls."""
+    k = heads.select("hotel_id", F.posexplode("semantic_clusters").alias("k", "c"))
+    return k.select("hotel_id", "k", F.posexplode_outer(F.slice("c.representative_review_ids", 1, most)).alias("n", "review_id"))
+
+
+def compact_parts(heads: DataFrame, records: DataFrame, most: int = 3) -> DataFrame:
+    """The documents of ``compact``, of a document's parts: representatives are joined with records, no entity's records are gathered."""
+    here = records.select("hotel_id", F.col("r.review_id").alias("review_id"), F.col("r"))
+    found = _chosen(heads, most).join(here, ["hotel_id", "review_id"], "left").groupBy("hotel_id", "k").agg(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("n", "r")))).alias("x"))
+    held = found.groupBy(F.col("hotel_id").alias("__of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]["r"]).alias("__held"))
+    clusters = F.transform("semantic_clusters", lambda c, i: c.withField("representative_reviews", F.get("__held", i)))
+    return heads.join(held, F.col("hotel_id") == F.col("__of"), "left").withColumn("semantic_clusters", clusters).drop("__of", "__held")
 
 
 def compact(documents: DataFrame, most: int = 3) -> DataFrame:
@@ -84,8 +114,7 @@ def compact(documents: DataFrame, most: int = 3) -> DataFrame:
     Representatives' ids are joined with the places of an entity's records; only ids and places are shuffled
     for that. A document then takes its records by place.
     """
-    k = documents.select("hotel_id", F.posexplode("semantic_clusters").alias("k", "c"))
-    chosen = k.select("hotel_id", "k", F.posexplode_outer(F.slice("c.representative_review_ids", 1, most)).alias("n", "review_id"))
+    chosen = _chosen(documents, most)
     placed = documents.select("hotel_id", F.posexplode(F.col("review_evidence_records.review_id")).alias("place", "review_id"))
     found = chosen.join(placed, ["hotel_id", "review_id"], "left").groupBy("hotel_id", "k").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("n", "place")))).alias("x"))
     places = found.groupBy(F.col("hotel_id").alias("__of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]["place"]).alias("__places"))
@@ -104,6 +133,29 @@ def compaction_report(full_docs: DataFrame, compact_docs: DataFrame) -> DataFram
     return both.withColumns({"compact_share_of_full": F.round(F.col("compact_bytes") / F.col("full_bytes"), 6), "approx_tokens": F.floor(F.col("embedded_characters") / 4)})
 
 
+def compaction_of_parts(heads: DataFrame, records: DataFrame, most: int = 3) -> DataFrame:
+    """The rows of ``compaction_report`` of a document's parts.
+
+    A document's bytes are those of its head with empty arrays and of what stands in these, with commas between; records are
+    measured where they are read, so that only sizes are shuffled.
+    """
+    json = lambda c: F.octet_length(F.to_json(c, {"ignoreNullFields": "false"})).cast("long")
+    commas = lambda n: F.greatest(n - 1, F.lit(0))
+    none = F.array().cast("array<string>")
+    each = records.select("hotel_id", F.col("r.review_id").alias("review_id"), json(F.col("r")).alias("b"), F.coalesce(F.length("r.review_text"), F.lit(0)).cast("long").alias("n_chars"))
+    inside = each.groupBy("hotel_id").agg((F.sum("b") + commas(F.count("*"))).alias("__records"))
+    chosen = _chosen(heads, most).join(each, ["hotel_id", "review_id"], "left")
+    per = chosen.groupBy("hotel_id", "k").agg(F.count("b").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+    shown = per.groupBy("hotel_id").agg(F.sum("n").alias("__n"), F.sum("n_chars").alias("__chars"), F.sum(F.col("b") + commas(F.col("n"))).alias("__shown"))
+    empty = F.transform("semantic_clusters", lambda c: c.withField("representative_reviews", none))
+    rest = [c for c in heads.columns if c != "semantic_clusters"]
+    sizes = heads.select("hotel_id", json(F.struct(*heads.columns, none.alias("review_evidence_records"))).alias("f"), json(F.struct(*rest, empty.alias("semantic_clusters"))).alias("c"))
+    both = sizes.join(inside, "hotel_id").join(shown, "hotel_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = both.select("hotel_id", (F.col("f") + F.col("__records")).alias("full_bytes"), (F.col("c") + zero("__shown")).alias("compact_bytes"), zero("__n").alias("embedded_reviews"), zero("__chars").alias("embedded_characters"))
+    return both.withColumns({"compact_share_of_full": F.round(F.col("compact_bytes") / F.col("full_bytes"), 6), "approx_tokens": F.floor(F.col("embedded_characters") / 4)})
+
+
 def large_clusters(documents: DataFrame, threshold: float, least: int = 10, most: int = 10) -> DataFrame:
     """The largest clusters of each entity and whether they hold the linkage bound."""
     from veridoss.operators.relational import top_k
