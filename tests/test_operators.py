@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import numpy as np
@@ -595,3 +596,13 @@ def test_compaction_of_parts(spark, sample):
     assert shown(dossier.compact_parts(heads, records)) == shown(small)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(review_date" not in plan
+
+
+def test_document_pair_shuffles_ids(spark):
+    """Documents that are read back are parsed before they are matched by stem: the join moves ids, not texts."""
+    from veridoss.plans.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    plan = QUERIES["document_pair"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("from_json")

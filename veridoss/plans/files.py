@@ -210,12 +210,12 @@ def zip_members(spark, sf):
 @query(f"SELECT review_id, hotel_id, semantic_cluster_id FROM ({P._F})")
 def document_pair(spark, sf):
     """Full and compact documents under the same stems; the cluster map read from the full ones."""
-    path, docs = workspace(spark, "pair"), P.documents(spark, sf)
-    writers.document_pair(docs, D.compact(docs), "hotel_id", path)
+    path, (heads, records) = workspace(spark, "pair"), P.parts(spark, sf)
+    writers.document_pair(D.nested(heads, records), D.compact_parts(heads, records), "hotel_id", path)
     full, compact = (spark.read.parquet(f"{path}/{n}") for n in ("full", "compact"))
-    both = full.join(compact.select("stem"), "stem", "left_semi")
     shape = "hotel_id string, review_evidence_records array<struct<review_id:string,semantic_cluster_id:string>>"
-    return readers.cluster_map(both.select(F.from_json("value", shape).alias("d")).select("d.*"))
+    ids = full.select("stem", F.from_json("value", shape).alias("d"))  # before the join: ids are shuffled, not texts
+    return readers.cluster_map(ids.join(compact.select("stem"), "stem", "left_semi").select("d.*"))
 
 
 @query("SELECT DISTINCT r_name AS hotel_id, CASE WHEN r_name IN (SELECT r_name FROM region WHERE r_regionkey < 3) THEN r_name END AS matched FROM region")
