@@ -1,6 +1,9 @@
+import hashlib
 import json
 import os
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,6 +129,58 @@ def test_validation(spark, sample):
         validation.require(validation.report(validation.review_checks(bad, "review_id", "review_text", "review_date", "rating", "text_sha256")))
 
 
+def test_package_checks_group_each_table_once(spark, tmp_path):
+    rng = random.Random(3)
+    some = lambda: rng.choice([None, *range(1, 40)])
+    sha = hashlib.sha256(b"t").hexdigest()
+    claims = [(some(), some(), "t", rng.choice([sha, sha, "", None]), rng.choice([None, 1, 2])) for _ in range(60)]
+    reviews, compact, rare = ([(some(),) for _ in range(n)] for n in (30, 30, 20))
+    vectors = [(some(), rng.choice([[0.5, 0.5], [0.5, 0.5], [0.5], [float("nan"), 0.5], None])) for _ in range(40)]
+    chosen = [(some(), rng.choice([None, 1, 2])) for _ in range(30)]
+    estimates = [("a", 5), ("b", None), ("c", 30_000)]
+    c, v, k, r = ([x[0] for x in rows] for rows in (claims, vectors, compact, rare))
+    of, held = [x[1] for x in claims], [x[0] for x in reviews]
+    places = {(x[0], x[4]) for x in claims}
+    lacking = lambda a, b: [x for x in set(a) if x is None or x not in b]
+    bad = {
+        "claims_id_missing": [x for x in c if x is None],
+        "claims_id_repeats": [x for x, n in Counter(c).items() if n > 1],
+        "claim_hash_differs": [x[0] for x in claims if x[3] != sha],
+        "claims_of_no_review": lacking(of, held),
+        "review_without_claims": lacking(held, of),
+        "claim_without_vector": lacking(c, v),
+        "vector_of_no_claim": lacking(v, c),
+        "vector_of_other_size": [x for x, e in vectors if e != [0.5, 0.5]],
+        "representative_misassigned": [x[0] for x in set(chosen) if None in x or x not in places],
+        "compact_claim_unknown": lacking(k, c),
+        "rare_claim_not_shown": lacking(r, k),
+        "over_budget": ["c"],
+    }
+    assert all(bad.values()) and any(None in x for x in bad.values())
+    kinds = {"claims": "claim_id long, review_id long, claim_text string, claim_text_sha256 string, cluster_id long", "reviews": "review_id long", "vectors": "claim_id long, embedding array<double>", "chosen": "claim_id long, cluster_id long", "compact": "claim_id long", "rare": "claim_id long", "estimates": "entity string, token_estimate long"}
+    tables = []
+    for (name, kind), rows in zip(kinds.items(), (claims, reviews, vectors, chosen, compact, rare, estimates), strict=True):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
+        tables.append(spark.read.parquet(str(tmp_path / name)))
+    whole = validation.report(validation.package_checks(*tables, 2))
+    few = lambda x: sorted({str(i) for i in x if i is not None})[:5]
+    assert {x["check"]: (x.n_bad, x.examples, x.ok) for x in whole.collect()} == {name: (len(x), few(x), False) for name, x in bad.items()}
+    counts = whole.select("check", "n_bad", "ok")
+    assert {x["check"]: x.n_bad for x in counts.collect()} == {name: len(x) for name, x in bad.items()}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    read = [x for x in plan.splitlines() if "Relation [" in x]
+    assert sum("claim_text_sha256" in x for x in read) == 3 and sum("embedding" in x for x in read) == 2 and len(read) == 10
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_check_tells_sum_and_examples_from_one_exchange(spark):
+    df = spark.range(400).select((F.col("id") % 100).alias("k")).unionAll(spark.createDataFrame([(None,)] * 3, "k long"))
+    got = validation.check(df, "odd", F.coalesce(F.col("k") % 2 == 1, F.lit(True)), "k")
+    assert [tuple(x) for x in got.collect()] == [("odd", 203, ["1", "11", "13", "15", "17"])]
+    assert "Reused" in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in validation.check(df, "none", F.lit(False), "k").collect()] == [("none", 0, [])]
+
+
 def plain_claims(text):
     """(sentence, claim, start, stop, term, kind), one sentence after another, in plain Python."""
     out, si, at = [], 0, 0

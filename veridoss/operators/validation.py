@@ -17,15 +17,27 @@ class ValidationFailure(ValueError):
     """A check found bad rows."""
 
 
-def check(df: DataFrame, name: str, bad: Column, id_: str, examples: int = 5) -> DataFrame:
-    """How many rows are bad, with the first few ids in order as texts. The ids are cut to a few before they leave a task."""
-    few = F.slice(F.sort_array(F.collect_set(F.when(F.col("__r") <= examples, F.col(id_).cast("string")))), 1, examples)
+def tallies(each: DataFrame, id_: str, counts: dict[str, Column], examples: int = 5) -> DataFrame:
+    """A row a check: the sum of its count over the rows of each, and the first few ids in order, as texts, where it is above 0.
+
+    each is an aggregate by id: sums and ids are then told from one exchange, and a query without the examples makes none of them.
+    The ids are cut to a few before they leave a task.
+    """
     from pyspark.sql import Window
 
-    rows = df.where(bad).select(id_)
-    n = rows.agg(F.count("*").alias("n_bad"))
-    top = rows.select(F.col(id_).cast("string").alias(id_)).distinct().orderBy(id_).limit(examples).withColumn("__r", F.row_number().over(Window.orderBy(id_))).agg(few.alias("examples"))
-    return n.crossJoin(top).select(F.lit(name).alias("check"), "n_bad", "examples")  # one row each
+    names = list(counts)
+    sums = each.agg(*[F.coalesce(F.sum(counts[k]), F.lit(0)).alias(f"c{i}") for i, k in enumerate(names)])
+    total = sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"c{i}").alias("n_bad")) for i, k in enumerate(names)])))
+    found = each.select(F.col(id_).cast("string").alias("__id"), F.explode(F.array_compact(F.array(*[F.when(counts[k] > 0, F.lit(k)) for k in names]))).alias("__of"))
+    place = F.dense_rank().over(Window.partitionBy("__of").orderBy(F.asc_nulls_last("__id")))
+    top = found.withColumn("__r", place).where(F.col("__r") <= examples).groupBy("__of").agg(F.sort_array(F.collect_set("__id")).alias("__few"))
+    return total.join(top, F.col("check") == F.col("__of"), "left").select("check", "n_bad", F.coalesce("__few", F.array().cast("array<string>")).alias("examples"))
+
+
+def check(df: DataFrame, name: str, bad: Column, id_: str, examples: int = 5) -> DataFrame:
+    """How many rows are bad, with the first few ids in order as texts."""
+    each = df.where(bad).select(F.col(id_).alias("__id")).groupBy("__id").agg(F.count("*").alias("__n"))
+    return tallies(each, "__id", {name: F.col("__n")}, examples)
 
 
 def key_checks(df: DataFrame, id_: str, table: str) -> list[DataFrame]:
@@ -89,31 +101,44 @@ def cluster_output_checks(records: DataFrame, chosen: DataFrame, id_: str, clust
 
 
 def package_checks(claims: DataFrame, reviews: DataFrame, vectors: DataFrame, chosen: DataFrame, compact: DataFrame, rare: DataFrame, estimates: DataFrame, dimension: int, most_tokens: int = 25_000) -> list[DataFrame]:
-    """A whole claim package as one set of checks; every table is joined by its key, none is held anywhere.
+    """A whole claim package as one set of checks; every table is laid together by its key, none is held anywhere.
 
     claims: claim_id, review_id, claim_text, claim_text_sha256, cluster_id. reviews: review_id. vectors: claim_id,
     embedding. chosen (representatives): claim_id, cluster_id. compact and rare: claim_id. estimates: entity and
     token_estimate. Ids and hashes agree; claims and reviews cover each other; each claim has one vector of the
     dimension; a representative stands in the cluster that names it; a compact document shows claims that exist,
     and all the rare ones; no document is over its budget.
-    """
 
-    def lacking(a: DataFrame, b: DataFrame, id_: str, name: str) -> DataFrame:
-        return check(a.select(id_).distinct().join(b.select(id_).distinct(), id_, "left_anti"), name, F.lit(True), id_)
-
-    place = claims.select("claim_id", F.col("cluster_id").alias("__in")).distinct()
-    stated = chosen.join(place, "claim_id", "left").groupBy("claim_id", "cluster_id").agg(F.max(F.coalesce(F.col("__in") == F.col("cluster_id"), F.lit(False))).alias("__fits"))
+    Claims are grouped with representatives by id and cluster, then with the other tables by id, and once with reviews:
+    all checks on ids are sums over these. A null id is that of no other table.
+    """
+    one, none = F.lit(1), F.lit(0)
+    pairs = claims.select("claim_id", "cluster_id", one.alias("n"), none.alias("chosen")).unionByName(chosen.select("claim_id", "cluster_id", none.alias("n"), one.alias("chosen"))).groupBy("claim_id", "cluster_id").agg(F.sum("n").alias("n"), F.max("chosen").alias("chosen"))
+    stray = (F.col("chosen") == 1) & ((F.col("n") == 0) | F.col("claim_id").isNull() | F.col("cluster_id").isNull())
+    rows = pairs.select("claim_id", "n", stray.cast("int").alias("stray"), F.when(F.col("n") > 0, 1).otherwise(0).alias("held"))
+    for df, bit in ((vectors, 2), (compact, 4), (rare, 8)):
+        rows = rows.unionByName(df.select("claim_id", none.alias("n"), none.alias("stray"), F.lit(bit).alias("held")))
+    by_claim = rows.groupBy("claim_id").agg(F.sum("n").alias("n"), F.sum("stray").alias("stray"), F.bit_or("held").alias("held"))
+    by_review = claims.select("review_id", one.alias("held")).unionByName(reviews.select("review_id", F.lit(2).alias("held"))).groupBy("review_id").agg(F.bit_or("held").alias("held"))
+
+    def lacking(a: int, b: int, id_: str) -> Column:
+        held = F.col("held")
+        return ((held.bitwiseAND(a) != 0) & ((held.bitwiseAND(b) == 0) | F.col(id_).isNull())).cast("int")
+
+    on_claims = {
+        "claims_id_missing": F.when(missing(F.col("claim_id")), F.col("n")).otherwise(0),
+        "claims_id_repeats": (F.col("n") > 1).cast("int"),
+        "claim_without_vector": lacking(1, 2, "claim_id"),
+        "vector_of_no_claim": lacking(2, 1, "claim_id"),
+        "representative_misassigned": F.col("stray"),
+        "compact_claim_unknown": lacking(4, 1, "claim_id"),
+        "rare_claim_not_shown": lacking(8, 4, "claim_id"),
+    }
     return [
-        *key_checks(claims, "claim_id", "claims"),
+        tallies(by_claim, "claim_id", on_claims),
+        tallies(by_review, "review_id", {"claims_of_no_review": lacking(1, 2, "review_id"), "review_without_claims": lacking(2, 1, "review_id")}),
         check(claims, "claim_hash_differs", ~F.sha2(F.coalesce("claim_text", F.lit("")), 256).eqNullSafe(F.col("claim_text_sha256")), "claim_id"),
-        lacking(claims, reviews, "review_id", "claims_of_no_review"),
-        lacking(reviews, claims, "review_id", "review_without_claims"),
-        lacking(claims, vectors, "claim_id", "claim_without_vector"),
-        lacking(vectors, claims, "claim_id", "vector_of_no_claim"),
         check(vectors, "vector_of_other_size", ~F.coalesce((F.size("embedding") == dimension) & finite(F.col("embedding")), F.lit(False)), "claim_id"),
-        check(stated, "representative_misassigned", ~F.col("__fits"), "claim_id"),
-        lacking(compact, claims, "claim_id", "compact_claim_unknown"),
-        lacking(rare, compact, "claim_id", "rare_claim_not_shown"),
         check(estimates, "over_budget", F.coalesce(F.col("token_estimate"), F.lit(0)) > most_tokens, estimates.columns[0]),
     ]
 
