@@ -661,3 +661,59 @@ def test_document_pair_shuffles_ids(spark):
         pytest.skip("no tables")
     plan = QUERIES["document_pair"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftSemi") < plan.index("from_json")
+
+
+def test_edges_are_made_once(spark):
+    """Edges that would differ if made again, as a forest does that follows the order of shuffled rows: both ways of an edge come from one of them."""
+    import random
+
+    import pandas as pd
+
+    from veridoss.operators.graphs import components
+
+    def stars(frames):
+        for pdf in frames:
+            for e in pdf["id"]:
+                hub = random.SystemRandom().randrange(6)
+                yield pd.DataFrame({"e": [str(e)] * 5, "u": [str(k) for k in range(6) if k != hub], "v": [str(hub)] * 5})
+
+    got = components(spark.range(40).mapInPandas(stars, "e string, u string, v string"))
+    assert {(r.e, r.id, r.component) for r in got.collect()} == {(str(e), str(k), "0") for e in range(40) for k in range(6)}
+
+
+@pytest.mark.parametrize("kind", ["complete", "average", "single"])
+@pytest.mark.parametrize("block", [2048, 16])
+def test_rows_that_name_vectors_by_key(spark, kind, block):
+    """The same clusters and statistics as rows with their vectors, also for equal vectors under two keys and for entities with errors."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6, 8))[rng.integers(0, 6, 50)] + rng.normal(size=(50, 8)) * 0.45
+    x[40:43], x[49] = x[7], 0.0
+    keys = spark.createDataFrame([(k, x[k].tolist()) for k in range(50)], "k long, v array<double>")
+    rows = [(f"e{e}", f"r{e}{n:03d}", f"2020-01-{(n * 7 + e) % 27 + 1:02d}", int(k)) for e in range(5) for n, k in enumerate(rng.integers(0, 49, 60))]
+    rows += [("z", "z1", "2020-01-01", 49), ("z", "z2", "2020-01-01", 3), ("e1", "gone", "2020-01-01", 99), (None, "none", "2020-01-01", 1)]
+    df = spark.createDataFrame(rows, "e string, i string, d string, k long")
+    whole = df.where("e IS NOT NULL").join(keys, "k")
+    want = {r.i: (r.cluster_id, r.error) for r in vectors.cluster(whole, "e", "i", "v", 0.7, kind, date="d").collect()}
+    shared = df.join(vectors.cluster_shared(df, keys, "e", "i", "k", "v", 0.7, kind, date="d", block=block), ["e", "k"])
+    got = {r.i: r for r in shared.collect()}
+    assert {i: (r.cluster_id, r.error) for i, r in got.items()} == want and got["z1"].error == "a vector has no length"
+    labelled = whole.join(spark.createDataFrame([(i, c) for i, (c, error) in want.items() if not error], "i string, c string"), "i")
+    for r in vectors.centroid_stats(labelled, "e", "c", "i", "v").collect():
+        for c in ("centroid_similarity", "minimum_pairwise_similarity", "mean_pairwise_similarity"):
+            a, b = getattr(r, c), getattr(got[r.i], c)
+            assert a is b is None or abs(a - b) < 1e-9
+
+
+def test_layer_one_shuffles_no_vectors_with_rows(spark, tmp_path, monkeypatch):
+    """No table that is kept has both a row's text, or id, and its vector."""
+    from veridoss.plans import dossier as D
+    from veridoss.plans.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    seen = []
+    for module in (vectors, D):
+        monkeypatch.setattr(module, "kept", lambda df, name, plain=module.kept: seen.append((name, df.columns)) or plain(df, name))
+    QUERIES["layer_one"](spark, "/root/testdata/sf0.001")
+    assert {"points", "rows", "keys"} <= {n for n, _ in seen}
+    assert [n for n, c in seen if {"v", "embedding"} & set(c)] == ["keys"]

@@ -15,7 +15,8 @@ def components(edges: DataFrame, entity: str = "e", a: str = "u", b: str = "v",
     table, so lineage stays short; the driver gets the number of changes.
     """
     ends = edges.select(F.col(entity).alias("e"), F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = kept(ends.union(ends.select("e", F.col("v"), F.col("u"))).distinct(), "edges")
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = kept(ends.select("e", F.inline(ways)).distinct(), "edges")  # edges are made once: made again they may be others
     label = kept(both.groupBy("e", F.col("u").alias("id")).agg(F.least(F.min("v"), F.col("id")).alias("c")), "labels")
     for _ in range(most_rounds):
         around = both.join(label.withColumnRenamed("id", "v"), ["e", "v"]).groupBy("e", F.col("u").alias("id")).agg(F.min("c").alias("m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoss.config import Settings
@@ -10,7 +10,7 @@ from veridoss.functions.scalars import packed, to_date
 from veridoss.operators.aggregates import duplicate_summary, method_summary
 from veridoss.operators.relational import join_one_to_one
 from veridoss.operators.temporal import distribution_map, temporal_document
-from veridoss.operators.vectors import centroid_stats, cluster, representatives
+from veridoss.operators.vectors import centroid_stats, cluster, cluster_shared, ranked
 from veridoss.schemas import DOCUMENT, RECORD, SCHEMA_VERSION
 from veridoss.sources.workspace import kept
 
@@ -23,6 +23,15 @@ def clustered(features: DataFrame, vectors: DataFrame, settings: Settings) -> Da
     return rows.join(good, "review_id")
 
 
+def shared_labels(rows: DataFrame, vectors: DataFrame, settings: Settings, key: str) -> DataFrame:
+    """(hotel_id, key, semantic_cluster_id, centroid_similarity, minimum_pairwise_similarity) of rows that name vectors by key.
+
+    Features that are joined with these need no vectors: ``parts`` takes both similarities as they are.
+    """
+    ids = cluster_shared(rows, vectors, "hotel_id", "review_id", key, "embedding", settings.similarity_threshold, settings.grouping_method.removesuffix("_linkage"), date="review_date")
+    return ids.where("error IS NULL").select("hotel_id", key, F.col("cluster_id").alias("semantic_cluster_id"), "centroid_similarity", "minimum_pairwise_similarity")
+
+
 def failures(features: DataFrame, vectors: DataFrame, settings: Settings) -> DataFrame:
     """Entities that could not be clustered, with the reason."""
     rows = features.join(vectors.select("review_id", "embedding"), "review_id")
@@ -55,28 +64,44 @@ def nested(heads: DataFrame, records: DataFrame) -> DataFrame:
     return heads.join(inside, e).select(*DOCUMENT)
 
 
-def parts(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Full documents in two tables: (all fields but the records), and (entity, r) with a record a row.
+def _clusters(rows: DataFrame, most: int) -> DataFrame:
+    """One row per cluster of an entity: counts, similarities, dates, aspects, representatives and distributions.
 
-    What needs no whole document is told from these, so that no task holds an entity's texts.
+    Windows of a cluster's rows, and of its rows with a value, need them together only once: they are shuffled by cluster.
     """
     e, c = "hotel_id", "semantic_cluster_id"
-    stats = centroid_stats(rows, e, c, "review_id", "embedding")
-    rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").drop("embedding").withColumn("__d", to_date(F.col("review_date")))
-    rows = kept(rows, "rows")  # a dozen aggregates read them
-    reps = representatives(rows, e, c, "centroid_similarity", "absa_method", "review_text", "review_id", settings.representatives_per_cluster)
-    rep_ids = reps.groupBy(e, c).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "review_id"))), lambda x: x["review_id"]).alias("representative_review_ids"))
     marked = F.coalesce("duplicate_group_id", F.lit("")) != ""
-    methods = distribution_map(rows, [e, c], "absa_method", "absa_method_distribution")
-    each = rows.groupBy(e, c).agg(
-        F.count_distinct("review_id").alias("unique_review_count"),
+    found = ranked(rows.where(F.col(e).isNotNull() & F.col(c).isNotNull()), e, c, "centroid_similarity", "absa_method", "review_text", "review_id")
+    text = {v: F.col(v).cast("string") for v in ("review_id", "absa_method", "rating")}
+    text["absa_method"] = F.coalesce(text["absa_method"], F.lit("nan"))
+    for name, value in text.items():
+        w = Window.partitionBy(e, c, value)
+        found = found.withColumn(f"__{name}", F.when(F.row_number().over(w.orderBy("rank")) == 1, F.struct(value.alias("value"), F.count("*").over(w).alias("n"))))
+    counted = lambda value, test: F.map_from_entries(F.array_sort(F.collect_list(F.when(test, F.col(f"__{value}")))))
+    return found.groupBy(e, c).agg(
+        F.count_if(F.col("__review_id").isNotNull() & F.col("review_id").isNotNull()).alias("unique_review_count"),
         F.count_if(marked).alias("possible_duplicate_count"),
         F.struct(F.avg("centroid_similarity").alias("mean_to_centroid"), F.min("centroid_similarity").alias("minimum_to_centroid"), F.max("centroid_similarity").alias("maximum_to_centroid"), F.min("minimum_pairwise_similarity").alias("minimum_pairwise_similarity")).alias("internal_similarity_summary"),
         F.min("review_date").alias("earliest_date"),
         F.max("review_date").alias("latest_date"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(packed(F.col("absa_aspect")))))).alias("aspect_distribution"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "review_id")))), lambda x: x["review_id"]).alias("representative_review_ids"),
+        counted("absa_method", F.lit(True)).alias("absa_method_distribution"),
+        F.when(F.count("rating") > 0, counted("rating", F.col("rating").isNotNull())).alias("rating_distribution"),
     )
-    each = each.join(rep_ids, [e, c]).join(methods, [e, c]).join(distribution_map(rows, [e, c], "rating", "rating_distribution", False), [e, c], "left")
+
+
+def parts(rows: DataFrame, settings: Settings, provenance: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Full documents in two tables: (all fields but the records), and (entity, r) with a record a row.
+
+    rows have a vector each, or both similarities of ``shared_labels``. What needs no whole document is told from these, so that no task holds an entity's texts.
+    """
+    e, c = "hotel_id", "semantic_cluster_id"
+    if "centroid_similarity" not in rows.columns:
+        stats = centroid_stats(rows, e, c, "review_id", "embedding")
+        rows = rows.join(stats.select("review_id", "centroid_similarity", "minimum_pairwise_similarity"), "review_id").drop("embedding")
+    rows = kept(rows.withColumn("__d", to_date(F.col("review_date"))), "rows")  # a dozen aggregates read them
+    each = _clusters(rows, settings.representatives_per_cluster)
     inner = each.groupBy(e).agg(F.sort_array(F.collect_list(F.struct(c, "unique_review_count", "possible_duplicate_count", "internal_similarity_summary", "earliest_date", "latest_date", "aspect_distribution", "representative_review_ids", F.to_json("absa_method_distribution").alias("absa_method_distribution"), F.to_json("rating_distribution").alias("rating_distribution"), F.lit("not_established").alias("independence_claim")))).alias("semantic_clusters"))
     records = rows.where(F.col(e).isNotNull()).select(e, record(rows.columns).alias("r"))
     meta = rows.groupBy(e).agg(F.count("*").alias("review_count"), F.min("review_date").alias("minimum_review_date"), F.max("review_date").alias("maximum_review_date"), F.avg("rating").alias("raw_mean_rating"))
@@ -99,10 +124,15 @@ def _chosen(heads: DataFrame, most: int) -> DataFrame:
     return k.select("hotel_id", "k", F.posexplode_outer(F.slice("c.representative_review_ids", 1, most)).alias("n", "review_id"))
 
 
+def chosen_records(heads: DataFrame, records: DataFrame, most: int = 3) -> DataFrame:
+    """(hotel_id, k, n, r): the n-th representative of an entity's k-th cluster with its record, a row each; what compact documents hold beside their heads."""
+    here = records.select("hotel_id", F.col("r.review_id").alias("review_id"), "r")
+    return _chosen(heads, most).join(here, ["hotel_id", "review_id"], "left").select("hotel_id", "k", "n", "r")
+
+
 def compact_parts(heads: DataFrame, records: DataFrame, most: int = 3) -> DataFrame:
     """The documents of ``compact``, of a document's parts: representatives are joined with records, no entity's records are gathered."""
-    here = records.select("hotel_id", F.col("r.review_id").alias("review_id"), F.col("r"))
-    found = _chosen(heads, most).join(here, ["hotel_id", "review_id"], "left").groupBy("hotel_id", "k").agg(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("n", "r")))).alias("x"))
+    found = chosen_records(heads, records, most).groupBy("hotel_id", "k").agg(F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("n", "r")))).alias("x"))
     held = found.groupBy(F.col("hotel_id").alias("__of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]["r"]).alias("__held"))
     clusters = F.transform("semantic_clusters", lambda c, i: c.withField("representative_reviews", F.get("__held", i)))
     return heads.join(held, F.col("hotel_id") == F.col("__of"), "left").withColumn("semantic_clusters", clusters).drop("__of", "__held")
